@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from weft.llm import sharding, url_filter
+from weft.llm import decontaminate, sharding, simhash, topk, url_filter
 
 QUERIES = {
+    "op4_decontamination": decontaminate.op4_decontamination,
+    "op6_exact_top_k": topk.op6_exact_top_k,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_sharding": sharding.op9_sharding,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE = {
+    "op4_decontamination": decontaminate.SQL,
+    "op6_exact_top_k": topk.SQL,
     "op8_url_filter": url_filter.SQL,
 }

@@ -68,12 +68,8 @@ WORD = char_class("0123456789abcdefghijklmnopqrstuvwxyz")
 WORD[128:] = True
 
 
-def words(buf: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of every maximal run of bytes of the class `inside`. Long buffers are hashed in pieces cut between words."""
-    arr = np.frombuffer(buf, np.uint8)
-    mark = inside[arr].view(np.int8)
-    step = np.diff(mark, prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+def hash_runs(arr: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each of the ascending runs arr[start:end]; long arrays are hashed in pieces cut between runs."""
     out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
@@ -82,4 +78,18 @@ def words(buf: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         s, e = starts[at:to] - lo, ends[at:to] - lo
         out[at:to] = mix(span(sums, s, e) + (e - s).astype(np.uint64))
         at = to
-    return out, starts, ends
+    return out
+
+
+def words(buf: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every maximal run of bytes of the class `inside`."""
+    arr = np.frombuffer(buf, np.uint8)
+    mark = inside[arr].view(np.int8)
+    step = np.diff(mark, prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    return hash_runs(arr, starts, ends), starts, ends
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from weft.llm import decontaminate, sharding, simhash, topk, url_filter
+from weft.llm import chat, decontaminate, language, sentencepiece, sharding, simhash, topk, url_filter
 
 QUERIES = {
+    "op2_language_id": language.op2_language_id,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_exact_top_k": topk.op6_exact_top_k,
+    "op7_sentencepiece": sentencepiece.op7_sentencepiece,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_sharding": sharding.op9_sharding,
     "op10_simhash": simhash.op10_simhash,
@@ -14,6 +17,7 @@ QUERIES = {
 
 ORACLE = {
     "op4_decontamination": decontaminate.SQL,
+    "op5_chat_formatting": chat.SQL,
     "op6_exact_top_k": topk.SQL,
     "op8_url_filter": url_filter.SQL,
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from weft.llm import chat, decontaminate, language, sentencepiece, sharding, simhash, topk, url_filter
+from weft.llm import chat, decontaminate, language, sentencepiece, sharding, simhash, substring_dedup, suffix_dedup, topk, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_language_id": language.op2_language_id,
+    "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_exact_top_k": topk.op6_exact_top_k,

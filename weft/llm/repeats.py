@@ -1,0 +1,441 @@
+"""Exact repeats of a fixed length across a corpus, found without moving texts.
+
+A text is a sequence of items (bytes or words). Every window of `length` items contains
+its least-hashed `gram`-item run, its anchor, and equal windows have equal anchors at
+equal places. Consecutive windows with one anchor are a stretch; it is described by a
+hash of the anchor and a hash of all items it spans. A few per cent of the positions
+are anchors, so only these descriptions are shuffled:
+
+1. Each task sorts the stretches of a block of texts. Of equal ones only the earliest
+   goes on; the others are repeats already. Where one anchor has several spans the
+   stretches need a closer look. At most two entries an anchor and block go on, so an
+   anchor that a third of all texts share stays small.
+2. A reducer sees all entries of an anchor and answers each asker: a repeat, or a closer
+   look, or nothing.
+3. For the closer look a kernel (suffix array or block index, see the callers) finds
+   the classes of equal windows among the stretches of a block of texts; each class
+   sends one entry with its earliest place, and a reducer answers as in step 2.
+
+Hashes are 96 bits in total for every decision, taken over the whole window or stretch.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weft.llm.common import LONG_MIN, cut, partitions
+from weft.llm.hashing import OTHER, U, mix, prefix, span, spread
+
+#: Items hashed at once; text bytes whose entries are merged before the shuffle.
+PIECE, BLOCK = 1 << 18, 24 << 20
+REPEAT, LOOK = 1, 2
+_INDEX = U((1 << 20) - 1)
+_SENT = "bucket int, blob binary, doc_id bigint, th int, kind tinyint, runs array<bigint>"
+_MARKS = "doc_id bigint, th int, kind tinyint, runs array<bigint>"
+
+
+class Rule(NamedTuple):
+    """What counts as a repeat. same_doc: an earlier start in the same document counts.
+
+    items: text -> items; values: items -> what is hashed (uint64); kernel: (items,
+    length, starts, places in the documents) -> class of each start's window.
+    """
+
+    length: int
+    gram: int
+    same_doc: bool
+    items: Callable[[bytes], np.ndarray]
+    values: Callable[[np.ndarray], np.ndarray]
+    kernel: Callable[[np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
+
+
+class Stretches(NamedTuple):
+    h: np.ndarray  # hash of the anchor, 48 bits
+    c: np.ndarray  # hash of the span, 48 bits
+    doc: np.ndarray  # place of the document in its block
+    lo: np.ndarray  # first window's start
+    more: np.ndarray  # further windows
+
+    def pick(self, at) -> Stretches:
+        return Stretches(*(x[at] for x in self))
+
+
+def _joined(parts: list[Stretches]) -> Stretches:
+    return Stretches(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else Stretches(*(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)))
+
+
+def _low48(x: np.ndarray) -> np.ndarray:
+    return x & U((1 << 48) - 1)
+
+
+def _anchored(values: np.ndarray, first: np.ndarray, size: np.ndarray, rule: Rule):
+    """Stretches of the segments values[first:first + size]: (segment, anchor hash, span hash, lo within the segment, more)."""
+    n, k = rule.length, rule.gram
+    starts = spread(first, np.maximum(size - n + 1, 0))
+    if not len(starts):
+        return None
+    sums = prefix(values)
+    at = np.arange(len(values) - k + 1)
+    grams = span(sums, at, at + k)
+    least, width, want = (grams & ~_INDEX) | at.astype(np.uint64), 1, n - k + 1
+    while 2 * width <= want:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if want > width:
+        least = np.minimum(least[: len(least) - (want - width)], least[want - width :])
+    anchor = (least & _INDEX).astype(np.int64)[starts]
+    head = np.ones(len(starts), bool)
+    head[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
+    heads = np.flatnonzero(head)
+    lo, p = starts[heads], anchor[heads]
+    more = np.diff(np.append(heads, len(starts))) - 1
+    place = ((p - lo) << 32 | more).astype(np.uint64)
+    c = mix(span(sums, lo, lo + more + n) + mix(place))
+    seg = np.searchsorted(first, lo, "right") - 1
+    return seg, _low48(grams[p]), _low48(c), lo - first[seg], more
+
+
+def stretches(texts: Iterator[np.ndarray], rule: Rule) -> Stretches:
+    """Of a block of item sequences; long ones are read in overlapping pieces."""
+    out, held, count = [], [], 0
+
+    def flush():
+        size = np.array([len(v) for _, _, v in held], np.int64)
+        found = _anchored(rule.values(np.concatenate([v for _, _, v in held])), np.cumsum(size) - size, size, rule)
+        if found:
+            seg, h, c, lo, more = found
+            doc, base = np.array([d for d, _, _ in held]), np.array([b for _, b, _ in held])
+            out.append(Stretches(h, c, doc[seg], lo + base[seg], more))
+
+    for d, v in enumerate(texts):
+        for base in range(0, len(v) - rule.length + 1, PIECE):
+            part = v[base : base + PIECE + rule.length - 1]
+            held.append((d, base, part))
+            count += len(part)
+            if count >= PIECE:
+                flush()
+                held, count = [], 0
+    if held:
+        flush()
+    return _joined(out)
+
+
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Group heads of sorted rows."""
+    head = np.zeros(len(keys[0]), bool)
+    head[:1] = True
+    for k in keys:
+        head[1:] |= k[1:] != k[:-1]
+    return head
+
+
+class Docs(NamedTuple):
+    """Names of a block's documents and their order: by id, then text hash. Repeated rows share a rank."""
+
+    id: np.ndarray
+    th: np.ndarray
+
+    def ranks(self) -> np.ndarray:
+        order = np.lexsort((self.th, self.id))
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(_groups(self.id[order], self.th[order]))
+        return out
+
+
+def _settle(s: Stretches, docs: Docs, rule: Rule):
+    """Within a block: (repeats, closer looks, entries that ask, entries that only tell)."""
+    rank = docs.ranks()[s.doc]
+    order = np.lexsort((s.lo, rank, s.c, s.h))
+    s, rank = s.pick(order), rank[order]
+    keep = _groups(s.h, s.c, rank, s.lo)  # repeated rows count once
+    s, rank = s.pick(keep), rank[keep]
+    by_h, by_c = _groups(s.h), _groups(s.h, s.c)
+    first = np.flatnonzero(by_c)[np.cumsum(by_c) - 1] if len(by_c) else np.empty(0, np.int64)
+    if rule.same_doc:
+        later = np.arange(len(first)) != first
+    else:
+        later = docs.id[s.doc] > docs.id[s.doc[first]]
+    kinds = np.bincount(np.cumsum(by_h) - 1, weights=by_c)[np.cumsum(by_h) - 1] if len(by_h) else np.empty(0)
+    several = kinds > 1
+    # of several spans the first and the last tell the reducer that there are two
+    tell = several & (by_h | _last_span(by_h, by_c))
+    return s.pick(later), s.pick(several & ~later), s.pick(~several & ~later), s.pick(tell)
+
+
+def _last_span(by_h: np.ndarray, by_c: np.ndarray) -> np.ndarray:
+    """Heads of the last span of each anchor."""
+    heads = np.flatnonzero(by_c)
+    anchor = (np.cumsum(by_h) - 1)[heads]
+    out = np.zeros(len(by_h), bool)
+    out[heads[np.append(anchor[1:] != anchor[:-1], True)]] = len(heads) > 0
+    return out
+
+
+def _six(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _blob(s: Stretches, ask: np.ndarray, docs: Docs) -> bytes:
+    """Entries of one bucket, by document."""
+    order = np.lexsort((s.lo, s.doc))
+    s, ask = s.pick(order), ask[order]
+    own, count = np.unique(s.doc, return_counts=True)
+    small = zstandard.ZstdCompressor(1).compress(pickle.dumps((docs.id[own], docs.th[own], count.astype(np.uint32), s.lo.astype(np.uint32), s.more.astype(np.uint16), np.packbits(ask)), 5))
+    return pickle.dumps((_six(s.h), _six(s.c), small), 5)
+
+
+def _unblob(b: bytes):
+    h, c, small = pickle.loads(b)
+    own, th, count, lo, more, ask = pickle.loads(zstandard.ZstdDecompressor().decompress(small))
+    at = np.repeat(np.arange(len(own)), count)
+    return _from_six(h), _from_six(c), own[at], th[at], lo.astype(np.int64), more.astype(np.int64), np.unpackbits(ask, count=len(lo)).astype(bool)
+
+
+def _batch(bucket, blob, doc_id, th, kind, runs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket, pa.int32()), pa.array(blob, pa.binary()), pa.array(doc_id, pa.int64()), pa.array(th, pa.int32()), pa.array(kind, pa.int8()), runs], names=["bucket", "blob", "doc_id", "th", "kind", "runs"]
+    )
+
+
+def _marked(doc_id, th, kind, lo, more):
+    """One row for each document and kind: arrays (doc_id, th, kind, list of lo << 16 | more)."""
+    order = np.lexsort((lo, kind, th, doc_id))
+    doc_id, th, kind, lo, more = doc_id[order], th[order], kind[order], lo[order], more[order]
+    # stretches that follow each other become one, up to a size that fits
+    own = _groups(doc_id, th, kind)
+    own[1:] |= lo[1:] != lo[:-1] + more[:-1] + 1
+    begin = lo[np.flatnonzero(own)[np.cumsum(own) - 1]]
+    part = (lo - begin) >> 15
+    own[1:] |= part[1:] != part[:-1]
+    at = np.flatnonzero(own)
+    end = np.append(at[1:], len(lo)) - 1
+    more = lo[end] + more[end] - lo[at]
+    doc_id, th, kind, lo = doc_id[at], th[at], kind[at], lo[at]
+    at = np.flatnonzero(_groups(doc_id, th, kind))
+    runs = pa.ListArray.from_arrays(pa.array(np.append(at, len(lo)).astype(np.int32)), pa.array(lo << 16 | more))
+    return doc_id[at], th[at], kind[at].astype(np.int8), runs
+
+
+def _emit(asking: Stretches, telling: Stretches, marks: list, docs: Docs, buckets: int):
+    both = _joined([asking, telling])
+    ask = np.zeros(len(both.h), bool)
+    ask[: len(asking.h)] = True
+    bucket = (mix(both.h) % U(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(_groups(bucket[order]))
+    rows = [(int(bucket[own[0]]), _blob(both.pick(own), ask[own], docs)) for own in np.split(order, cuts[1:]) if len(own)]
+    if rows:
+        n = len(rows)
+        empty = pa.array([None] * n, pa.list_(pa.int64()))
+        yield _batch([r[0] for r in rows], [r[1] for r in rows], [None] * n, [None] * n, [None] * n, empty)
+    s = _joined([m for m, _ in marks])
+    if len(s.h):
+        kind = np.concatenate([np.full(len(m.h), k) for m, k in marks])
+        d, t, k, runs = _marked(docs.id[s.doc], docs.th[s.doc], kind, s.lo, s.more)
+        yield _batch((np.abs(d) % buckets).astype(np.int32), [None] * len(d), d, t, k, runs)
+
+
+def _blocks(batches) -> Iterator[tuple[Docs, list]]:
+    """Rows (doc_id, th, z, ...) in blocks of about BLOCK text bytes; z holds texts, packed if it is a binary column."""
+    ids, ths, texts, rest, size = [], [], [], [], 0
+    for b in batches:
+        names = b.schema.names
+        col = b.column(names.index("z")).to_pylist()
+        more = b.column(names.index("runs")).to_pylist() if "runs" in names else [None] * len(col)
+        for i, t, z, r in zip(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("th")).to_pylist(), col, more, strict=True):
+            text = unpack(z)
+            ids.append(i)
+            ths.append(t)
+            texts.append(text)
+            rest.append(r)
+            size += len(text)
+            if size >= BLOCK:
+                yield Docs(np.array(ids), np.array(ths, np.int32)), texts, rest
+                ids, ths, texts, rest, size = [], [], [], [], 0
+    if ids:
+        yield Docs(np.array(ids), np.array(ths, np.int32)), texts, rest
+
+
+def pack(text: bytes | None) -> bytes | None:
+    return None if text is None else zstandard.ZstdCompressor(1).compress(text)
+
+
+def unpack(z) -> bytes:
+    if z is None:
+        return b""
+    return z.encode("utf-8", "surrogatepass") if isinstance(z, str) else zstandard.ZstdDecompressor().decompress(z)
+
+
+def _describe(rule: Rule, buckets: int):
+    def run(batches):
+        for docs, texts, _ in _blocks(batches):
+            repeats, look, ask, tell = _settle(stretches((rule.items(t) for t in texts), rule), docs, rule)
+            yield from _emit(ask, tell, [(repeats, REPEAT), (look, LOOK)], docs, buckets)
+
+    return run
+
+
+def _look(rule: Rule, buckets: int):
+    """Step 3 in a block: the kernel's classes of equal windows, one entry each."""
+
+    def run(batches):
+        n = rule.length
+        for docs, texts, runs in _blocks(batches):
+            parts, doc, base, lengths = [], [], [], []
+            for d, (t, r) in enumerate(zip(texts, runs, strict=True)):
+                v = rule.items(t)
+                r = np.sort(np.array(r, np.int64))
+                lo, hi = r >> 16, (r >> 16) + (r & 0xFFFF)
+                head = np.ones(len(lo), bool)  # stretches that follow each other are read as one
+                head[1:] = lo[1:] > hi[:-1] + 1
+                at = np.flatnonzero(head)
+                for a, b in zip(lo[at].tolist(), hi[np.append(at[1:], len(hi)) - 1].tolist(), strict=True):
+                    parts.append(v[a : b + n])
+                    doc.append(d)
+                    base.append(a)
+                    lengths.append(b - a + 1)
+            size = np.array([len(p) for p in parts], np.int64)
+            first, count = np.cumsum(size) - size, np.array(lengths, np.int64)
+            values = np.concatenate(parts)
+            starts = spread(first, count)
+            owner = np.repeat(np.arange(len(parts)), count)
+            doc, base = np.array(doc)[owner], np.array(base)[owner] + starts - first[owner]
+            repeats, ask = _settle_classes(rule.kernel(values, n, starts, base), doc, base, docs, rule)
+            h, c = _window_hashes(rule.values, values, starts, n)
+            none = np.zeros(len(starts), np.int64)
+            s = Stretches(h, c, doc, base, none)
+            yield from _emit(s.pick(ask), s.pick(slice(0, 0)), [(s.pick(repeats), REPEAT)], docs, buckets)
+
+    return run
+
+
+def _settle_classes(cls: np.ndarray, doc: np.ndarray, lo: np.ndarray, docs: Docs, rule: Rule):
+    """Within a block: places of repeats and of the windows that ask."""
+    rank = docs.ranks()[doc]
+    order = np.lexsort((lo, rank, cls))
+    order = order[_groups(cls[order], rank[order], lo[order])]
+    head = _groups(cls[order])
+    first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    later = first != order if rule.same_doc else docs.id[doc[order]] > docs.id[doc[first]]
+    return order[later], order[~later]
+
+
+def _window_hashes(value, items: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 48-bit hashes of each window; starts ascend."""
+    h, c = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        a = int(starts[at])
+        to = int(np.searchsorted(starts, a + PIECE, "left"))
+        own = starts[at:to] - a
+        v = value(items[a : int(starts[to - 1]) + n])
+        h[at:to] = span(prefix(v), own, own + n)
+        c[at:to] = span(prefix(mix(v), OTHER), own, own + n, OTHER)
+        at = to
+    return _low48(h), _low48(c)
+
+
+def _answer(rule: Rule, final: bool):
+    """Step 2: all entries of an anchor meet; local marks pass through."""
+
+    def run(batches):
+        held = []
+        for b in batches:
+            blobs = b.column(1)
+            for x, bucket in zip(blobs.to_pylist(), b.column(0).to_pylist(), strict=True):
+                if x is not None:
+                    got = _unblob(x)
+                    held.append((np.full(len(got[0]), bucket, np.int32), *got))
+            own = b.filter(b.column(4).is_valid())
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays(own.columns[2:], names=own.schema.names[2:])
+        if not held:
+            return
+        bucket, h, c, doc, th, lo, more, ask = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((lo, th, doc, c, h, bucket))
+        bucket, h, c, doc, th, lo, more, ask = (x[order] for x in (bucket, h, c, doc, th, lo, more, ask))
+        by_h, by_c = _groups(bucket, h), _groups(bucket, h, c)
+        first = np.flatnonzero(by_c)[np.cumsum(by_c) - 1]
+        if rule.same_doc:
+            later = (doc != doc[first]) | (th != th[first]) | (lo != lo[first])
+        else:
+            later = doc > doc[first]
+        several = np.bincount(np.cumsum(by_h) - 1, weights=by_c)[np.cumsum(by_h) - 1] > 1
+        kind = np.where(later, REPEAT, np.where(several & (not final), LOOK, 0))
+        use = np.flatnonzero(ask & (kind > 0))
+        if not len(use):
+            return
+        d, t, k, runs = _marked(doc[use], th[use], kind[use], lo[use], more[use])
+        for at in range(0, len(d), 20_000):
+            to = at + 20_000
+            yield pa.RecordBatch.from_arrays([pa.array(d[at:to]), pa.array(t[at:to], pa.int32()), pa.array(k[at:to], pa.int8()), runs[at:to]], names=["doc_id", "th", "kind", "runs"])
+
+    return run
+
+
+def _packed(batches):
+    for b in batches:
+        k = b.schema.names.index("z")
+        z = pa.array([pack(None if x is None else x.encode("utf-8", "surrogatepass")) for x in b.column(k).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([z if i == k else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+
+def _per_doc(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
+def find_repeats(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, th, z (packed text), runs and, under their names, the columns `keep` of df; one row per row of df.
+
+    runs: the starts of repeated windows, lo << 16 | more for lo .. lo + more, in no
+    order; null if there is none. A null id counts as the smallest; rows that share an
+    id are ordered by a hash of their text, and rows that also share the text are one document.
+    """
+    spark = df.sparkSession
+    n = partitions(spark)
+    keep = keep or []
+    docs = df.select(
+        F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LONG_MIN)).alias("doc_id"),
+        F.hash(F.lit(0), F.col(f"`{text_col}`")).alias("th"),
+        F.col(f"`{text_col}`").alias("z"),
+        *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)],
+    )
+    few = docs.select("doc_id", "th", "z")
+    sent = few.mapInArrow(_describe(rule, 4 * n), _SENT)
+    marks = cut(sent.repartition(n, "bucket").mapInArrow(_answer(rule, False), _MARKS))
+    looked = _per_doc(marks.where(F.col("kind") == LOOK))
+    packed = few.mapInArrow(_packed, "doc_id bigint, th int, z binary")
+    close = packed.join(looked, ["doc_id", "th"]).mapInArrow(_look(rule, 4 * n), _SENT)
+    more = close.repartition(n, "bucket").mapInArrow(_answer(rule, True), _MARKS)
+    repeats = _per_doc(marks.where(F.col("kind") == REPEAT).unionByName(more))
+    types = [docs.schema[f"_{i}"].dataType.simpleString() for i in range(len(keep))]
+    whole = docs.mapInArrow(_packed, ", ".join(["doc_id bigint, th int, z binary", *(f"_{i} {t}" for i, t in enumerate(types))]))
+    return whole.join(repeats, ["doc_id", "th"], "left").select("doc_id", "th", "z", "runs", *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def covered(runs: list[int] | None, length: int) -> list[tuple[int, int]]:
+    """Maximal ranges of items that repeated windows cover."""
+    if not runs:
+        return []
+    r = np.sort(np.array(runs, np.int64))
+    lo, hi = r >> 16, (r >> 16) + (r & 0xFFFF) + length
+    far = np.maximum.accumulate(hi)
+    head = np.ones(len(lo), bool)
+    head[1:] = lo[1:] > far[:-1]
+    at = np.flatnonzero(head)
+    return list(zip(lo[at].tolist(), far[np.append(at[1:], len(lo)) - 1].tolist(), strict=True))

@@ -1,6 +1,503 @@
-"""Every query of the engine with its SQL."""
+"""Every query of the engine with its SQL.
+
+QUERIES maps a name to a function of (spark, sf_dir); ORACLE has the same query for
+another engine, where SQL can say it. Tables are read whole.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.functions import hashing, html_text, porter, text, urls
+from weft.operators import crawl, index, kv, mapreduce, search, stats
+from weft.sources import index_text, pages as page_source
+from weft.streaming import index_stream
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+#: Search texts of the queries: terms, phrases and letters that the corpus has.
+SINGLE, PHRASE, MULTI, PART, PATTERN = "thing", "oned there", "thing oned erer ande", "tion", "(?:ing){2}|[aeiou]{5}"
+#: Five nodes; the smaller group lacks the last.
+NIDS = [hashing.node_id("127.0.0.1", 10000 + i) for i in range(5)]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+# ---- text
+
+_TERMS = text.terms_sql("text")
+_NGRAMS = f"""
+w AS (SELECT doc_id, unnest(t) AS a, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, {_TERMS} AS t FROM {{src}})),
+l AS (SELECT doc_id, a, lead(a, 1) OVER (PARTITION BY doc_id ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM w),
+g AS (SELECT doc_id, a AS term FROM l UNION ALL SELECT doc_id, a || ' ' || b FROM l WHERE b IS NOT NULL UNION ALL SELECT doc_id, a || ' ' || b || ' ' || c FROM l WHERE c IS NOT NULL)"""
+_INDEX = f"WITH {_NGRAMS.format(src='documents')},\nidx AS (SELECT term, doc_id, count(*) AS cnt FROM g GROUP BY ALL)\n"
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.build_index(table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT page_id, {text.html_to_text_sql('html')} AS text FROM pages")
+def html_to_text(spark, d):
+    return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+
+
+@query()
+def html_document_text(spark, d):
+    return table(spark, d, "pages").select("page_id", html_text.html_document_text("html").alias("text"))
+
+
+@query(f"SELECT doc_id, unnest(t) AS term, CAST(generate_subscripts(t, 1) - 1 AS INT) AS pos FROM (SELECT doc_id, {_TERMS} AS t FROM documents)")
+def tokenize_normalize(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(text.terms(F.col("text"))).alias("pos", "term"))
+
+
+@query(f"SELECT DISTINCT w AS word, {text.stem_sql('w')} AS stem FROM (SELECT unnest({text.tokens_sql('text')}) AS w FROM documents)")
+def stem_distinct(spark, d):
+    words = table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", text.stem(F.col("word")).alias("stem"))
+
+
+@query()
+def porter_distinct(spark, d):
+    words = table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", porter.porter_stems(F.array("word"))[0].alias("stem"))
+
+
+_LOCAL = text.tokens_sql("regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')")
+
+
+@query(f"SELECT t AS token, count(*) AS cnt FROM (SELECT unnest({_LOCAL}) AS t FROM documents) GROUP BY 1")
+def local_token_counts(spark, d):
+    own = table(spark, d, "documents").select(F.explode(text.local_tokens(F.col("text"))).alias("token"))
+    return own.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+# ---- index
+
+
+@query(_INDEX + "SELECT * FROM idx")
+def ngram_counts(spark, d):
+    return documents_index(spark, d)
+
+
+@query(_INDEX + "SELECT *, CAST(row_number() OVER (PARTITION BY term ORDER BY cnt DESC, doc_id) AS INT) AS rnk FROM idx")
+def inverted_index(spark, d):
+    return index.ranked_postings(documents_index(spark, d))
+
+
+@query(_INDEX + "SELECT * FROM idx")
+def index_merge(spark, d):
+    docs = table(spark, d, "documents")
+    return index.merge_index(*[index.build_index(docs.where(F.pmod("doc_id", F.lit(2)) == k)) for k in (0, 1)])
+
+
+@query(_INDEX + "SELECT term, term || ' | ' || string_agg(CAST(doc_id AS VARCHAR) || ' ' || cnt, ' ' ORDER BY cnt DESC, CAST(doc_id AS VARCHAR)) AS line FROM idx GROUP BY term")
+def index_text_lines(spark, d):
+    return index_text.global_lines(documents_index(spark, d), "doc_id")
+
+
+@query(_INDEX + "SELECT term, CAST(doc_id AS VARCHAR) AS url, cnt FROM idx")
+def index_text_read(spark, d):
+    lines = index_text.global_lines(documents_index(spark, d), "doc_id")
+    return index_text.parse_global(lines.select(F.col("line").alias("value")))
+
+
+_MOD = "list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(range(0, 8), lambda i: CAST('0x' || substr({h}, i * 8 + 1, 8) AS HUGEINT))), lambda a, x: (a * 4294967296 + x) % {n})"
+_SORTED = "[" + ", ".join(f"'{n}'" for n in sorted(NIDS)) + "]"
+
+
+def _naive_sql(kid: str, nids: str = _SORTED, n: int = len(NIDS)) -> str:
+    return f"({nids})[CAST({_MOD.format(h=kid, n=n)} AS BIGINT) + 1]"
+
+
+def _id_sql(value: str) -> str:
+    return f"""sha256('"' || {value} || '"')"""
+
+
+@query(_INDEX + f"SELECT {_naive_sql(_id_sql('term'))} AS nid, count(*) AS n_terms FROM (SELECT DISTINCT term FROM idx) GROUP BY 1")
+def index_shards(spark, d):
+    terms = documents_index(spark, d).select("term").distinct()
+    return terms.groupBy(index.shard_of(F.col("term"), NIDS).alias("nid")).agg(F.count(F.lit(1)).alias("n_terms"))
+
+
+@query(_INDEX + "SELECT * FROM (SELECT doc_id, term, cnt, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, term) AS INT) AS rnk FROM idx) WHERE rnk <= 5")
+def top5_terms_per_doc(spark, d):
+    return index.top_terms(documents_index(spark, d))
+
+
+@query(_INDEX + "SELECT (SELECT count(*) FROM documents) AS docs, count(DISTINCT doc_id) AS docs_with_terms, count(DISTINCT term) AS terms FROM idx")
+def crawl_stats(spark, d):
+    return index.index_stats(table(spark, d, "documents"), documents_index(spark, d))
+
+
+# ---- search
+
+
+def _search_sql(query_text: str, k: int) -> str:
+    listed = ", ".join(f"'{t}'" for t in search.search_terms(query_text)) or "NULL"
+    return _INDEX + (
+        "SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rnk, doc_id, score FROM "
+        f"(SELECT doc_id, CAST(sum(cnt) AS BIGINT) AS score FROM idx WHERE term IN ({listed}) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT {k})"
+    )
+
+
+@query(_search_sql(SINGLE, 10))
+def search_single(spark, d):
+    return search.search_documents(table(spark, d, "documents"), SINGLE, 10)
+
+
+@query(_search_sql(PHRASE, 10))
+def search_phrase(spark, d):
+    return search.search_documents(table(spark, d, "documents"), PHRASE, 10)
+
+
+@query(_search_sql(MULTI, 20))
+def search_multi(spark, d):
+    return search.search_documents(table(spark, d, "documents"), MULTI)
+
+
+@query(_search_sql("the of", 10))
+def search_empty(spark, d):
+    return search.search_documents(table(spark, d, "documents"), "the of", 10)
+
+
+_ASKED = f"""asked AS (SELECT item_id, unnest(list_distinct(list_prepend(array_to_string(t, ' '), t))) AS term FROM (SELECT item_id, {_TERMS} AS t FROM benchmark)),
+scored AS (SELECT item_id, doc_id, CAST(sum(cnt) AS BIGINT) AS score FROM asked JOIN idx USING (term) GROUP BY ALL)"""
+
+
+@query(_INDEX.rstrip() + f",\n{_ASKED}\nSELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rnk FROM scored) WHERE rnk <= 10")
+def search_workload(spark, d):
+    return search.search_many(documents_index(spark, d), table(spark, d, "benchmark"))
+
+
+@query(_INDEX + f"SELECT * FROM idx WHERE contains(term, '{PART}')")
+def substring_search(spark, d):
+    return search.substring_search(documents_index(spark, d), PART)
+
+
+# ---- links and traversal
+
+_HREFS = "regexp_extract_all(coalesce(html, ''), '" + urls.HREF.replace("'", "''") + "', 1)"
+
+
+@query(f"SELECT page_id, unnest({_HREFS}) AS href FROM pages")
+def link_extract(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(urls.hrefs(F.col("html"))).alias("href"))
+
+
+@query(f"SELECT DISTINCT page_id, unnest({_HREFS}) AS href FROM pages")
+def link_distinct(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(urls.hrefs(F.col("html")))).alias("href"))
+
+
+@query()
+def link_resolve(spark, d):
+    return table(spark, d, "pages").select("page_id", F.posexplode(urls.page_links(F.col("url"), F.col("html"))).alias("pos", "url"))
+
+
+@query()
+def link_resolve_local(spark, d):
+    return table(spark, d, "pages").select("page_id", F.posexplode(urls.local_links(F.col("url"), F.col("html"))).alias("pos", "url"))
+
+
+_PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1)"
+
+
+@query(f"SELECT page_id, url, coalesce(regexp_matches(url, '^(?i:https?)://[^/?#]+') AND NOT regexp_matches({_PATH}, '(?i)\\.({urls.ASSETS})$'), false) AS flag FROM pages")
+def crawlable_urls(spark, d):
+    return table(spark, d, "pages").select("page_id", "url", urls.should_crawl(F.col("url")).alias("flag"))
+
+
+@query(
+    f"SELECT page_id, url, coalesce(contains({_PATH}, '/catalogue/') AND NOT contains({_PATH}, '/catalogue/category/') AND regexp_matches({_PATH}, '(?i)_[0-9]+/index\\.html$'), false)"
+    f" OR regexp_matches({_PATH}, '^/en/.*\\d[^/]*\\.html$') AS flag FROM pages"
+)
+def indexable_urls(spark, d):
+    english = urls.path_of(F.col("url")).rlike(r"^/en/.*\d[^/]*\.html$")
+    return table(spark, d, "pages").select("page_id", "url", urls.is_indexable(F.col("url"), english).alias("flag"))
+
+
+@query(f"SELECT href, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, unnest({_HREFS}) AS href FROM pages) GROUP BY 1")
+def reverse_link_graph(spark, d):
+    return crawl.reverse_links(link_distinct(spark, d))
+
+
+#: Links of the table are relative and name no page, so a page's address is its first link; the smallest page keeps an address.
+_SITE = f"""h AS (SELECT page_id, {_HREFS} AS links FROM pages),
+site AS (SELECT links[1] AS url, arg_min(links, page_id) AS links FROM h WHERE len(links) > 0 GROUP BY 1)"""
+
+
+def site(spark, d) -> DataFrame:
+    own = table(spark, d, "pages").select("page_id", urls.hrefs(F.col("html")).alias("links")).where(F.size("links") > 0)
+    return own.groupBy(F.col("links")[0].alias("url")).agg(F.min_by("links", "page_id").alias("links"))
+
+
+@query(
+    f"""WITH RECURSIVE {_SITE},
+bfs AS (SELECT url, 0 AS depth FROM (SELECT min(url) AS url FROM site)
+  UNION SELECT unnest(s.links), depth + 1 FROM bfs JOIN site s USING (url) WHERE depth < 3)
+SELECT url, CAST(min(depth) AS INT) AS depth, bool_or(url IN (SELECT url FROM site)) AS fetched FROM bfs GROUP BY url"""
+)
+def bfs_levels(spark, d):
+    own = site(spark, d)
+    first = own.agg(F.min("url")).first()[0]
+    if first is None:
+        return spark.createDataFrame([], "url string, depth int, fetched boolean")
+    return crawl.traverse(own, [first], max_depth=3, max_pages=None).select("url", "depth", "fetched")
+
+
+@query(f"WITH {_SITE} SELECT DISTINCT href FROM (SELECT unnest(links) AS href FROM h) WHERE href NOT IN (SELECT url FROM site)")
+def frontier_anti(spark, d):
+    found = table(spark, d, "pages").select(F.explode(urls.hrefs(F.col("html"))).alias("href")).distinct()
+    return found.join(site(spark, d).select(F.col("url").alias("href")), "href", "left_anti")
+
+
+@query("SELECT url, html FROM pages WHERE length(html) > 0")
+def page_fetch(spark, d):
+    """The page table stands in for the network: addresses are looked up, absent and empty pages dropped."""
+    found = table(spark, d, "pages")
+    return found.select("url").distinct().join(found.select("url", "html"), "url").where(F.length("html") > 0)
+
+
+# ---- MapReduce jobs
+
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')"
+
+
+@query("SELECT event_type AS k, max(value) AS v FROM events GROUP BY 1")
+def mr_max_per_key(spark, d):
+    return mapreduce.max_by_key(table(spark, d, "events"), F.col("event_type"), F.col("value"))
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN len(w) > 0 THEN floor(CAST(list_sum(list_transform(w, lambda x: length(x))) AS DOUBLE) / len(w) * 100 + 0.5) / 100 ELSE 0.0 END AS avg_len
+FROM (SELECT doc_id, {_WORDS} AS w FROM documents)"""
+)
+def mr_avg_word_len(spark, d):
+    return mapreduce.average_word_length(table(spark, d, "documents"))
+
+
+@query("SELECT ch, count(*) AS cnt FROM (SELECT unnest(string_split(regexp_replace(text, '\\s+', '', 'g'), '')) AS ch FROM benchmark) WHERE ch <> '' GROUP BY 1")
+def mr_char_freq(spark, d):
+    return mapreduce.char_frequency(table(spark, d, "benchmark"))
+
+
+@query(f"SELECT word, count(*) AS cnt FROM (SELECT unnest({_WORDS}) AS word FROM conversations) GROUP BY 1")
+def mr_word_count(spark, d):
+    return mapreduce.word_count(table(spark, d, "conversations"))
+
+
+def _mapper(key, value):
+    return [{w: 1} for w in (value or "").split()]
+
+
+def _reducer(key, values):
+    return {key: sum(values)}
+
+
+@query("""SELECT word AS k, '{"' || word || '": ' || count(*) || '}' AS out FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM benchmark) GROUP BY 1""")
+def mr_generic(spark, d):
+    """Word count through Python functions."""
+    letters = F.array_join(F.regexp_extract_all("text", F.lit("([a-z]+)")), " ")
+    store = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), letters.alias("value"))
+    return mapreduce.map_reduce(store, _mapper, _reducer)
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+tf AS (SELECT word, doc_id, len, count(*) AS c FROM (SELECT doc_id, len(w) AS len, unnest(w) AS word FROM s) GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1)
+SELECT word, doc_id, floor(CAST(c AS DOUBLE) / len * log10(CAST((SELECT count(*) FROM documents) AS DOUBLE) / df) * 100 + 0.5) / 100 AS tfidf FROM tf JOIN df USING (word)"""
+)
+def mr_tfidf(spark, d):
+    return mapreduce.tf_idf(table(spark, d, "documents"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{PATTERN}')")
+def mr_grep(spark, d):
+    return mapreduce.grep(table(spark, d, "documents"), PATTERN)
+
+
+@query("SELECT DISTINCT o_custkey + 10 AS k FROM orders WHERE o_custkey + 10 IN (SELECT c_custkey FROM customer)")
+def mr_missing_keys(spark, d):
+    """Of the keys asked for, shifted so that some are absent, those that the store has."""
+    asked = table(spark, d, "orders").select((F.col("o_custkey") + 10).alias("k"))
+    return mapreduce.present_keys(asked, table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k")
+
+
+@query(f"SELECT conv_id AS k, count(*) AS v_count FROM (SELECT conv_id, unnest({_WORDS}) FROM conversations) GROUP BY 1")
+def mr_flatten_values(spark, d):
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    flat = mapreduce.flattened(table(spark, d, "conversations"), F.col("conv_id"), words)
+    return flat.groupBy("k").agg(F.count(F.lit(1)).alias("v_count"))
+
+
+@query("SELECT 'shared' AS k, CAST(sum(length(text)) AS BIGINT) AS v FROM benchmark")
+def mr_shared_sum(spark, d):
+    return mapreduce.sum_by_key(table(spark, d, "benchmark"), F.lit("shared"), F.length("text").cast("bigint"))
+
+
+@query("SELECT conv_id AS k, string_agg(role, ',' ORDER BY turn) AS vs FROM conversations GROUP BY 1")
+def mr_identity_group(spark, d):
+    own = mapreduce.gather(table(spark, d, "conversations"), F.col("conv_id"), F.col("role"), F.col("turn"))
+    return own.select("k", F.array_join("vs", ",").alias("vs"))
+
+
+# ---- keyed tables
+
+
+def _writes(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_type").alias("gid"), F.col("user_id").cast("string").alias("key"), "value", F.col("event_id").alias("seq"))
+
+
+_LAST = "SELECT event_type AS gid, CAST(user_id AS VARCHAR) AS key, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY ALL"
+
+
+@query(_LAST)
+def kv_put_last_wins(spark, d):
+    own = _writes(spark, d)
+    first, later = own.where("seq % 2 = 0"), own.where("seq % 2 = 1")
+    held = kv.last_writes(first)
+    return kv.last_writes(held.unionByName(later))
+
+
+@query("SELECT event_type AS gid, CAST(user_id AS VARCHAR) AS key, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids FROM events GROUP BY ALL")
+def kv_append(spark, d):
+    own = _writes(spark, d).withColumn("value", F.col("seq").cast("string"))
+    return kv.append(own).select("gid", "key", F.array_join("values", ",").alias("ids"))
+
+
+@query(f"SELECT * FROM ({_LAST}) WHERE NOT (gid = 'error' AND CAST(key AS BIGINT) % 3 = 0)")
+def kv_delete(spark, d):
+    held = kv.last_writes(_writes(spark, d))
+    gone = held.where("gid = 'error' AND CAST(key AS BIGINT) % 3 = 0").select("gid", "key")
+    return kv.delete(held, gone)[0]
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events WHERE event_type = 'click'")
+def kv_keys(spark, d):
+    return kv.keys(kv.last_writes(_writes(spark, d)), "click")
+
+
+_KID = _id_sql("CAST(c_custkey AS VARCHAR)")
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS k, {_naive_sql(_KID)} AS nid FROM customer")
+def hash_naive(spark, d):
+    k = F.col("c_custkey").cast("string")
+    return table(spark, d, "customer").select(k.alias("k"), kv.place(k, NIDS).alias("nid"))
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS k, coalesce(list_min(list_filter({_SORTED}, lambda n: n > {_KID})), {_SORTED}[1]) AS nid FROM customer")
+def hash_consistent(spark, d):
+    k = F.col("c_custkey").cast("string")
+    return table(spark, d, "customer").select(k.alias("k"), kv.place(k, NIDS, "consistent").alias("nid"))
+
+
+@query(
+    f"""SELECT k, arg_max(nid, score) AS nid FROM (SELECT k, nid, sha256('"' || kid || nid || '"') AS score
+FROM (SELECT CAST(c_custkey AS VARCHAR) AS k, {_KID} AS kid FROM customer), (SELECT unnest({_SORTED}) AS nid)) GROUP BY k"""
+)
+def hash_rendezvous(spark, d):
+    k = F.col("c_custkey").cast("string")
+    return table(spark, d, "customer").select(k.alias("k"), kv.place(k, NIDS, "rendezvous").alias("nid"))
+
+
+_FOUR = "[" + ", ".join(f"'{n}'" for n in sorted(NIDS[:4])) + "]"
+
+
+@query(f"SELECT * FROM (SELECT CAST(c_custkey AS VARCHAR) AS k, {_naive_sql(_KID, _FOUR, 4)} AS old_nid, {_naive_sql(_KID)} AS new_nid FROM customer) WHERE old_nid <> new_nid")
+def reconf_moved(spark, d):
+    return kv.moved(table(spark, d, "customer"), "c_custkey", NIDS[:4], NIDS)
+
+
+@query("SELECT doc_id, sha256(CAST(to_json(text) AS VARCHAR)) AS id FROM documents")
+def content_id(spark, d):
+    return table(spark, d, "documents").select("doc_id", hashing.content_id(F.col("text")).alias("id"))
+
+
+# ---- statistics
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd_pop, min(value) AS mn, max(value) AS mx FROM events GROUP BY 1")
+def stats_summary(spark, d):
+    own = stats.summary(table(spark, d, "events"), "value", ["event_type"])
+    return own.withColumns({"mean": F.round("mean", 6), "sd_pop": F.round("sd_pop", 6)})
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT unnest({_WORDS}) AS w FROM benchmark), b AS (SELECT DISTINCT unnest({_WORDS}) AS w FROM conversations)
+SELECT greatest((SELECT count(*) FROM a WHERE w NOT IN (SELECT w FROM b)), (SELECT count(*) FROM b WHERE w NOT IN (SELECT w FROM a))) / CAST((SELECT count(*) FROM a) AS DOUBLE) AS ratio"""
+)
+def fuzzy_diff_ratio(spark, d):
+    words = lambda t: table(spark, d, t).select(F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("w"))
+    return stats.diff_ratio(words("benchmark"), words("conversations"))
+
+
+@query("SELECT coalesce(min(t) FILTER (t > 0), 0.0) AS bottleneck FROM (SELECT CASE WHEN sum(value) > 0 THEN round(count(*) * 1000 / sum(value), 6) ELSE 0.0 END AS t FROM events GROUP BY event_type)")
+def throughput_bottleneck(spark, d):
+    own = table(spark, d, "events").groupBy("event_type").agg(F.round(stats.throughput(F.count(F.lit(1)), F.sum("value")), 6).alias("throughput"))
+    return stats.bottleneck(own)
+
+
+# ---- streaming
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder of this run in the shared checkpoint folder."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/weft-checkpoint")
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+
+
+@query(_INDEX + "SELECT * FROM idx")
+def stream_index(spark, d):
+    """Micro-batches over the files of documents; the maintained index equals the batch one."""
+    at = _scratch(spark)
+    path = f"{d}/documents.parquet"
+    docs = index_stream.document_stream(spark, path, spark.read.parquet(path).schema)
+    index_stream.maintain_index(docs, f"{at}/index", f"{at}/log").awaitTermination()
+    return index_stream.read_maintained(spark, f"{at}/index")
+
+
+def _drain(spark, streamed: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over the files that are there and returns the last result, written as a table."""
+    at = _scratch(spark)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={number}")
+
+    streamed.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(*streamed.columns)
+
+
+@query("SELECT event_type, count(*) AS cnt FROM events GROUP BY 1")
+def stream_counts(spark, d):
+    path = f"{d}/events.parquet"
+    return _drain(spark, index_stream.counts(index_stream.document_stream(spark, path, spark.read.parquet(path).schema), "event_type"), "complete")
+
+
+@query(f"SELECT DISTINCT unnest({_HREFS}) AS url FROM pages")
+def stream_frontier(spark, d):
+    path = f"{d}/pages.parquet"
+    found = index_stream.document_stream(spark, path, spark.read.parquet(path).schema).select(F.explode(urls.hrefs(F.col("html"))).alias("url"))
+    return _drain(spark, index_stream.frontier(found), "append")

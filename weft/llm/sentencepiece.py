@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from weft.llm.hashing import hash_runs, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes whose units are split together.
-BATCH = 8 << 20
+BATCH = 4 << 20
 #: Longer units advance alone.
 LONG = 512
 
@@ -233,22 +234,30 @@ def _held(sent) -> Automaton:
     return _HELD["automaton"]
 
 
-def _encode(sent, text_col: str):
+def _lists(flat: np.ndarray, count: np.ndarray, null: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+    at = pa.array(offsets, mask=np.append(null, False)) if null.any() else pa.array(offsets)
+    return pa.ListArray.from_arrays(at, pa.array(flat, pa.int32()))
+
+
+def _encode(sent, text_col: str, back: bool):
     def run(batches):
-        automaton = _held(sent)
+        automaton, decoded = _held(sent), sent.value.decoded
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text_col))
-            nbytes = np.array([0 if x is None else len(x) for x in texts.cast(pa.binary()).to_pylist()])
+            k = batch.schema.names.index(text_col)
+            far = np.cumsum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(np.cumsum(nbytes[at:]), BATCH, "right")) + at)
+                to = max(at + 1, int(np.searchsorted(far, (far[at - 1] if at else 0) + BATCH, "right")))
                 part = batch.slice(at, to - at)
-                own = part.column(batch.schema.names.index(text_col)).cast(pa.binary()).to_pylist()
-                flat, count = automaton.encode([x or b"" for x in own])
-                offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+                own = part.column(k).cast(pa.binary()).to_pylist()
                 null = np.array([x is None for x in own])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(null, False)) if null.any() else pa.array(offsets), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*batch.schema.names, "ids"])
+                flat, count = automaton.encode([x or b"" for x in own])
+                new = [_lists(flat, count, null)]
+                if back:
+                    end = np.cumsum(count).tolist()
+                    new.append(pa.array([None if x is None else decode_ids(flat[e - n : e].tolist(), decoded) for x, e, n in zip(own, end, count.tolist(), strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*batch.schema.names, "ids", "decoded"][: len(part.columns) + len(new)])
                 at = to
 
     return run
@@ -275,17 +284,18 @@ def _schema(df: DataFrame, extra: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), extra])
 
 
-def encode(df: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """df with ids array<int>: the split of each text with the highest sum of scores.
+def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, back: bool = False) -> DataFrame:
+    """df with ids array<int>: the split of each text with the highest sum of scores; with `back` also decoded, what the ids give.
 
     Of equally good splits that whose last piece is longer wins, at each position. A
     null text has null ids, an empty one none. Any other text is split with a space in
     front, unchanged otherwise; a character without a piece becomes its bytes, as does
-    a literal U+2581, so decode() gives every text back. A column named ids is replaced.
+    a literal U+2581, so decoding gives every text back. Columns named ids (and, with
+    `back`, decoded) are replaced.
     """
     sent = df.sparkSession.sparkContext.broadcast(load(model))
-    df = df.drop("ids")
-    return df.mapInArrow(_encode(sent, text_col), _schema(df, "ids array<int>"))
+    df = df.drop("ids", "decoded") if back else df.drop("ids")
+    return df.mapInArrow(_encode(sent, text_col, back), _schema(df, "ids array<int>" + ", decoded string" * back))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -297,11 +307,11 @@ def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip (the decoded ids equal the text; null for a null text)."""
-    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    both = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), back=True)
     return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids", (F.col("text") == F.col("decoded")).alias("round_trip"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with their token ids; the text is what the ids decode to."""
-    both = decode(encode(docs))
+    both = encode(docs, back=True)
     return both.select(*[F.col("decoded").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], "ids", F.size("ids").cast("bigint").alias("n_tokens"))

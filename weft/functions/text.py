@@ -116,3 +116,18 @@ def ngrams(words: Column, sep: str = " ") -> Column:
 
     # bound once: inside a lambda a column expression would be computed again for every word
     return F.transform(F.array(words), runs)[0]
+
+
+def ngram_bag(words: Column, sizes: Sequence[int] = (1, 2, 3), sep: str = " ") -> Column:
+    """The same runs in no order, of the given sizes only: one concatenation a run."""
+
+    def runs(own: Column) -> Column:
+        n = F.size(own)
+        tail = lambda k: F.slice(own, F.lit(k + 1), F.greatest(n - k, F.lit(0)))
+        join = lambda a, b: F.concat(a, F.lit(sep), b)
+        # the shorter side ends a pair; what it leaves is null and goes
+        two = F.filter(F.zip_with(own, tail(1), join), lambda x: x.isNotNull())
+        parts = {1: own, 2: two, 3: F.filter(F.zip_with(two, tail(2), join), lambda x: x.isNotNull())}
+        return F.concat(*[parts[k] for k in sorted(set(sizes))])
+
+    return F.transform(F.array(words), runs)[0]

@@ -9,20 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.hashing import HASHERS, content_id, content_id_of
-from weft.functions.text import STOP_WORDS, ngrams, terms
-
-
-def document_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """doc and its n-grams as an array."""
-    return docs.select(F.col(doc), ngrams(terms(F.col(text), stop_words)).alias("terms"))
+from weft.functions.text import STOP_WORDS, ngram_bag, terms
 
 
 def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_words: Sequence[str] = STOP_WORDS, only: Sequence[str] | None = None) -> DataFrame:
-    """(term, doc, cnt) of all n-grams; with `only`, of those terms, which are picked out before anything is shuffled."""
-    found = document_terms(docs, doc, text, stop_words)
+    """(term, doc, cnt) of all n-grams; with `only`, of those terms: no other sizes are formed and no other terms shuffled."""
+    sizes = (1, 2, 3) if only is None else sorted({n for n in (len(t.split(" ")) for t in only) if n <= 3})
+    found = ngram_bag(terms(F.col(text), stop_words), sizes) if sizes else F.array().cast("array<string>")
     if only is not None:
-        found = found.withColumn("terms", F.filter("terms", lambda t: t.isin(*only)) if only else F.array().cast("array<string>"))
-    return found.select(doc, F.explode("terms").alias("term")).groupBy("term", doc).agg(F.count(F.lit(1)).alias("cnt"))
+        found = F.filter(found, lambda t: t.isin(*only))
+    return docs.select(doc, F.explode(found).alias("term")).groupBy("term", doc).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def merge_index(*parts: DataFrame, doc: str = "doc_id") -> DataFrame:

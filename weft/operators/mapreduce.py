@@ -7,7 +7,7 @@ be: the jobs below keep partial aggregation and never leave the JVM.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +26,7 @@ def map_reduce(store: DataFrame, mapper: Callable, reducer: Callable, keys: Data
     """
     rows = store.join(keys.select("key").distinct(), "key", "left_semi") if keys is not None else store
 
-    def emit(batches: Iterable[pd.DataFrame]):
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for key, value in zip(pdf["key"], pdf["value"], strict=True):
@@ -37,7 +37,7 @@ def map_reduce(store: DataFrame, mapper: Callable, reducer: Callable, keys: Data
                             out.extend((str(k), json.dumps(x)) for x in (one if isinstance(one, list) else [one]))
             yield pd.DataFrame(out, columns=["k", "v"])
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"k": [key[0]], "out": [json.dumps(reducer(key[0], [json.loads(v) for v in pdf["v"]]))]})
 
     return rows.select("key", "value").mapInPandas(emit, "k string, v string").groupBy("k").applyInPandas(fold, "k string, out string")

@@ -36,10 +36,12 @@ from weft.llm.hashing import OTHER, U, mix, prefix, span, spread
 
 #: Items hashed at once; text bytes whose entries are merged before the shuffle.
 PIECE, BLOCK = 1 << 18, 24 << 20
+#: Windows that a kernel looks at together.
+LOOKED = 1 << 20
 REPEAT, LOOK = 1, 2
 _INDEX = U((1 << 20) - 1)
-_SENT = "bucket int, blob binary, doc_id bigint, th int, kind tinyint, runs array<bigint>"
-_MARKS = "doc_id bigint, th int, kind tinyint, runs array<bigint>"
+_SENT = "bucket int, entries binary, doc_bucket int, marks binary"
+_MARKS = "doc_bucket int, marks binary"
 
 
 class Rule(NamedTuple):
@@ -205,17 +207,14 @@ def _unblob(b: bytes):
     return _from_six(h), _from_six(c), own[at], th[at], lo.astype(np.int64), more.astype(np.int64), np.unpackbits(ask, count=len(lo)).astype(bool)
 
 
-def _batch(bucket, blob, doc_id, th, kind, runs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int32()), pa.array(blob, pa.binary()), pa.array(doc_id, pa.int64()), pa.array(th, pa.int32()), pa.array(kind, pa.int8()), runs], names=["bucket", "blob", "doc_id", "th", "kind", "runs"]
-    )
+def _sent(bucket: list, entries: list, to: list, marks: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(entries, pa.binary()), pa.array(to, pa.int32()), pa.array(marks, pa.binary())], names=["bucket", "entries", "doc_bucket", "marks"])
 
 
-def _marked(doc_id, th, kind, lo, more):
-    """One row for each document and kind: arrays (doc_id, th, kind, list of lo << 16 | more)."""
+def _merged(doc_id, th, kind, lo, more):
+    """Sorted marks; stretches that follow each other become one, up to a size that fits."""
     order = np.lexsort((lo, kind, th, doc_id))
     doc_id, th, kind, lo, more = doc_id[order], th[order], kind[order], lo[order], more[order]
-    # stretches that follow each other become one, up to a size that fits
     own = _groups(doc_id, th, kind)
     own[1:] |= lo[1:] != lo[:-1] + more[:-1] + 1
     begin = lo[np.flatnonzero(own)[np.cumsum(own) - 1]]
@@ -223,30 +222,61 @@ def _marked(doc_id, th, kind, lo, more):
     own[1:] |= part[1:] != part[:-1]
     at = np.flatnonzero(own)
     end = np.append(at[1:], len(lo)) - 1
-    more = lo[end] + more[end] - lo[at]
-    doc_id, th, kind, lo = doc_id[at], th[at], kind[at], lo[at]
-    at = np.flatnonzero(_groups(doc_id, th, kind))
-    runs = pa.ListArray.from_arrays(pa.array(np.append(at, len(lo)).astype(np.int32)), pa.array(lo << 16 | more))
-    return doc_id[at], th[at], kind[at].astype(np.int8), runs
+    return doc_id[at], th[at], kind[at], lo[at], lo[end] + more[end] - lo[at]
+
+
+def _mark_blobs(doc_id, th, kind, lo, more, buckets: int):
+    """(document bucket, blob) of marks; few rows however many documents."""
+    doc_id, th, kind, lo, more = _merged(doc_id, th, kind, lo, more)
+    to = (mix(doc_id.astype(np.uint64) + th.astype(np.int64).astype(np.uint64)) % U(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    for own in np.split(order, np.flatnonzero(_groups(to[order]))[1:]):
+        head = np.flatnonzero(_groups(doc_id[own], th[own], kind[own]))
+        first = own[head]
+        parts = (doc_id[first], th[first].astype(np.int32), kind[first].astype(np.int8), np.diff(np.append(head, len(own))).astype(np.uint32), lo[own].astype(np.uint32), more[own].astype(np.uint16))
+        yield int(to[own[0]]), zstandard.ZstdCompressor(1).compress(pickle.dumps(parts, 5))
+
 
+def _gather(wanted: int):
+    """All marks of one kind, one row a document."""
 
-def _emit(asking: Stretches, telling: Stretches, marks: list, docs: Docs, buckets: int):
+    def run(batches):
+        held = []
+        for b in batches:
+            for x in b.column(1).to_pylist():
+                doc_id, th, kind, count, lo, more = pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+                keep = np.repeat(kind == wanted, count)
+                if keep.any():
+                    held.append((np.repeat(doc_id, count)[keep], np.repeat(th, count)[keep], lo[keep].astype(np.int64), more[keep].astype(np.int64)))
+        if not held:
+            return
+        doc_id, th, lo, more = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        doc_id, th, _, lo, more = _merged(doc_id, th, np.zeros(len(lo), np.int8), lo, more)
+        at = np.append(np.flatnonzero(_groups(doc_id, th)), len(lo))
+        for k in range(0, len(at) - 1, 10_000):
+            own = at[k : k + 10_001]
+            a, b = int(own[0]), int(own[-1])
+            runs = pa.ListArray.from_arrays(pa.array((own - a).astype(np.int32)), pa.array(lo[a:b] << 16 | more[a:b]))
+            yield pa.RecordBatch.from_arrays([pa.array(doc_id[own[:-1]]), pa.array(th[own[:-1]], pa.int32()), runs], names=["doc_id", "th", "runs"])
+
+    return run
+
+
+def _emit(asking: Stretches, telling: Stretches, marks: list, docs: Docs, buckets: int, doc_buckets: int):
     both = _joined([asking, telling])
     ask = np.zeros(len(both.h), bool)
     ask[: len(asking.h)] = True
-    bucket = (mix(both.h) % U(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(_groups(bucket[order]))
-    rows = [(int(bucket[own[0]]), _blob(both.pick(own), ask[own], docs)) for own in np.split(order, cuts[1:]) if len(own)]
-    if rows:
-        n = len(rows)
-        empty = pa.array([None] * n, pa.list_(pa.int64()))
-        yield _batch([r[0] for r in rows], [r[1] for r in rows], [None] * n, [None] * n, [None] * n, empty)
+    if len(both.h):
+        bucket = (mix(both.h) % U(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        for own in np.split(order, np.flatnonzero(_groups(bucket[order]))[1:]):
+            yield _sent([int(bucket[own[0]])], [_blob(both.pick(own), ask[own], docs)], [None], [None])
     s = _joined([m for m, _ in marks])
     if len(s.h):
         kind = np.concatenate([np.full(len(m.h), k) for m, k in marks])
-        d, t, k, runs = _marked(docs.id[s.doc], docs.th[s.doc], kind, s.lo, s.more)
-        yield _batch((np.abs(d) % buckets).astype(np.int32), [None] * len(d), d, t, k, runs)
+        for to, blob in _mark_blobs(docs.id[s.doc], docs.th[s.doc], kind, s.lo, s.more, doc_buckets):
+            yield _sent([to], [None], [to], [blob])
 
 
 def _blocks(batches) -> Iterator[tuple[Docs, list]]:
@@ -280,22 +310,34 @@ def unpack(z) -> bytes:
     return z.encode("utf-8", "surrogatepass") if isinstance(z, str) else zstandard.ZstdDecompressor().decompress(z)
 
 
-def _describe(rule: Rule, buckets: int):
+def _describe(rule: Rule, buckets: int, doc_buckets: int):
     def run(batches):
         for docs, texts, _ in _blocks(batches):
             repeats, look, ask, tell = _settle(stretches((rule.items(t) for t in texts), rule), docs, rule)
-            yield from _emit(ask, tell, [(repeats, REPEAT), (look, LOOK)], docs, buckets)
+            yield from _emit(ask, tell, [(repeats, REPEAT), (look, LOOK)], docs, buckets, doc_buckets)
 
     return run
 
 
-def _look(rule: Rule, buckets: int):
-    """Step 3 in a block: the kernel's classes of equal windows, one entry each."""
+def _look(rule: Rule, buckets: int, doc_buckets: int):
+    """Step 3 in a block of at most about LOOKED windows: the kernel's classes of equal windows, one entry each."""
+    n = rule.length
+
+    def settle(docs: Docs, parts: list, doc: list, base: list, lengths: list):
+        size, count = np.array([len(p) for p in parts], np.int64), np.array(lengths, np.int64)
+        first = np.cumsum(size) - size
+        values, starts = np.concatenate(parts), spread(first, count)
+        owner = np.repeat(np.arange(len(parts)), count)
+        where, lo = np.array(doc)[owner], np.array(base)[owner] + starts - first[owner]
+        del owner
+        repeats, ask = _settle_classes(rule.kernel(values, n, starts, lo), where, lo, docs, rule)
+        h, c = _window_hashes(rule.values, values, starts, n)
+        s = Stretches(h, c, where, lo, np.zeros(len(starts), np.int64))
+        yield from _emit(s.pick(ask), s.pick(slice(0, 0)), [(s.pick(repeats), REPEAT)], docs, buckets, doc_buckets)
 
     def run(batches):
-        n = rule.length
         for docs, texts, runs in _blocks(batches):
-            parts, doc, base, lengths = [], [], [], []
+            held, total = ([], [], [], []), 0
             for d, (t, r) in enumerate(zip(texts, runs, strict=True)):
                 v = rule.items(t)
                 r = np.sort(np.array(r, np.int64))
@@ -304,21 +346,16 @@ def _look(rule: Rule, buckets: int):
                 head[1:] = lo[1:] > hi[:-1] + 1
                 at = np.flatnonzero(head)
                 for a, b in zip(lo[at].tolist(), hi[np.append(at[1:], len(hi)) - 1].tolist(), strict=True):
-                    parts.append(v[a : b + n])
-                    doc.append(d)
-                    base.append(a)
-                    lengths.append(b - a + 1)
-            size = np.array([len(p) for p in parts], np.int64)
-            first, count = np.cumsum(size) - size, np.array(lengths, np.int64)
-            values = np.concatenate(parts)
-            starts = spread(first, count)
-            owner = np.repeat(np.arange(len(parts)), count)
-            doc, base = np.array(doc)[owner], np.array(base)[owner] + starts - first[owner]
-            repeats, ask = _settle_classes(rule.kernel(values, n, starts, base), doc, base, docs, rule)
-            h, c = _window_hashes(rule.values, values, starts, n)
-            none = np.zeros(len(starts), np.int64)
-            s = Stretches(h, c, doc, base, none)
-            yield from _emit(s.pick(ask), s.pick(slice(0, 0)), [(s.pick(repeats), REPEAT)], docs, buckets)
+                    for x in range(a, b + 1, LOOKED):
+                        y = min(b, x + LOOKED - 1)
+                        for to, what in zip(held, (v[x : y + n], d, x, y - x + 1), strict=True):
+                            to.append(what)
+                        total += y - x + 1
+                        if total >= LOOKED:
+                            yield from settle(docs, *held)
+                            held, total = ([], [], [], []), 0
+            if held[0]:
+                yield from settle(docs, *held)
 
     return run
 
@@ -349,7 +386,7 @@ def _window_hashes(value, items: np.ndarray, starts: np.ndarray, n: int) -> tupl
     return _low48(h), _low48(c)
 
 
-def _answer(rule: Rule, final: bool):
+def _answer(rule: Rule, final: bool, buckets: int):
     """Step 2: all entries of an anchor meet; local marks pass through."""
 
     def run(batches):
@@ -360,9 +397,9 @@ def _answer(rule: Rule, final: bool):
                 if x is not None:
                     got = _unblob(x)
                     held.append((np.full(len(got[0]), bucket, np.int32), *got))
-            own = b.filter(b.column(4).is_valid())
+            own = b.filter(b.column(3).is_valid())
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays(own.columns[2:], names=own.schema.names[2:])
+                yield own.select(["doc_bucket", "marks"])
         if not held:
             return
         bucket, h, c, doc, th, lo, more, ask = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -380,10 +417,8 @@ def _answer(rule: Rule, final: bool):
         use = np.flatnonzero(ask & (kind > 0))
         if not len(use):
             return
-        d, t, k, runs = _marked(doc[use], th[use], kind[use], lo[use], more[use])
-        for at in range(0, len(d), 20_000):
-            to = at + 20_000
-            yield pa.RecordBatch.from_arrays([pa.array(d[at:to]), pa.array(t[at:to], pa.int32()), pa.array(k[at:to], pa.int8()), runs[at:to]], names=["doc_id", "th", "kind", "runs"])
+        got = list(_mark_blobs(doc[use], th[use], kind[use], lo[use], more[use], buckets))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["doc_bucket", "marks"])
 
     return run
 
@@ -395,8 +430,8 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([z if i == k else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
 
-def _per_doc(marks: DataFrame) -> DataFrame:
-    return marks.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+def _per_doc(marks: DataFrame, kind: int, n: int) -> DataFrame:
+    return marks.repartition(n, "doc_bucket").mapInArrow(_gather(kind), "doc_id bigint, th int, runs array<bigint>")
 
 
 def find_repeats(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -416,13 +451,12 @@ def find_repeats(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: st
         *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)],
     )
     few = docs.select("doc_id", "th", "z")
-    sent = few.mapInArrow(_describe(rule, 4 * n), _SENT)
-    marks = cut(sent.repartition(n, "bucket").mapInArrow(_answer(rule, False), _MARKS))
-    looked = _per_doc(marks.where(F.col("kind") == LOOK))
+    sent = few.mapInArrow(_describe(rule, 4 * n, 2 * n), _SENT)
+    marks = cut(sent.repartition(n, "bucket").mapInArrow(_answer(rule, False, 2 * n), _MARKS))
     packed = few.mapInArrow(_packed, "doc_id bigint, th int, z binary")
-    close = packed.join(looked, ["doc_id", "th"]).mapInArrow(_look(rule, 4 * n), _SENT)
-    more = close.repartition(n, "bucket").mapInArrow(_answer(rule, True), _MARKS)
-    repeats = _per_doc(marks.where(F.col("kind") == REPEAT).unionByName(more))
+    close = packed.join(_per_doc(marks, LOOK, n), ["doc_id", "th"]).mapInArrow(_look(rule, 4 * n, 2 * n), _SENT)
+    more = close.repartition(n, "bucket").mapInArrow(_answer(rule, True, 2 * n), _MARKS)
+    repeats = _per_doc(marks.unionByName(more), REPEAT, n)
     types = [docs.schema[f"_{i}"].dataType.simpleString() for i in range(len(keep))]
     whole = docs.mapInArrow(_packed, ", ".join(["doc_id bigint, th int, z binary", *(f"_{i} {t}" for i, t in enumerate(types))]))
     return whole.join(repeats, ["doc_id", "th"], "left").select("doc_id", "th", "z", "runs", *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])

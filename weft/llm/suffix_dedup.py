@@ -25,7 +25,7 @@ from weft.llm.common import LONG_MIN, table
 from weft.llm.hashing import byte_values
 from weft.llm.repeats import Rule, covered, find_repeats, unpack
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 48
 #: Period and difference cover: every difference modulo 13 is one of two members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Suffixes in a bucket, about.
@@ -153,7 +153,8 @@ def _values(items: np.ndarray) -> np.ndarray:
     return byte_values()[items]
 
 
-def rule(length: int = LENGTH, gram: int = GRAM) -> Rule:
+def rule(length: int = LENGTH, gram: int | None = None) -> Rule:
+    gram = min(GRAM, length) if gram is None else gram
     if not 16 <= gram <= length:
         raise ValueError("length and gram: 16 <= gram <= length")
     return Rule(length, gram, True, _bytes, _values, window_classes)

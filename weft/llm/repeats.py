@@ -35,9 +35,9 @@ from weft.llm.common import LONG_MIN, cut, partitions
 from weft.llm.hashing import OTHER, U, mix, prefix, span, spread
 
 #: Items hashed at once; text bytes whose entries are merged before the shuffle.
-PIECE, BLOCK = 1 << 18, 24 << 20
+PIECE, BLOCK = 1 << 18, 12 << 20
 #: Windows that a kernel looks at together.
-LOOKED = 1 << 20
+LOOKED = 1 << 19
 REPEAT, LOOK = 1, 2
 _INDEX = U((1 << 20) - 1)
 _SENT = "bucket int, entries binary, doc_bucket int, marks binary"
@@ -154,18 +154,20 @@ class Docs(NamedTuple):
 
 def _settle(s: Stretches, docs: Docs, rule: Rule):
     """Within a block: (repeats, closer looks, entries that ask, entries that only tell)."""
+    if not len(s.h):
+        return s, s, s, s
     rank = docs.ranks()[s.doc]
     order = np.lexsort((s.lo, rank, s.c, s.h))
     s, rank = s.pick(order), rank[order]
     keep = _groups(s.h, s.c, rank, s.lo)  # repeated rows count once
     s, rank = s.pick(keep), rank[keep]
     by_h, by_c = _groups(s.h), _groups(s.h, s.c)
-    first = np.flatnonzero(by_c)[np.cumsum(by_c) - 1] if len(by_c) else np.empty(0, np.int64)
+    first = np.flatnonzero(by_c)[np.cumsum(by_c) - 1]
     if rule.same_doc:
         later = np.arange(len(first)) != first
     else:
         later = docs.id[s.doc] > docs.id[s.doc[first]]
-    kinds = np.bincount(np.cumsum(by_h) - 1, weights=by_c)[np.cumsum(by_h) - 1] if len(by_h) else np.empty(0)
+    kinds = np.bincount(np.cumsum(by_h) - 1, weights=by_c)[np.cumsum(by_h) - 1]
     several = kinds > 1
     # of several spans the first and the last tell the reducer that there are two
     tell = several & (by_h | _last_span(by_h, by_c))
@@ -177,7 +179,7 @@ def _last_span(by_h: np.ndarray, by_c: np.ndarray) -> np.ndarray:
     heads = np.flatnonzero(by_c)
     anchor = (np.cumsum(by_h) - 1)[heads]
     out = np.zeros(len(by_h), bool)
-    out[heads[np.append(anchor[1:] != anchor[:-1], True)]] = len(heads) > 0
+    out[heads[np.append(anchor[1:] != anchor[:-1], True)]] = True
     return out
 
 
@@ -279,23 +281,33 @@ def _emit(asking: Stretches, telling: Stretches, marks: list, docs: Docs, bucket
             yield _sent([to], [None], [to], [blob])
 
 
-def _blocks(batches) -> Iterator[tuple[Docs, list]]:
-    """Rows (doc_id, th, z, ...) in blocks of about BLOCK text bytes; z holds texts, packed if it is a binary column."""
-    ids, ths, texts, rest, size = [], [], [], [], 0
+def _rows(batches):
+    """(doc_id, th, text, runs) row by row, few texts at a time."""
     for b in batches:
         names = b.schema.names
-        col = b.column(names.index("z")).to_pylist()
-        more = b.column(names.index("runs")).to_pylist() if "runs" in names else [None] * len(col)
-        for i, t, z, r in zip(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("th")).to_pylist(), col, more, strict=True):
-            text = unpack(z)
-            ids.append(i)
-            ths.append(t)
-            texts.append(text)
-            rest.append(r)
-            size += len(text)
-            if size >= BLOCK:
-                yield Docs(np.array(ids), np.array(ths, np.int32)), texts, rest
-                ids, ths, texts, rest, size = [], [], [], [], 0
+        for at in range(0, b.num_rows, 128):
+            part = b.slice(at, 128)
+            z = part.column(names.index("z"))
+            z = (z.cast(pa.binary()) if pa.types.is_string(z.type) else z).to_pylist()
+            packed = pa.types.is_binary(b.column(names.index("z")).type)
+            runs = part.column(names.index("runs")).to_pylist() if "runs" in names else [None] * len(z)
+            for i, t, x, r in zip(part.column(names.index("doc_id")).to_pylist(), part.column(names.index("th")).to_pylist(), z, runs, strict=True):
+                yield i, t, (unpack(x) if packed else x or b""), r
+    pa.default_memory_pool().release_unused()
+
+
+def _blocks(batches) -> Iterator[tuple[Docs, list, list]]:
+    """Rows in blocks of about BLOCK text bytes; z holds texts, packed if it is a binary column."""
+    ids, ths, texts, rest, size = [], [], [], [], 0
+    for i, t, text, r in _rows(batches):
+        ids.append(i)
+        ths.append(t)
+        texts.append(text)
+        rest.append(r)
+        size += len(text)
+        if size >= BLOCK:
+            yield Docs(np.array(ids), np.array(ths, np.int32)), texts, rest
+            ids, ths, texts, rest, size = [], [], [], [], 0
     if ids:
         yield Docs(np.array(ids), np.array(ths, np.int32)), texts, rest
 
@@ -304,10 +316,8 @@ def pack(text: bytes | None) -> bytes | None:
     return None if text is None else zstandard.ZstdCompressor(1).compress(text)
 
 
-def unpack(z) -> bytes:
-    if z is None:
-        return b""
-    return z.encode("utf-8", "surrogatepass") if isinstance(z, str) else zstandard.ZstdDecompressor().decompress(z)
+def unpack(z: bytes | None) -> bytes:
+    return b"" if z is None else zstandard.ZstdDecompressor().decompress(z)
 
 
 def _describe(rule: Rule, buckets: int, doc_buckets: int):
@@ -424,10 +434,13 @@ def _answer(rule: Rule, final: bool, buckets: int):
 
 
 def _packed(batches):
+    """The column z, texts, compressed."""
     for b in batches:
         k = b.schema.names.index("z")
-        z = pa.array([pack(None if x is None else x.encode("utf-8", "surrogatepass")) for x in b.column(k).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([z if i == k else c for i, c in enumerate(b.columns)], names=b.schema.names)
+        for at in range(0, b.num_rows, 1024):
+            part = b.slice(at, 1024)
+            z = pa.array([pack(x) for x in part.column(k).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([z if i == k else c for i, c in enumerate(part.columns)], names=b.schema.names)
 
 
 def _per_doc(marks: DataFrame, kind: int, n: int) -> DataFrame:
@@ -473,3 +486,10 @@ def covered(runs: list[int] | None, length: int) -> list[tuple[int, int]]:
     head[1:] = lo[1:] > far[:-1]
     at = np.flatnonzero(head)
     return list(zip(lo[at].tolist(), far[np.append(at[1:], len(lo)) - 1].tolist(), strict=True))
+
+
+def parts(batches, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are unpacked at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

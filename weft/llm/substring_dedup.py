@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import LONG_MIN, table
 from weft.llm.hashing import NOT_SPACE, OTHER, mix, prefix, span, words
-from weft.llm.repeats import Rule, covered, find_repeats, unpack
+from weft.llm.repeats import Rule, covered, find_repeats, parts, unpack
 
 LENGTH, GRAM = 50, 25
 
@@ -71,7 +71,7 @@ def rule(length: int = LENGTH) -> Rule:
 
 def _cut_out(length: int):
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             names = b.schema.names
             n, spans, kept = [], [], []
             for z, r in zip(b.column(names.index("z")).to_pylist(), b.column(names.index("runs")).to_pylist(), strict=True):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import LONG_MIN, table
 from weft.llm.hashing import byte_values
-from weft.llm.repeats import Rule, covered, find_repeats, unpack
+from weft.llm.repeats import Rule, covered, find_repeats, parts, unpack
 
 LENGTH, GRAM = 100, 48
 #: Period and difference cover: every difference modulo 13 is one of two members.
@@ -162,7 +162,7 @@ def rule(length: int = LENGTH, gram: int | None = None) -> Rule:
 
 def _cut_out(length: int, keep: list[str]):
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             names = b.schema.names
             zs, runs = b.column(names.index("z")), b.column(names.index("runs"))
             cols: list[list] = [[], [], [], [], []]

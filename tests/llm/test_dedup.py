@@ -117,3 +117,16 @@ def test_block_index_classes():
     for i in starts.tolist():
         of.setdefault(text[i : i + 50].tobytes(), set()).add(int(cls[i]))
     assert all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of)
+
+
+def test_marks_of_a_long_repeat_merge():
+    import pyarrow as pa
+
+    from weft.llm import repeats
+
+    lo = np.arange(0, 200_000, 37)
+    zeros = np.zeros(len(lo), np.int64)
+    got = list(repeats._mark_blobs(zeros, zeros.astype(np.int32), zeros + 1, lo, zeros + 36, 4))
+    sent = pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int32()), pa.array([y for _, y in got], pa.binary())], names=["doc_bucket", "marks"])
+    runs = [r for b in repeats._gather(1)([sent, sent]) for r in b.column(2).to_pylist()]
+    assert len(runs) == 1 and repeats.covered(runs[0], 100) == [(0, int(lo[-1]) + 136)]

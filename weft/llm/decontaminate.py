@@ -165,8 +165,8 @@ def _search(sent, window: int, more: bool):
     return run
 
 
-def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per row of df: id, n_words, spans (hit word ranges), item_ids (strings, sorted).
+def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of df: id, the columns `keep`, n_words, spans (hit word ranges), item_ids (strings, sorted).
 
     Words are lower-cased (A-Z) runs of digits, letters and anything beyond ASCII. A
     pattern is `window` consecutive words of an item; a shorter item is one pattern as a
@@ -180,13 +180,14 @@ def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id",
     used = items.where(F.col(f"`{item_id}`").isNotNull() & F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text"))
     size = used.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // ITEMS_BLOCK))
-    out = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    schema = f"_id {out.schema['_id'].dataType.simpleString()}, _text string, {_OUT}"
+    others = {"_text" if c == text_col else f"_k{i}": c for i, c in enumerate(keep or [])}
+    out = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`").alias(k) for k, c in others.items() if k != "_text"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields), _OUT])
     for k in range(n):
         own = used.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else used
         rows = [(r.item, r.text.encode("utf-8", "surrogatepass")) for r in own.collect()]
         out = out.mapInArrow(_search(spark.sparkContext.broadcast(rows), window, k > 0), schema)
-    return out.select(F.col("_id").alias(id_col), "n_words", "spans", "item_ids")
+    return out.select(F.col("_id").alias(id_col), *[F.col(k).alias(c) for k, c in others.items()], "n_words", "spans", "item_ids")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,8 +200,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark window go."""
-    bad = find_contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    others = [c for c in docs.columns if c != "doc_id"]
+    return find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=others).where(F.size("spans") == 0).select(*docs.columns)
 
 
 _CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -27,6 +27,8 @@ BITS = 3
 PIVOTS = 24
 #: Nodes of a bucket that are compared in one task; larger ones are split.
 TILE = 4096
+#: Texts that are hashed together.
+SLICE = 512
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -66,8 +68,10 @@ def fingerprints(texts: list[bytes | None], shingle: int = 3) -> np.ndarray:
 def _hash_batches(shingle: int):
     def run(batches):
         for b in batches:
-            texts = [None if x is None else x.encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(texts, shingle).view(np.int64))], names=["id", "fp"])
+            for at in range(0, b.num_rows, SLICE):  # few shingles at a time
+                part = b.slice(at, SLICE)
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(texts, shingle).view(np.int64))], names=["id", "fp"])
 
     return run
 

@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts. A table of fewer splits than cores, one small file perhaps, is dealt out first; a large one is read as it lies."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def query(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
@@ -51,7 +58,7 @@ _INDEX = f"WITH {_NGRAMS.format(src='documents')},\nidx AS (SELECT term, doc_id,
 
 
 def documents_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.build_index(table(spark, sf_dir, "documents"))
+    return index.build_index(documents(spark, sf_dir))
 
 
 @query(f"SELECT page_id, {text.html_to_text_sql('html')} AS text FROM pages")
@@ -105,7 +112,7 @@ def inverted_index(spark, d):
 
 @query(_INDEX + "SELECT * FROM idx")
 def index_merge(spark, d):
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     return index.merge_index(*[index.build_index(docs.where(F.pmod("doc_id", F.lit(2)) == k)) for k in (0, 1)])
 
 
@@ -161,22 +168,22 @@ def _search_sql(query_text: str, k: int) -> str:
 
 @query(_search_sql(SINGLE, 10))
 def search_single(spark, d):
-    return search.search_documents(table(spark, d, "documents"), SINGLE, 10)
+    return search.search_documents(documents(spark, d), SINGLE, 10)
 
 
 @query(_search_sql(PHRASE, 10))
 def search_phrase(spark, d):
-    return search.search_documents(table(spark, d, "documents"), PHRASE, 10)
+    return search.search_documents(documents(spark, d), PHRASE, 10)
 
 
 @query(_search_sql(MULTI, 20))
 def search_multi(spark, d):
-    return search.search_documents(table(spark, d, "documents"), MULTI)
+    return search.search_documents(documents(spark, d), MULTI)
 
 
 @query(_search_sql("the of", 10))
 def search_empty(spark, d):
-    return search.search_documents(table(spark, d, "documents"), "the of", 10)
+    return search.search_documents(documents(spark, d), "the of", 10)
 
 
 _ASKED = f"""asked AS (SELECT item_id, unnest(list_distinct(list_prepend(array_to_string(t, ' '), t))) AS term FROM (SELECT item_id, {_TERMS} AS t FROM benchmark)),
@@ -292,7 +299,7 @@ def mr_max_per_key(spark, d):
 FROM (SELECT doc_id, {_WORDS} AS w FROM documents)"""
 )
 def mr_avg_word_len(spark, d):
-    return mapreduce.average_word_length(table(spark, d, "documents"))
+    return mapreduce.average_word_length(documents(spark, d))
 
 
 @query("SELECT ch, count(*) AS cnt FROM (SELECT unnest(string_split(regexp_replace(text, '\\s+', '', 'g'), '')) AS ch FROM benchmark) WHERE ch <> '' GROUP BY 1")
@@ -328,7 +335,7 @@ df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1)
 SELECT word, doc_id, floor(CAST(c AS DOUBLE) / len * log10(CAST((SELECT count(*) FROM documents) AS DOUBLE) / df) * 100 + 0.5) / 100 AS tfidf FROM tf JOIN df USING (word)"""
 )
 def mr_tfidf(spark, d):
-    return mapreduce.tf_idf(table(spark, d, "documents"))
+    return mapreduce.tf_idf(documents(spark, d))
 
 
 @query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{PATTERN}')")

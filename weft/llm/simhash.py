@@ -34,21 +34,29 @@ _LANES = np.uint64(0x0101010101010101)
 
 def fingerprints(texts: list[bytes | None], shingle: int = 3) -> np.ndarray:
     """SimHash of each text: a bit is set if it is in over half the shingles' XXH64 (seed 42)."""
-    hashes, counts, one = [], [], xxhash.xxh64_intdigest
+    hashes, counts = [], []
     for t in texts:
-        words = (t or b"").lower().split()
-        n = len(words)
-        if n <= shingle:
-            own = [one(b" ".join(words), 42)] if n else []
-        else:
-            joined = b" ".join(words)
-            ends = np.cumsum([len(w) + 1 for w in words]) - 1
-            begins = (ends[:-shingle] + 1).tolist()
-            own = [one(joined[a:b], 42) for a, b in zip([0, *begins], ends[shingle - 1 :].tolist(), strict=True)]
+        own = shingles(t, shingle)
         hashes.extend(own)
         counts.append(len(own))
-    h, n = np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    return majority(np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64))
+
+
+def shingles(text: bytes | None, shingle: int) -> list[int]:
+    """XXH64 (seed 42) of each run of `shingle` words; of all words if there are fewer, none without words."""
+    words, one = (text or b"").lower().split(), xxhash.xxh64_intdigest
+    n = len(words)
+    if n <= shingle:
+        return [one(b" ".join(words), 42)] if n else []
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    begins = (ends[:-shingle] + 1).tolist()
+    return [one(joined[a:b], 42) for a, b in zip([0, *begins], ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each run of n hashes of h the bits that over half of them have."""
+    out = np.zeros(len(n), np.uint64)
     if not len(h):
         return out
     # bytes of a word count eight bits at a time; a run of 255 cannot overflow them
@@ -109,8 +117,8 @@ class Forest:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-def near_pairs(group: np.ndarray, part: np.ndarray, fps: np.ndarray, mixed: np.ndarray, refs: np.ndarray):
-    """Index pairs of one group within BITS bits; in a mixed group only pairs of different parts.
+def near_pairs(group: np.ndarray, part: np.ndarray, fps: np.ndarray, mixed: np.ndarray, refs: np.ndarray, bits: int = BITS):
+    """Index pairs of one group within `bits` bits; in a mixed group only pairs of different parts.
 
     Pairs are tried at growing distance in the order of the first pivot coordinate; a node drops out once
     that coordinate alone is too far. Yields arrays (i, j).
@@ -122,15 +130,15 @@ def near_pairs(group: np.ndarray, part: np.ndarray, fps: np.ndarray, mixed: np.n
     while len(i):
         i = i[i + step < len(order)]
         j = i + step
-        near = (group[i] == group[j]) & (table_[j, 0] - table_[i, 0] <= BITS)
+        near = (group[i] == group[j]) & (table_[j, 0] - table_[i, 0] <= bits)
         i, j = i[near], j[near]
         a, b = i, j
         for p in range(1, table_.shape[1]):
-            keep = np.abs(table_[a, p] - table_[b, p]) <= BITS
+            keep = np.abs(table_[a, p] - table_[b, p]) <= bits
             a, b = a[keep], b[keep]
             if not len(a):
                 break
-        keep = (np.bitwise_count(fps[a] ^ fps[b]) <= BITS) & ~(mixed[a] & (part[a] == part[b]))
+        keep = (np.bitwise_count(fps[a] ^ fps[b]) <= bits) & ~(mixed[a] & (part[a] == part[b]))
         if keep.any():
             yield order[a[keep]], order[b[keep]]
         step += 1
@@ -195,9 +203,3 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
-def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the smallest id stays, of repeated rows each."""
-    found = near_duplicates(docs.select("doc_id", "text")).where("doc_id IS NOT DISTINCT FROM component_id").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")

@@ -268,3 +268,15 @@ def test_preferences(spark, none):
     assert (got[2].prompt, got[2].rejected, got[2].chosen) == ("", None, "<|user|>\nalone<|end|>\n")
     assert (got[3].prefix_turns, got[3].chosen) == (0, "<||>\n<|end|>\n")
     assert chat.format_preferences(df.limit(0), F.col("conv_id"), F.col("conv_id") > 0).count() == 0
+
+
+# ---- pipeline stages on tables that lack what they learn from or name
+
+
+@pytest.mark.parametrize("labelled", [[], [d for d in range(1, 200) if zlib.crc32(str(d).encode()) % 5 == 0]])
+def test_stage_keeps_lettered_texts_where_nothing_is_learned(spark, labelled):
+    rows = [(d, t, "en" if d in labelled else None) for d, t in enumerate(["a clean text", "Ünïcode", "12 --", "", None, *["some words"] * 195])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language.reject_unknown(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1, *range(5, 200)]

@@ -283,7 +283,20 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder("doc_id") == 0).alias("held_out"), "lang_pred", "score")
 
 
+def _lettered(at: int):
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([has_letter(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return run
+
+
 def reject_unknown(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a language (null or letterless texts) go."""
+    """Pipeline stage: documents without a language (null or letterless texts) go.
+
+    So too where no row to learn from is labelled: every text with a letter stays.
+    """
     network = fit(docs.where(_remainder("doc_id") != 0))
+    if network is None:
+        return docs.mapInArrow(_lettered(docs.columns.index("text")), docs.schema)
     return identify(docs, network).where("lang_pred <> 'und'").select(*docs.columns)

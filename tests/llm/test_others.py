@@ -280,3 +280,13 @@ def test_stage_keeps_lettered_texts_where_nothing_is_learned(spark, labelled):
     got = language.reject_unknown(spark, df, "")
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == [0, 1, *range(5, 200)]
+
+
+def test_stage_drops_windows_of_items_without_id(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(None, words), ("named", "other words " * 6), (None, None)], "item_id string, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(1, f"before {words} after"), (2, "other words " * 6), (3, "clean")], "doc_id bigint, text string")
+    assert [r.doc_id for r in decontaminate.drop_contaminated(spark, df, str(tmp_path)).collect()] == [3]
+    got = {r.doc_id: (len(r.spans), r.item_ids) for r in decontaminate.find_contamination(df, items, nameless=True).collect()}
+    assert got == {1: (1, []), 2: (1, ["named"]), 3: (0, [])}

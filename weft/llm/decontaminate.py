@@ -89,7 +89,7 @@ def build(items: list[tuple[str, bytes]], window: int) -> list[Patterns]:
         m = min(window, len(own))
         for i in range(len(own) - m + 1 if m else 0):
             found.setdefault(m, {}).setdefault(b" ".join(own[i : i + m]), (hashes[i : i + m], set()))[1].add(name)
-    return [Patterns(np.stack([h for h, _ in p.values()]), list(p), [sorted(o) for _, o in p.values()]) for _, p in sorted(found.items())]
+    return [Patterns(np.stack([h for h, _ in p.values()]), list(p), [sorted(o - {None}) for _, o in p.values()]) for _, p in sorted(found.items())]
 
 
 def search_texts(texts: list[bytes], patterns: list[Patterns]):
@@ -165,19 +165,20 @@ def _search(sent, window: int, more: bool):
     return run
 
 
-def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, nameless: bool = False) -> DataFrame:
     """One row per row of df: id, the columns `keep`, n_words, spans (hit word ranges), item_ids (strings, sorted).
 
     Words are lower-cased (A-Z) runs of digits, letters and anything beyond ASCII. A
     pattern is `window` consecutive words of an item; a shorter item is one pattern as a
     whole. Null, empty and wordless texts have no words and are clean; null or wordless
-    items match nothing and an item with a null id takes no part. Repeated items and
-    rows are harmless. Other columns are ignored.
+    items match nothing. An item with a null id takes no part, as in SQL; if `nameless`, it
+    gives spans but no name. Repeated items and rows are harmless. Other columns are ignored.
 
     The items are broadcast in blocks of ITEMS_BLOCK bytes, one narrow pass over the documents each.
     """
     spark = df.sparkSession
-    used = items.where(F.col(f"`{item_id}`").isNotNull() & F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text"))
+    named = F.lit(True) if nameless else F.col(f"`{item_id}`").isNotNull()
+    used = items.where(named & F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text"))
     size = used.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // ITEMS_BLOCK))
     others = {"_text" if c == text_col else f"_k{i}": c for i, c in enumerate(keep or [])}
@@ -199,9 +200,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark window go."""
+    """Pipeline stage: documents that hold a benchmark window go, whether or not its item has an id."""
     others = [c for c in docs.columns if c != "doc_id"]
-    return find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=others).where(F.size("spans") == 0).select(*docs.columns)
+    return find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=others, nameless=True).where(F.size("spans") == 0).select(*docs.columns)
 
 
 _CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

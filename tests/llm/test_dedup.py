@@ -91,8 +91,8 @@ def test_awkward_rows(spark, awkward, none):
 def test_difference_cover(monkeypatch):
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
     r = random.Random(5)
-    for bucket in (8, 1 << 18):
-        monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    for size in (8, 1 << 18):
+        monkeypatch.setattr(suffix_dedup, "RANGE", size)
         pieces = [bytes(r.choice(b"ab") for _ in range(r.randint(20, 40))) for _ in range(3)]
         text = b"".join(r.choice(pieces) for _ in range(50))
         n, starts = 33, np.arange(len(text) - 32)
@@ -105,28 +105,79 @@ def test_difference_cover(monkeypatch):
         rank = suffix_dedup.cover_ranks(keys, len(text))
         cover = [i for i in range(len(text)) if i % suffix_dedup.PERIOD in suffix_dedup.COVER]
         assert sorted(cover, key=lambda i: rank[i]) == sorted(cover, key=lambda i: text[i:])
+        order, _ = suffix_dedup.sort_range(np.arange(len(text) - 16), keys, lambda: rank)
+        ties: dict = {}
+        for i in order.tolist():
+            ties.setdefault(text[i : i + 16], []).append(i)
+        assert all(x == sorted(x, key=lambda i: text[i:]) for x in ties.values() if len(x) > 2)
 
 
-def test_block_index_classes():
-    r = np.random.default_rng(3)
-    base = r.integers(1, 2**63, 300).astype(np.uint64)
-    text = np.concatenate((base, base[40:140], r.integers(1, 2**63, 30).astype(np.uint64), base[40:140]))
-    starts = np.arange(len(text) - 49)
-    cls = substring_dedup.window_classes(text, 50, starts, starts + 7)
-    of: dict = {}
-    for i in starts.tolist():
-        of.setdefault(text[i : i + 50].tobytes(), set()).add(int(cls[i]))
-    assert all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of)
+def removed(found):
+    return sorted((r[0], [(s.start, s.end) for s in r.spans]) for r in found.collect())
 
 
-def test_marks_of_a_long_repeat_merge():
-    import pyarrow as pa
+def test_the_kernels_decide(spark):
+    """With a kernel that finds nothing the results are others."""
+    df = spark.createDataFrame(planted(1), "doc_id bigint, text string").repartition(5)
+    assert not any(s for _, s in removed(substring_dedup.remove_repeats(df, find=lambda hits, starts, *_: starts[:0])))
+    assert removed(suffix_dedup.remove_repeats(df, classes=lambda text, n, starts: np.arange(len(starts)))) != removed(suffix_dedup.remove_repeats(df))
 
-    from weft.llm import repeats
 
-    lo = np.arange(0, 200_000, 37)
-    zeros = np.zeros(len(lo), np.int64)
-    got = list(repeats._mark_blobs(zeros, zeros.astype(np.int32), zeros + 1, lo, zeros + 36, 4))
-    sent = pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int32()), pa.array([y for _, y in got], pa.binary())], names=["doc_bucket", "marks"])
-    runs = [r for b in repeats._gather(1)([sent, sent]) for r in b.column(2).to_pylist()]
-    assert len(runs) == 1 and repeats.covered(runs[0], 100) == [(0, int(lo[-1]) + 136)]
+def thue_morse(n):
+    """Two different words of 2**n letters whose polynomial hashes modulo 2**64 agree for every odd base."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_collide(spark):
+    a, b = thue_morse(10)
+    df = spark.createDataFrame([(1, " ".join([a] * 60)), (2, " ".join([b] * 60)), (3, " ".join([b] * 60))], "doc_id bigint, text string")
+    assert removed(substring_dedup.remove_repeats(df)) == [(1, []), (2, []), (3, [(0, 60)])]
+    docs = [(1, a * 2), (2, b * 2), (3, b * 2)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == bytes_left(docs)
+
+
+@pytest.mark.parametrize("hot", [0, 2])
+def test_many_small_blocks_and_hot_anchors(spark, hot, monkeypatch):
+    """Strings of hot anchors are dealt out alone; the sort works in small pieces."""
+    docs = planted(3)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(23)
+    got = sorted((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeats(df, hot=hot).collect())
+    assert got == bytes_left(docs)
+
+
+def test_equal_hashes_are_compared_byte_by_byte():
+    text = np.frombuffer(b"abcabcabdabc", np.uint8)
+    lo, size = np.array([0, 3, 6, 9]), np.full(4, 3)
+    order, head = np.arange(4), np.array([True, False, False, False])
+    assert suffix_dedup.distinct(text, lo, size, order, head).tolist() == [0, 0, 2, 0]
+
+
+def test_blocks_hold_all_rows(spark, monkeypatch):
+    from weft.llm import exchange
+
+    df = spark.createDataFrame([(f"text {i} " * (i % 50), i, None if i % 7 else "x") for i in range(500)], "text string, id bigint, more string").repartition(3)
+    got = exchange.blocks(df)
+    rows = [x for r in got.collect() for x in exchange.read_batch(r.data).to_pylist()]
+    assert sorted(x["id"] for x in rows) == list(range(500)) and all(x["text"] == f"text {x['id']} " * (x["id"] % 50) for x in rows)
+    monkeypatch.setattr(exchange, "BLOCK", 1000)
+    batch = df.toArrow().to_batches()
+    from types import SimpleNamespace
+
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 1)))
+    made = list(exchange._deal(batch))
+    assert len(made) > 50 and sum(exchange.read_batch(b.column(2)[0].as_py()).num_rows for b in made) == 500
+    assert len({b.column(0)[0].as_py() for b in made}) == len(made)
+
+
+def test_joined_spans():
+    from weft.llm.exchange import joined_spans
+
+    got = joined_spans(np.array([2, 0, 0, 0, 2]), np.array([5, 10, 0, 8, 0]), np.array([9, 12, 20, 9, 5]), 3)
+    assert got == [[(0, 20)], [], [(0, 9)]]

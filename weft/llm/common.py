@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 LONG_MIN = -(2**63)
 M64 = (1 << 64) - 1
+#: Bytes of one Arrow batch that Spark hands to a worker, where the session leaves Spark's default.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only a local session that names none gets a temporary folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "weft-checkpoint"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            path = os.path.join(tempfile.gettempdir(), "weft-checkpoint")
+        sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -40,6 +51,35 @@ def partitions(spark: SparkSession) -> int:
 def fresh(prefix: str, taken: list[str]) -> str:
     """A column name that the table does not use."""
     name = prefix
-    while name in taken:
+    while name.lower() in {c.lower() for c in taken}:
         name = f"{prefix}_{uuid.uuid4().hex[:6]}"
     return name
+
+
+def _release() -> None:
+    """Freed memory goes back to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, whose worker gives its memory back after the task."""
+
+    def call(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return call
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches bounded in bytes, not only in rows."""
+    conf = df.sparkSession.conf
+    if conf.get(_LIMIT, "64m").lower() in ("64m", "67108864", "67108864b"):
+        conf.set(_LIMIT, str(BATCH_BYTES))
+    return df.mapInArrow(lean(run), schema)

@@ -184,7 +184,7 @@ def anchored(text: np.ndarray, first: np.ndarray, size: np.ndarray, length: int,
     at = np.flatnonzero(head)
     lo, p, more = starts[at], anchor[at], np.diff(np.append(at, len(starts))) - 1
     place = ((p - lo) << 32 | more).astype(np.uint64)
-    return grams[p], mix(span(sums, lo, lo + more + length) + mix(place)), lo, more
+    return mix(grams[p]), mix(span(sums, lo, lo + more + length) + mix(place)), lo, more  # least hashes are small; mixed, they fill all buckets
 
 
 class Stretches:

@@ -26,6 +26,7 @@ from weft.llm.hashing import U, spread
 #: Text bytes of a block; a longer text is a block of its own.
 BLOCK = 8 << 20
 _BLOCKS = "block bigint, bytes bigint, data binary"
+_ADAPTIVE = "spark.sql.adaptive.enabled"
 _ROWS = "bucket bigint, block bigint, blob binary"
 
 
@@ -35,7 +36,7 @@ def freeze(**cols: np.ndarray) -> bytes:
     for name, v in cols.items():
         v = np.ascontiguousarray(v)
         planes[name] = (v.dtype.str, v.view(np.uint8).reshape(len(v), v.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(1).compress(pickle.dumps(planes, 5))
+    return zstandard.ZstdCompressor(3).compress(pickle.dumps(planes, 5))
 
 
 def thaw(blob: bytes) -> dict[str, np.ndarray]:
@@ -64,7 +65,7 @@ def heads(*keys: np.ndarray) -> np.ndarray:
 
 def write_batch(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -102,8 +103,18 @@ def _deal(batches) -> Iterator[pa.RecordBatch]:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """block, bytes, data: the rows, whose first column is the text, written once; partitioned by block."""
-    return cut(in_arrow(rows, _deal, _BLOCKS).repartition(partitions(rows.sparkSession), "block"))
+    """block, bytes, data: the rows, whose first column is the text, written once.
+
+    They are partitioned by block, and the plan knows it, so joins by block move no text.
+    An adaptive plan would not say how its result is partitioned; this one needs no adaption.
+    """
+    spark = rows.sparkSession
+    adaptive = spark.conf.get(_ADAPTIVE)
+    spark.conf.set(_ADAPTIVE, "false")
+    try:
+        return cut(in_arrow(rows, _deal, _BLOCKS).repartition(partitions(spark), "block"))
+    finally:
+        spark.conf.set(_ADAPTIVE, adaptive)
 
 
 # ---- questions and answers
@@ -173,6 +184,11 @@ def answers(asked: DataFrame, settle: Callable[[list[dict]], list[bytes]]) -> Da
     return told.groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias("replies"))
 
 
+def with_answers(held: DataFrame, told: DataFrame, how: str = "inner") -> DataFrame:
+    """Blocks with their replies. Only replies are shuffled; they grow with the corpus, so they are never broadcast."""
+    return held.join(told.hint("merge"), "block", how)
+
+
 def split_replies(replies: list[dict] | None) -> tuple[list[bytes], bytes | None]:
     """(answers in the order of their keys, the note)."""
     got = sorted(replies or [], key=lambda r: r["bucket"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import LONG_MIN, cut, in_arrow, partitions, table
-from weft.llm.exchange import _ROWS, answers, ask, bits, blocks, each_block, freeze, from_bits, heads, joined_spans, note, spans_array, split_replies, thaw
+from weft.llm.exchange import _ROWS, answers, ask, bits, blocks, each_block, freeze, from_bits, heads, joined_spans, note, spans_array, split_replies, thaw, with_answers
 from weft.llm.hashing import NOT_SPACE, U, prefix, span, spread, words
 
 LENGTH = 50
@@ -184,8 +184,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = max(4 * partitions(df.sparkSession), size // 5 // BUCKET)
     width = min(64, max(32, (size // 5).bit_length() + 8))
     hits = cut(answers(in_arrow(held, _probes(length, width, buckets), _ROWS), _hit))
-    around = in_arrow(held.join(hits, "block"), _windows(length, width, buckets, find), _ROWS)
-    found = held.join(answers(around, _earlier), "block", "left")
+    around = in_arrow(with_answers(held, hits), _windows(length, width, buckets, find), _ROWS)
+    found = with_answers(held, answers(around, _earlier), "left")
     out = in_arrow(found, _cut_out(length), "id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     return out.withColumnRenamed("id", id_col)
 

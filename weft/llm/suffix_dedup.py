@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import cut, in_arrow, partitions, table
-from weft.llm.exchange import _ROWS, answers, ask, bits, blocks, each_block, freeze, from_bits, heads, joined_spans, note, same_bytes, spans_array, split_replies, thaw
+from weft.llm.exchange import _ROWS, answers, ask, bits, blocks, each_block, freeze, from_bits, heads, joined_spans, note, same_bytes, spans_array, split_replies, thaw, with_answers
 from weft.llm.hashing import POWERS, U, byte_values, mix, prefix, span, spread
 from weft.llm.substring_dedup import ids_of, texts_of
 
@@ -399,8 +399,8 @@ def _found(df: DataFrame, id_col: str, text_col: str, length: int, keep: list[st
     size = held.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     buckets = max(4 * n, size // BUCKET)
     status = cut(answers(in_arrow(held, _anchors(length, gram, buckets), _ROWS), _status(hot)))
-    asked = in_arrow(held.join(status, "block"), _entries(length, gram, buckets), _ROWS)
-    found = held.join(answers(asked, _earlier(length, classes)), "block", "left")
+    asked = in_arrow(with_answers(held, status), _entries(length, gram, buckets), _ROWS)
+    found = with_answers(held, answers(asked, _earlier(length, classes)), "left")
     schema = ", ".join(["id bigint", *(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))), "n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_text string, no_text boolean"])
     return in_arrow(found, _cut_out(length, len(keep)), schema)
 

@@ -65,16 +65,32 @@ def test_url_rules(spark):
     df = spark.createDataFrame([(i, u, "old") for i, (u, _, _) in enumerate(rows)], "page_id bigint, url string, verdict string")
     want = {i: (r, v) for i, (_, r, v) in enumerate(rows)}
     assert {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, url_filter.RULES).collect()} == want
-    old, url_filter.INLINE_RULES = url_filter.INLINE_RULES, 0
-    try:
-        assert {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, url_filter.RULES, row_id="page_id").collect()} == want
-    finally:
-        url_filter.INLINE_RULES = old
     assert url_filter.filter_urls(df.limit(0), url_filter.RULES).count() == 0
     assert url_filter.filter_urls(df, []).where("rule IS NULL").count() == len(rows)
     assert not inspect.runs_python(url_filter.filter_urls(df, url_filter.RULES))
 
 
+def test_many_rules(spark):
+    """A thousand rules, one without a token, against a plain search of all."""
+    r = np.random.default_rng(4)
+    hosts = [f"{a}{b}.{t}" for a in "pqr" for b in range(60) for t in ("com", "net", "org")]
+    rules = {(h, p): url_filter.Rule("block" if (len(h) + len(p)) % 2 else "allow", h, p) for h in hosts for p in r.choice(["", "/", "/a/", "/a/b", "/en/x/"], 2)}
+    rules[("", "/zz")] = url_filter.Rule("block", "", "/zz")
+    rules = list(rules.values())
+    urls = [f"http://{s}{h}{p}" for h in r.choice(hosts, 150) for s in ("", "www.", "x") for p in ("", "/", "/a/", "/a/bc", "/zzz", "/en/x/y?/a/")]
+
+    def plain(u):
+        host, _, path = u.split("://")[1].partition("/")
+        path = ("/" + path).split("?")[0] if _ else ""
+        fits = [x for x in rules if (host == x.host or host.endswith("." + x.host) or not x.host and path.startswith(x.path) and host == "") and path.startswith(x.path)]
+        best = max(fits, key=lambda x: (len(x.name), len(x.host)), default=None)
+        return (best.name, best.verdict) if best else (None, "allow")
+
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    got = {x.page_id: (x.rule, x.verdict) for x in url_filter.filter_urls(df, rules).collect()}
+    assert got == {i: plain(u) for i, u in enumerate(urls)}
+
+
 def test_rules_lie_under_their_rarest_token():
     index = url_filter.index_rules(url_filter.RULES)
     assert {t: sorted(r.name for r in own) for t, own in index.items()} == {"com": ["com/"], "example": ["example.com/en/"], "www": ["www.example.com/en/"], "es": ["net/es/"], "fr": ["net/fr/"]}
@@ -149,6 +165,71 @@ def test_top_k_in_blocks_and_tiles(spark, monkeypatch):
 def test_products_beyond_doubles():
     q, c = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 1.0], [2.0**40, 0.0]])
     assert topk._products(q, c).tolist() == [[2**60 + 1, 2**63 - 1]]
+    r = np.random.default_rng(6)
+    q, c = r.standard_normal((5, 3)) * 10.0 ** r.integers(-2, 12, (5, 1)), r.standard_normal((40, 3)) * 10.0 ** r.integers(-2, 12, (40, 1))
+    ints = lambda x: [[int(np.floor(1024 * v)) for v in row] for row in x]
+    want = [[min(max(sum(a * b for a, b in zip(x, y)), -(2**63) + 1), 2**63 - 1) for y in ints(c)] for x in ints(q)]
+    assert topk._products(q, c, 1024.0).tolist() == want
+
+
+def test_top_k_of_huge_components(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1e306, 0.0]), (2, [-1e306, 5.0]), (3, [1.0, 2.0])], "vec_id bigint, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 3 << 20), (2, -(2**63) + 1)]
+
+
+def peak_mb(code: str) -> float:
+    """Memory that a fresh Python process adds while it runs code after its first line."""
+    import os
+    import subprocess
+    import sys
+
+    setup, run = code.split("\n", 1)
+    probe = "import resource\n" + setup + "\nm = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024\nb = m()\n" + run + "\nprint(m() - b)"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    return float(subprocess.run([sys.executable, "-c", probe], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": root, "OMP_NUM_THREADS": "1"}).stdout)
+
+
+def test_full_blocks_stay_within_memory():
+    queries = """import numpy as np; from types import SimpleNamespace; import pyspark, pyarrow as pa; from weft.llm import topk
+n = topk.QUERY_BLOCK // 8 // 64
+r = np.random.default_rng(0)
+pyspark.TaskContext = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+held = SimpleNamespace(value=[(64, np.arange(n), r.standard_normal((n, 64)))])
+x = r.standard_normal((4096, 64)).ravel()
+batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4096)), pa.FixedSizeListArray.from_arrays(pa.array(x), 64).cast(pa.list_(pa.float64()))], names=["id", "vec"])
+rows = sum(b.num_rows for b in topk._search(held, 10, 1024.0)(iter([batch])))
+assert rows == 10 * n"""
+    assert peak_mb(queries) < 450
+    items = """import numpy as np; from weft.llm import decontaminate as d
+r = np.random.default_rng(0)
+n = d.ITEMS_BLOCK // 50
+words = r.integers(0, 50_000, (n, 8))
+p = d.build([(str(i), (" ".join(f"w{x}" for x in row) + " 12345").encode()) for i, row in enumerate(words.tolist())], 10)
+assert sum(len(x.at) for x in p) == n"""
+    assert peak_mb(items) < 450
+    long = """import numpy as np; from weft.llm import decontaminate as d
+r = np.random.default_rng(0)
+text = (" ".join(f"w{x}" for x in r.integers(0, 50_000, d.ITEMS_BLOCK // 7).tolist())).encode()
+p = d.build([("1", text)], 10)"""
+    assert peak_mb(long) < 600
+
+
+def test_words_that_collide():
+    """Words whose polynomial hashes modulo 2**64 agree are still told apart."""
+    from tests.llm.test_dedup import thue_morse
+
+    a, b = (x.encode() for x in thue_morse(10))
+    p = decontaminate.build([("one", b" ".join([a] * 10)), ("two", b" ".join([b] * 10))], 10)
+    got = decontaminate.search_texts([b" ".join([a] * 11), b" ".join([b] * 10), b" ".join([a] * 9 + [b])], p, ["one", "two"])
+    assert got == [(11, [(0, 11)], ["one"]), (10, [(0, 10)], ["two"]), (10, [], [])]
+    v = sentencepiece.load()
+    flat, count = sentencepiece.Automaton(v).encode([a, b, a])
+    ids = np.split(flat, np.cumsum(count)[:-1])
+    assert [sentencepiece.decode_ids(x.tolist(), v.decoded).encode() for x in ids] == [a, b, a]
+    arr = np.frombuffer(b"abcxbcabc", np.uint8)
+    pick, which = sentencepiece.distinct_runs(arr, np.array([0, 3, 6]), np.full(3, 3), np.zeros(3, np.uint64))
+    assert pick[which].tolist() == [0, 1, 0]
 
 
 # ---- language

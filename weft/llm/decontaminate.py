@@ -5,6 +5,9 @@ blocks of two words says how far a window end may move without missing an occurr
 where the shift is zero, the patterns filed under that suffix block are compared word
 by word and then byte by byte. Many lanes of the text advance in step, so the skipping
 runs as array operations. A document never leaves its task: there is no shuffle.
+
+A worker builds the tables of a block of the benchmark once and keeps them as arrays, about
+ten bytes for each byte of it.
 """
 
 from __future__ import annotations
@@ -14,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import table
-from weft.llm.hashing import WORD, U, mix, words
+from weft.llm.common import in_arrow, table
+from weft.llm.exchange import spans_array
+from weft.llm.hashing import WORD, U, mix, spread, words
 
 WINDOW = 10
 #: Benchmark text that is broadcast and searched at once; more is searched in further passes.
-ITEMS_BLOCK = 32 << 20
+ITEMS_BLOCK = 8 << 20
 #: Text bytes that are searched at once, and lanes.
 BATCH, LANES = 4 << 20, 4096
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -35,23 +39,40 @@ def _block(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     return (mix(a + b * U(0x9E3779B97F4A7C15)) & U(size - 1)).astype(np.int64)
 
 
+class Text:
+    """Words of texts: their hashes, of which text they are, and their bytes joined by single spaces."""
+
+    def __init__(self, texts: list[bytes]):
+        buf = b"\n".join(fold(t) for t in texts)
+        self.hash, start, end = words(buf, WORD)
+        far = np.cumsum([len(t) + 1 for t in texts])
+        cuts = np.concatenate(([0], np.searchsorted(start, far)))
+        self.first, self.size = cuts[:-1], np.diff(cuts)
+        arr = np.frombuffer(buf, np.uint8)
+        keep = WORD[arr]
+        joined = np.where(keep, arr, np.uint8(32))
+        keep[end[end < len(arr)]] = True
+        self.bytes = joined[keep]
+        wide = end - start
+        self.begin = np.cumsum(wide + 1) - (wide + 1)
+        self.end = self.begin + wide
+
+
 class Patterns:
-    """Shift table and suffix buckets of the patterns of one length."""
-
-    def __init__(self, rows: np.ndarray, texts: list[bytes], owners: list[list[str]]):
-        n, self.m = rows.shape
-        self.block = 2 if self.m > 1 else 1
-        self.size = 1 << min(24, max(12, int(8 * n * self.m).bit_length()))
-        self.shift = np.full(self.size, self.m - self.block + 1, np.int32)
-        for end in range(self.block - 1, self.m):
-            np.minimum.at(self.shift, self.key(rows, end), self.m - 1 - end)
-        last = self.key(rows, self.m - 1)
+    """Shift table and suffix buckets of the patterns of one length: runs of words of the items."""
+
+    def __init__(self, items: Text, at: np.ndarray, item: np.ndarray, m: int):
+        self.items, self.m, self.block = items, m, 2 if m > 1 else 1
+        self.size = 1 << min(24, max(12, int(8 * len(at) * m).bit_length()))
+        self.shift = np.full(self.size, m - self.block + 1, np.int16 if m < 1 << 15 else np.int32)
+        for end in range(self.block - 1, m):
+            np.minimum.at(self.shift, self.key(items.hash, at + end), self.shift.dtype.type(m - 1 - end))
+        last = self.key(items.hash, at + m - 1).astype(np.int32)
         order = np.argsort(last, kind="stable")
-        self.last, self.rows = last[order], rows[order]
-        self.texts, self.owners = [texts[i] for i in order], [owners[i] for i in order]
+        self.last, self.at, self.item = last[order], at[order], item[order]
 
-    def key(self, rows: np.ndarray, end: int) -> np.ndarray:
-        return _block(rows[:, end], rows[:, end - 1] if self.block == 2 else np.zeros(len(rows), np.uint64), self.size)
+    def key(self, hashes: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _block(hashes[end], hashes[end - 1] if self.block == 2 else np.zeros(len(end), np.uint64), self.size)
 
     def search(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, pattern) of all places where the word hashes agree."""
@@ -63,68 +84,68 @@ class Patterns:
         stop = np.minimum(pos + width, total)
         ends = []
         while len(pos):
-            move = self.shift[_block(text[pos], text[pos - 1] if self.block == 2 else np.zeros(len(pos), np.uint64), self.size)]
+            move = self.shift[self.key(text, pos)]
             ends.append(pos[move == 0])
             pos = pos + np.maximum(move, 1)
             going = pos < stop
             pos, stop = pos[going], stop[going]
         ends = np.concatenate(ends)
-        key = _block(text[ends], text[ends - 1] if self.block == 2 else np.zeros(len(ends), np.uint64), self.size)
+        key = self.key(text, ends)
         lo, hi = np.searchsorted(self.last, key, "left"), np.searchsorted(self.last, key, "right")
-        count = hi - lo
-        start = np.repeat(ends - m + 1, count)
-        which = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        start, which = np.repeat(ends - m + 1, hi - lo), spread(lo, hi - lo)
         for j in range(m - 1, -1, -1):
-            same = text[start + j] == self.rows[which, j]
+            same = text[start + j] == self.items.hash[self.at[which] + j]
             start, which = start[same], which[same]
         return start, which
 
-
-def build(items: list[tuple[str, bytes]], window: int) -> list[Patterns]:
-    found: dict[int, dict[bytes, tuple[np.ndarray, set]]] = {}
-    for name, text in items:
-        buf = fold(text)
-        hashes, s, e = words(buf, WORD)
-        own = [buf[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        m = min(window, len(own))
-        for i in range(len(own) - m + 1 if m else 0):
-            found.setdefault(m, {}).setdefault(b" ".join(own[i : i + m]), (hashes[i : i + m], set()))[1].add(name)
-    return [Patterns(np.stack([h for h, _ in p.values()]), list(p), [sorted(o - {None}) for _, o in p.values()]) for _, p in sorted(found.items())]
+    def verified(self, docs: Text, word: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Whether the words from `word` on are the pattern's, byte by byte."""
+        a, b = docs.begin[word], self.items.begin[self.at[which]]
+        size = docs.end[word + self.m - 1] - a
+        ok = size == self.items.end[self.at[which] + self.m - 1] - b
+        for k in range(0, len(word), 1 << 14):
+            own = np.flatnonzero(ok[k : k + (1 << 14)]) + k
+            differ = docs.bytes[spread(a[own], size[own])] != self.items.bytes[spread(b[own], size[own])]
+            ok[np.repeat(own, size[own])[differ]] = False
+        return ok
+
+
+def build(items: list[tuple[str | None, bytes]], window: int) -> list[Patterns]:
+    text = Text([t for _, t in items])
+    some = np.flatnonzero(text.size)
+    m = np.minimum(text.size[some], window)
+    out = []
+    for length in np.unique(m).tolist():
+        own = some[m == length]
+        n = text.size[own] - length + 1
+        out.append(Patterns(text, spread(text.first[own], n), np.repeat(own, n), length))
+    return out
 
 
-def search_texts(texts: list[bytes], patterns: list[Patterns]):
+def search_texts(texts: list[bytes], patterns: list[Patterns], names: list[str | None]):
     """For each text: (number of words, hit spans as word ranges, item names)."""
-    bufs = [fold(t) for t in texts]
-    lengths = np.array([len(b) + 1 for b in bufs], np.int64)
-    first = np.concatenate(([0], np.cumsum(lengths)))
-    buf = b"\n".join(bufs)
-    hashes, s, e = words(buf, WORD)
-    begin = np.searchsorted(s, first)  # words before each text
-    n_words = np.diff(begin)
-    doc_of = np.repeat(np.arange(len(texts)), n_words)
+    docs = Text(texts)
+    doc_of = np.repeat(np.arange(len(texts)), docs.size)
     # a word that no pattern has stands after each text
-    text = np.zeros(len(hashes) + len(texts), np.uint64)
-    text[np.arange(len(hashes)) + doc_of] = hashes
+    text = np.zeros(len(docs.hash) + len(texts), np.uint64)
+    text[np.arange(len(docs.hash)) + doc_of] = docs.hash
     word_at = np.full(len(text), -1)
-    word_at[np.arange(len(hashes)) + doc_of] = np.arange(len(hashes))
+    word_at[np.arange(len(docs.hash)) + doc_of] = np.arange(len(docs.hash))
     spans: list[list] = [[] for _ in texts]
-    names: list[set] = [set() for _ in texts]
+    found: list[set] = [set() for _ in texts]
     for p in patterns:
-        for at, which in zip(*(x.tolist() for x in p.search(text)), strict=True):
-            w = int(word_at[at])
-            if w < 0 or w + p.m > len(s) or b" ".join(_words(buf[s[w] : e[w + p.m - 1]])) != p.texts[which]:
-                continue
-            d = int(doc_of[w])
-            spans[d].append((w - int(begin[d]), w - int(begin[d]) + p.m))
-            names[d].update(p.owners[which])
-    return [(int(n), join_spans(x), sorted(y)) for n, x, y in zip(n_words, spans, names, strict=True)]
-
-
-_TO_SPACE = bytes(c if WORD[c] else 32 for c in range(256))
-
-
-def _words(span: bytes) -> list[bytes]:
-    return span.translate(_TO_SPACE).split()
+        at, which = p.search(text)
+        word = word_at[at]
+        ok = (word >= 0) & (word + p.m <= len(docs.hash))
+        ok[ok] = doc_of[word[ok]] == doc_of[word[ok] + p.m - 1]
+        word, which = word[ok], which[ok]
+        ok = p.verified(docs, word, which)
+        word, which = word[ok], which[ok]
+        for d, w in np.unique(np.stack((doc_of[word], word), 1), axis=0).tolist():
+            spans[d].append((w - int(docs.first[d]), w - int(docs.first[d]) + p.m))
+        for d, i in np.unique(np.stack((doc_of[word], p.item[which]), 1), axis=0).tolist():
+            found[d].add(names[i])
+    return [(int(n), join_spans(x), sorted(y - {None})) for n, x, y in zip(docs.size, spans, found, strict=True)]
 
 
 def join_spans(spans) -> list[tuple[int, int]]:
@@ -137,58 +158,73 @@ def join_spans(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _search(sent, window: int, more: bool):
+_HELD: dict = {}
+
+
+def _held(rows: list, window: int) -> list[Patterns]:
+    """The tables of one block of items in a Python worker, whatever number of tasks it runs."""
+    if _HELD.get("of") != (rows, window):
+        _HELD.clear()
+        _HELD.update(of=(rows, window), patterns=build(rows, window))
+    return _HELD["patterns"]
+
+
+def _search(sent, window: int, names: list[str], more: bool):
+    """Texts are the second column; with `more`, the last two hold what earlier passes found."""
+
     def run(batches):
-        patterns = build(sent.value, window)
+        patterns, own = _held(sent.value, window), [n for n, _ in sent.value]
         for batch in batches:
-            texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("_text").to_pylist()]
+            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             at = 0
             while at < len(texts):
                 to, size = at, 0
                 while to < len(texts) and (to == at or size + len(texts[to]) <= BATCH):
                     size += len(texts[to])
                     to += 1
-                found = search_texts(texts[at:to], patterns)
+                found = search_texts(texts[at:to], patterns, own)
                 part = batch.slice(at, to - at)
                 if more:
-                    before = zip(part.column("spans").to_pylist(), part.column("item_ids").to_pylist(), strict=True)
+                    before = zip(part.column(len(names) + 1).to_pylist(), part.column(len(names) + 2).to_pylist(), strict=True)
                     found = [(n, join_spans([*sp, *((x["start"], x["end"]) for x in s0)]), sorted({*it, *i0})) for (n, sp, it), (s0, i0) in zip(found, before, strict=True)]
-                kept = [c for c in batch.schema.names if c not in ("n_words", "spans", "item_ids")]
-                new = [
-                    pa.array([f[0] for f in found], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in f[1]] for f in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([f[2] for f in found], pa.list_(pa.string())),
-                ]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], names=[*kept, "n_words", "spans", "item_ids"])
+                new = [pa.array([f[0] for f in found], pa.int64()), spans_array([f[1] for f in found]), pa.array([f[2] for f in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *new], names=[*names, "n_words", "spans", "item_ids"])
                 at = to
 
     return run
 
 
-def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, nameless: bool = False) -> DataFrame:
-    """One row per row of df: id, the columns `keep`, n_words, spans (hit word ranges), item_ids (strings, sorted).
-
-    Words are lower-cased (A-Z) runs of digits, letters and anything beyond ASCII. A
-    pattern is `window` consecutive words of an item; a shorter item is one pattern as a
-    whole. Null, empty and wordless texts have no words and are clean; null or wordless
-    items match nothing. An item with a null id takes no part, as in SQL; if `nameless`, it
-    gives spans but no name. Repeated items and rows are harmless. Other columns are ignored.
-
-    The items are broadcast in blocks of ITEMS_BLOCK bytes, one narrow pass over the documents each.
-    """
+def _contamination(df: DataFrame, items: DataFrame, cols: list[str], item_id: str, item_text: str, window: int, nameless: bool) -> DataFrame:
+    """c0, c1, ... (the columns `cols` of df, of which the second is the text), n_words, spans, item_ids."""
     spark = df.sparkSession
     named = F.lit(True) if nameless else F.col(f"`{item_id}`").isNotNull()
     used = items.where(named & F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text"))
     size = used.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // ITEMS_BLOCK))
-    others = {"_text" if c == text_col else f"_k{i}": c for i, c in enumerate(keep or [])}
-    out = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`").alias(k) for k, c in others.items() if k != "_text"])
+    names = [f"c{i}" for i in range(len(cols))]
+    out = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(cols, names, strict=True)])
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields), _OUT])
     for k in range(n):
         own = used.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else used
         rows = [(r.item, r.text.encode("utf-8", "surrogatepass")) for r in own.collect()]
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast(rows), window, k > 0), schema)
-    return out.select(F.col("_id").alias(id_col), *[F.col(k).alias(c) for k, c in others.items()], "n_words", "spans", "item_ids")
+        out = in_arrow(out, _search(spark.sparkContext.broadcast(rows), window, names, k > 0), schema)
+    return out
+
+
+def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, nameless: bool = False) -> DataFrame:
+    """One row per row of df: id, n_words, spans (hit word ranges), item_ids (strings, sorted).
+
+    Words are lower-cased (A-Z) runs of digits, letters and anything beyond ASCII. A
+    pattern is `window` consecutive words of an item; a shorter item is one pattern as a
+    whole. Null, empty and wordless texts have no words and are clean; null or wordless
+    items match nothing. An item with a null id takes no part, as in SQL; if `nameless`, it
+    gives spans but no name. Repeated items and rows are harmless. Other columns are
+    ignored; an empty table gives no rows.
+
+    The items are broadcast in blocks of ITEMS_BLOCK bytes, one narrow pass over the documents each.
+    """
+    found = _contamination(df, items, [id_col, text_col], item_id, item_text, window, nameless)
+    return found.select(F.col("c0").alias(id_col), "n_words", "spans", "item_ids")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,9 +236,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark window go, whether or not its item has an id."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    return find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=others, nameless=True).where(F.size("spans") == 0).select(*docs.columns)
+    """Pipeline stage: documents that hold a benchmark window go, whether or not its item has an id.
+
+    Null, empty and wordless texts stay; an empty table gives no rows; all columns,
+    whatever their names, keep their values.
+    """
+    cols = ["doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    found = _contamination(docs, table(spark, sf_dir, "benchmark"), cols, "item_id", "text", WINDOW, True).where(F.size("spans") == 0)
+    return found.select(*[F.col(f"c{cols.index(c)}").alias(c) for c in docs.columns])
 
 
 _CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

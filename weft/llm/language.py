@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import table
+from weft.llm.common import in_arrow, table
 from weft.llm.hashing import words
 
 #: Bound of the training sample: labelled documents, and runs of letters of each, drawn from the whole text.
@@ -228,7 +228,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         return None
     share = min(1_000_000, int(1_300_000 * docs / labelled) + 1)
     some = rows.where(F.pmod("key", F.lit(1_000_000)) < share)
-    got = some.mapInArrow(_sample(runs), "key bigint, lang string, runs array<binary>").orderBy("key", "lang").limit(docs).collect()
+    got = in_arrow(some, _sample(runs), "key bigint, lang string, runs array<binary>").orderBy("key", "lang").limit(docs).collect()
     labels = sorted({r.lang for r in got if r.runs})
     if not labels:
         return None
@@ -239,12 +239,13 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
 
 def _predict(sent):
+    """The first column is the text, and goes."""
+
     def run(batches):
         network = sent.value
         labeller = Labeller(network) if network else None
         for batch in batches:
-            texts = batch.column(batch.schema.names.index("_text")).to_pylist()
-            kept = [c for c in batch.schema.names if c != "_text"]
+            texts = batch.column(0).to_pylist()
             at = 0
             while at < len(texts):
                 to, size = at, 0
@@ -256,24 +257,29 @@ def _predict(sent):
                 lang, score = labeller([t for t, k in zip(own, ok, strict=True) if k]) if any(ok) else ([], [])
                 lang, score = iter(lang), iter(score)
                 part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), pa.array([next(lang) if k else "und" for k in ok]), pa.array([next(score) if k else 0.0 for k in ok])], names=[*kept, "lang_pred", "score"]
-                )
+                new = [pa.array([next(lang) if k else "und" for k in ok], pa.string()), pa.array([next(score) if k else 0.0 for k in ok], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *new], names=[*batch.schema.names[1:], "lang_pred", "score"])
                 at = to
 
     return run
 
 
+def _identified(df: DataFrame, network: Network | None, text_col: str, keep: list[str]) -> DataFrame:
+    """c0, c1, ... (the columns `keep`), lang_pred, score."""
+    rows = df.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "lang_pred string, score double"])
+    return in_arrow(rows, _predict(df.sparkSession.sparkContext.broadcast(network)), schema)
+
+
 def identify(df: DataFrame, network: Network | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of df (default: all but lang_pred and score) with lang_pred and score.
+    """The columns `keep` of df (default: all) with lang_pred and score, which replace columns of these names.
 
     `und` with score 0 where the text is null or has no letter (or nothing was learned).
-    Whole texts are read. Equal texts get equal results; an empty table gives no rows.
+    Whole texts are read. An empty table gives no rows.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score", "_text")]
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
-    return rows.mapInArrow(_predict(df.sparkSession.sparkContext.broadcast(network)), schema)
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    found = _identified(df, network, text_col, keep)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,11 +298,13 @@ def _lettered(at: int):
 
 
 def reject_unknown(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a language (null or letterless texts) go.
+    """Pipeline stage: documents without a language (null, empty or letterless texts) go.
 
-    So too where no row to learn from is labelled: every text with a letter stays.
+    So too where no row to learn from is labelled: every text with a letter stays. An
+    empty table gives no rows; all columns, whatever their names, keep their values.
     """
     network = fit(docs.where(_remainder("doc_id") != 0))
     if network is None:
-        return docs.mapInArrow(_lettered(docs.columns.index("text")), docs.schema)
-    return identify(docs, network).where("lang_pred <> 'und'").select(*docs.columns)
+        return in_arrow(docs, _lettered(docs.columns.index("text")), docs.schema)
+    found = _identified(docs, network, "text", docs.columns).where("lang_pred <> 'und'")
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

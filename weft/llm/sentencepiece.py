@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import table
+from weft.llm.common import fresh, in_arrow, table
+from weft.llm.exchange import same_bytes
 from weft.llm.hashing import hash_runs, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -59,6 +60,19 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(tuple(pieces), tuple(sp.get_score(i) for i in range(len(pieces))), tuple(raw), tuple(decoded))
 
 
+def distinct_runs(arr: np.ndarray, starts: np.ndarray, size: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(one run of each kind, the kind of every run): runs of equal hash are compared byte by byte, and those that differ stand alone."""
+    hashes = hash_runs(arr, starts, starts + size) if hashes is None else hashes
+    _, pick, which = np.unique(hashes, return_index=True, return_inverse=True)
+    other = np.flatnonzero(pick[which] != np.arange(len(which)))
+    like = pick[which[other]]
+    same = size[other] == size[like]
+    same[same] = same_bytes(arr, starts[other[same]], starts[like[same]], size[other[same]])
+    apart = other[~same]
+    which[apart] = len(pick) + np.arange(len(apart))
+    return np.append(pick, apart), which
+
+
 class Automaton:
     """Complete transition table, the piece that ends in a state, and links to the next shorter piece."""
 
@@ -196,7 +210,7 @@ class Automaton:
         head[first[sizes > 0]] = True
         starts = np.flatnonzero(head)
         ends = np.append(starts[1:], len(arr))
-        _, pick, which = np.unique(hash_runs(arr, starts, ends), return_index=True, return_inverse=True)
+        pick, which = distinct_runs(arr, starts, ends - starts)
         s, size = starts[pick], (ends - starts)[pick]
         flats, owners = [], []
         for d in np.unique(size):
@@ -240,11 +254,12 @@ def _lists(flat: np.ndarray, count: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(at, pa.array(flat, pa.int32()))
 
 
-def _encode(sent, text_col: str, back: bool):
+def _encode(sent, k: int, back: bool):
+    """Column k is the text; ids (and what they give) are put behind the columns."""
+
     def run(batches):
         automaton, decoded = _held(sent), sent.value.decoded
         for batch in batches:
-            k = batch.schema.names.index(text_col)
             far = np.cumsum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < batch.num_rows:
@@ -284,6 +299,13 @@ def _schema(df: DataFrame, extra: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), extra])
 
 
+def _encoded(df: DataFrame, cols: list[str], text_col: str, model: str, back: bool) -> DataFrame:
+    """c0, c1, ... (the columns `cols`), ids and, with `back`, decoded."""
+    sent = df.sparkSession.sparkContext.broadcast(load(model))
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
+    return in_arrow(rows, _encode(sent, cols.index(text_col), back), _schema(rows, "ids array<int>" + ", decoded string" * back))
+
+
 def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, back: bool = False) -> DataFrame:
     """df with ids array<int>: the split of each text with the highest sum of scores; with `back` also decoded, what the ids give.
 
@@ -291,18 +313,20 @@ def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, back: bool
     null text has null ids, an empty one none. Any other text is split with a space in
     front, unchanged otherwise; a character without a piece becomes its bytes, as does
     a literal U+2581, so decoding gives every text back. Columns named ids (and, with
-    `back`, decoded) are replaced.
+    `back`, decoded) are replaced. An empty table gives no rows.
     """
-    sent = df.sparkSession.sparkContext.broadcast(load(model))
-    df = df.drop("ids", "decoded") if back else df.drop("ids")
-    return df.mapInArrow(_encode(sent, text_col, back), _schema(df, "ids array<int>" + ", decoded string" * back))
+    new = ["ids", "decoded"][: 1 + back]
+    kept = [c for c in df.columns if c not in new]
+    cols = kept if text_col in kept else [*kept, text_col]
+    found = _encoded(df, cols, text_col, model, back)
+    return found.select(*[F.col(f"c{cols.index(c)}").alias(c) for c in kept], *new)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """df with decoded string. Null ids give null; ids that no text has may give bytes that are no UTF-8, which become U+FFFD. A column named decoded is replaced."""
     sent = df.sparkSession.sparkContext.broadcast(load(model))
     df = df.drop("decoded")
-    return df.mapInArrow(_decode(sent, ids_col), _schema(df, "decoded string"))
+    return in_arrow(df, _decode(sent, ids_col), _schema(df, "decoded string"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,6 +336,15 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with their token ids; the text is what the ids decode to."""
-    both = encode(docs, back=True)
-    return both.select(*[F.col("decoded").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], "ids", F.size("ids").cast("bigint").alias("n_tokens"))
+    """Pipeline stage: documents with their token ids; the text is what the ids decode to.
+
+    ids and n_tokens are put behind the columns of docs; a column that has such a name
+    keeps it and its values, and the new one is called tokens_ids or tokens_n_tokens. Null
+    texts stay, with null ids; an empty table gives no rows.
+    """
+    cols = docs.columns
+    taken = {c.lower() for c in cols}
+    name = lambda c: fresh(f"tokens_{c}", cols) if c in taken else c
+    found = _encoded(docs, cols, "text", MODEL, True)
+    kept = [F.col("decoded" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(cols)]
+    return found.select(*kept, F.col("ids").alias(name("ids")), F.size("ids").cast("bigint").alias(name("n_tokens")))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import LONG_MIN, cut, table
+from weft.llm.common import LONG_MIN, cut, in_arrow, table
 from weft.llm.components import components
 
 BITS = 3
@@ -144,13 +144,36 @@ def near_pairs(group: np.ndarray, part: np.ndarray, fps: np.ndarray, mixed: np.n
         step += 1
 
 
+_KEYS = ("t", "bits", "lo", "hi")
+#: Rows of buckets that a task holds at a time.
+HELD = 1 << 18
+
+
 def _link(batches):
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    got = pa.Table.from_batches(held)
+    """A spanning forest of some buckets at a time; the rows come in the order of these."""
+    held, count = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        count += b.num_rows
+        if count >= HELD:
+            last = np.ones(b.num_rows, bool)
+            for c in _KEYS:
+                own = np.asarray(b.column(c))
+                last &= own == own[-1]
+            if not last.all():  # the last bucket may go on
+                at = int(np.flatnonzero(~last)[-1]) + 1
+                held[-1] = b.slice(0, at)
+                yield from _linked(pa.Table.from_batches(held))
+                held, count = [b.slice(at)], b.num_rows - at
+    if held:
+        yield from _linked(pa.Table.from_batches(held))
+
+
+def _linked(got: pa.Table):
     col = {c: np.asarray(got.column(c).combine_chunks()) for c in got.column_names}
-    keys = [col[c] for c in ("hi", "lo", "bits", "t")]
+    keys = [col[c] for c in reversed(_KEYS)]
     order = np.lexsort(keys)
     head = np.zeros(len(order), bool)
     for k in keys:
@@ -180,7 +203,7 @@ def links(nodes: DataFrame) -> DataFrame:
     tiles = held.select("node", "fp", "t", "bits", "part", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
     tiles = tiles.select("node", "fp", "t", "bits", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.repartition(n, "t", "bits", "lo", "hi").mapInArrow(_link, "a bigint, b bigint")
+    return in_arrow(tiles.repartition(n, *_KEYS).sortWithinPartitions(*_KEYS), _link, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -189,11 +212,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Fingerprints link at BITS or fewer differing bits; component_id is the smallest id
     reachable. A null, empty or wordless text has fingerprint zero and links like any
     other. Equal texts, a third of all rows perhaps, are one node. A null id sorts
-    first and stays null. Repeated rows are returned each. An empty table gives no
+    first, as the least bigint, which is returned as null too. Repeated rows are returned each. An empty table gives no
     rows; other columns are ignored.
     """
     rows = df.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LONG_MIN)).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    docs = cut(rows.mapInArrow(_hash_batches(shingle), "id bigint, fp bigint"))
+    docs = cut(in_arrow(rows, _hash_batches(shingle), "id bigint, fp bigint"))
     nodes = docs.groupBy("fp").agg(F.min("id").alias("node"))
     found = components(links(nodes))
     label = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))

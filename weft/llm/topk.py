@@ -1,7 +1,7 @@
 """Exact top-k search: tiled matrix products, partial selection per tile, tree merge.
 
-A bounded block of queries goes to every task; each task multiplies it with its own
-vectors tile by tile, keeps k candidates a query and tile by partial selection, and
+A bounded block of queries goes to every task; each task multiplies tiles of it with tiles
+of its own vectors, keeps k candidates a query and tile by partial selection, and
 merges them into one list a query. The lists of all tasks are merged in two levels, so
 no task sees more than a fixed share of them. More queries than a block are searched
 block after block.
@@ -9,40 +9,62 @@ block after block.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, table
+from weft.llm.common import cut, in_arrow, table
 
 #: Bytes of one block of queries, which is broadcast.
 QUERY_BLOCK = 32 << 20
-#: Vectors in a tile.
-TILE = 4096
+#: Vectors and queries in a tile.
+TILE, QUERY_TILE = 4096, 1024
 #: Task lists that one merge of the first level takes, at most k rows each.
 FAN_IN = 64
 _NONE, _LAST = np.int64(-(2**63)), np.int64(2**63 - 1)
 _OUT = "query_id bigint, vec_id bigint, score bigint, task int"
 
 
-def _matrices(ids: np.ndarray, flat: np.ndarray, lengths: np.ndarray, scale: float):
-    """(dimension, ids, integer vectors as doubles) for each dimension."""
+def _matrices(ids: np.ndarray, flat: np.ndarray, lengths: np.ndarray):
+    """(dimension, ids, vectors) for each dimension."""
     starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
     for d in np.unique(lengths):
         rows = np.flatnonzero(lengths == d)
-        yield int(d), ids[rows], np.floor(scale * flat[starts[rows][:, None] + np.arange(d)].astype(np.float64))
+        yield int(d), ids[rows], flat[starts[rows][:, None] + np.arange(d)].astype(np.float64)
+
+
+def _integers(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as Python integers, also where the product is beyond doubles."""
+    return np.array([[math.floor(Fraction(v) * Fraction(scale)) for v in r] for r in x.tolist()], dtype=object).reshape(x.shape)
 
 
-def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; beyond 64 bits they are clamped."""
+def _products(q: np.ndarray, c: np.ndarray, scale: float = 1.0) -> np.ndarray:
+    """Exact inner products of floor(scale * x); beyond 64 bits they are clamped.
+
+    Doubles are exact below 2**53; the few queries or vectors beyond are multiplied as longs or Python integers.
+    """
     d = q.shape[1]
-    if not d:
+    if not d or not len(q) or not len(c):
         return np.zeros((len(q), len(c)), np.int64)
-    if d * float(np.abs(q).max()) * float(np.abs(c).max()) < 2.0**53:
-        return (q @ c.T).astype(np.int64)
-    exact = np.array([[int(x) for x in r] for r in q], dtype=object) @ np.array([[int(x) for x in r] for r in c], dtype=object).T
-    return np.clip(exact, int(_NONE) + 1, int(_LAST)).astype(np.int64)
+    with np.errstate(over="ignore"):
+        a, b = np.floor(scale * q), np.floor(scale * c)
+    top_a, top_b = np.abs(a).max(1), np.abs(b).max(1)
+    plain_a = top_a <= 2.0**26
+    plain_b = d * max(1.0, float(top_a[plain_a].max(initial=0.0))) * top_b < 2.0**53
+    out = np.empty((len(q), len(c)), np.int64)
+    out[np.ix_(plain_a, plain_b)] = (a[plain_a] @ b[plain_b].T).astype(np.int64)
+    for rows, cols in ((~plain_a, np.ones(len(c), bool)), (plain_a, ~plain_b)):
+        if rows.any() and cols.any():
+            if d * float(top_a[rows].max()) * float(top_b[cols].max()) < 2.0**62:
+                out[np.ix_(rows, cols)] = a[rows].astype(np.int64) @ b[cols].astype(np.int64).T
+            else:
+                exact = _integers(q[rows], scale) @ _integers(c[cols], scale).T
+                out[np.ix_(rows, cols)] = np.clip(exact, int(_NONE) + 1, int(_LAST)).astype(np.int64)
+    return out
 
 
 def _select(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,22 +94,23 @@ def _search(blocks, k: int, scale: float):
         from pyspark import TaskContext
 
         held = {d: (ids, q) for d, ids, q in blocks.value}
-        best: dict = {}
+        best = {d: (np.full((len(ids), k), _NONE), np.full((len(ids), k), _LAST)) for d, (ids, _) in held.items()}
         for batch in batches:
             col = batch.column(1)
             lengths = np.asarray(col.value_lengths())
             ids, flat = np.asarray(batch.column(0)), np.asarray(col.flatten(), dtype=np.float64)
-            for d, own, c in _matrices(ids, flat, lengths, scale):
+            for d, own, c in _matrices(ids, flat, lengths):
                 if d not in held:
                     continue
                 qid, q = held[d]
                 order = np.argsort(own, kind="stable")
                 for at in range(0, len(order), TILE):
                     part = order[at : at + TILE]
-                    scores = _products(q, c[part])
-                    scores[qid[:, None] == own[part][None, :]] = _NONE
-                    found = _select(scores, own[part], k)
-                    best[d] = _merge(best[d], found, k) if d in best else _merge(found, (found[0][:, :0], found[1][:, :0]), k)
+                    for x in range(0, len(qid), QUERY_TILE):
+                        rows = slice(x, x + QUERY_TILE)
+                        scores = _products(q[rows], c[part], scale)
+                        scores[qid[rows, None] == own[part][None, :]] = _NONE
+                        best[d][0][rows], best[d][1][rows] = _merge((best[d][0][rows], best[d][1][rows]), _select(scores, own[part], k), k)
         task = TaskContext.get().partitionId()
         for d, (s, i) in best.items():
             r, c = np.nonzero(s != _NONE)
@@ -101,8 +124,8 @@ def _search(blocks, k: int, scale: float):
 def top_k(df: DataFrame, is_query: F.Column, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each query row the k best other rows.
 
-    Components become floor(scale * x); the score is the integer inner product. Ties go
-    to the smaller id. Rows whose id or vector is null, or whose vector holds a null or
+    Components become floor(scale * x), exactly, however large; the score is the integer
+    inner product, clamped to 64 bits. Ties go to the smaller id. Rows whose id or vector is null, or whose vector holds a null or
     non-finite component, take no part. Only vectors of one dimension are compared.
     Rows that share the query's id count as its own; of several query rows with one id
     the smallest vector is the query. Repeated candidate rows are listed each. An empty
@@ -120,9 +143,9 @@ def top_k(df: DataFrame, is_query: F.Column, k: int = 10, scale: float = 1024.0,
         own = asked.where(F.pmod(F.xxhash64("id"), F.lit(n)) == block).toArrow() if n > 1 else asked.toArrow()
         col = own.column("vec").combine_chunks()
         col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-        held = list(_matrices(np.asarray(own.column("id")), np.asarray(col.flatten(), dtype=np.float64), np.asarray(col.value_lengths(), dtype=np.int64), scale)) if own.num_rows else []
+        held = list(_matrices(np.asarray(own.column("id")), np.asarray(col.flatten(), dtype=np.float64), np.asarray(col.value_lengths(), dtype=np.int64))) if own.num_rows else []
         sent = spark.sparkContext.broadcast(held)
-        found = vectors.mapInArrow(_search(sent, k, scale), _OUT)
+        found = in_arrow(vectors, _search(sent, k, scale), _OUT)
         parts.append(cut(found) if n > 1 else found)
         if n > 1:
             sent.destroy()

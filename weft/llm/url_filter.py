@@ -2,24 +2,24 @@
 
 Every rule becomes one regular expression and is filed under one literal token that
 any matching url must contain: of the tokens the rule guarantees, the one that the
-fewest rules share. A url's tokens fetch the candidate rules; only those run their
+fewest rules share. The index is a literal hash table: a url's tokens each look up one
+slot, the rules filed under these tokens are the candidates, and only those run their
 expression. Everything is Column expressions, so a scan needs no shuffle and no Python.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import table
+from weft.llm.common import fresh, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Up to this many rules are one expression; more are joined by token.
-INLINE_RULES = 256
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -77,49 +77,52 @@ def _tokens(place: Column) -> Column:
     return F.array_distinct(F.split(place, r"[^A-Za-z0-9]+"))
 
 
-def _inline(tokens: Column, place: Column, rules: list[Rule]) -> Column:
-    """The longest rule that fits, as struct(len, host_len, rule, verdict), or null."""
-    found = []
-    for token, own in index_rules(rules).items():
-        for r in own:
-            fits = place.rlike(r.regex)
-            if token is not None:
-                fits = F.array_contains(tokens, token) & fits
-            found.append(F.when(fits, F.struct(F.lit(len(r.name)).alias("n"), F.lit(len(r.host)).alias("h"), F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"))))
-    return F.array_max(F.array(*found))
+_RULE = "struct<token:string,regex:string,n:int,h:int,rule:string,verdict:string>"
 
 
-def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow", row_id: str | None = None) -> DataFrame:
+def _literal(rows: list[tuple]) -> Column:
+    """An array of rules as one literal."""
+    made = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("token", "regex", "n", "h", "rule", "verdict"), r, strict=True)]) for r in rows]
+    return (F.array(*made) if made else F.array()).cast(f"array<{_RULE}>")
+
+
+def _candidates(tokens: Column, rules: list[Rule]) -> Column:
+    """The rules filed under one of the tokens, and those filed under none."""
+    index = index_rules(rules)
+    rows = {t: [(t, r.regex, len(r.name), len(r.host), r.name, r.verdict) for r in own] for t, own in index.items()}
+    slots = 1 << max(4, (2 * len(index)).bit_length())
+    table_: list[list[tuple]] = [[] for _ in range(slots)]
+    for t, own in rows.items():
+        if t is not None:
+            table_[zlib.crc32(t.encode()) % slots] += own
+    held = F.array(*[_literal(x) for x in table_])
+
+    def under(t: Column) -> Column:
+        slot = (F.crc32(t.cast("binary")) % slots).cast("int")
+        return F.filter(F.get(held, slot), lambda r: r["token"] == t)
+
+    found = F.flatten(F.transform(tokens, under))
+    return F.concat(found, _literal(rows[None])) if None in rows else found
+
+
+def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
     """df with host, path, rule and verdict.
 
     The longest rule (host and path together) wins, of equally long ones that with the
     longer host. Where no rule fits, rule is null and the verdict is `default`. A null
     url, or one without ``://``, has an empty host and path and fits no rule. Rules
-    must not repeat a (host, path).
+    must not repeat a (host, path). However many they are, a url looks up one slot a token.
 
-    Up to INLINE_RULES rules are evaluated as one expression. More are joined by
-    token; this needs `row_id`, a unique column. The rule side is never forced into a
-    broadcast, so a hot token (a third of all urls) is split by the skew join.
-    Columns of df named host, path, rule or verdict are replaced.
+    Very long urls are read whole; repeated rows are returned each; an empty table gives no
+    rows. Columns of df named host, path, rule or verdict are replaced.
     """
-    taken = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    base = df.select(*[F.col(f"`{c}`") for c in taken], host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
+    taken = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    best, own = fresh("_best", df.columns), F.col(f"`{url}`")
+    base = df.select(*[F.col(f"`{c}`") for c in taken], host_of(own).alias("host"), path_of(own).alias("path"))
     place = F.concat("host", "path")
-    if not rules:
-        return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    if len(rules) <= INLINE_RULES:
-        best = _inline(_tokens(place), place, rules)
-    else:
-        if row_id is None:
-            raise ValueError("a large rule set needs row_id")
-        rows = [(t or "", r.regex, len(r.name), len(r.host), r.name, r.verdict) for t, own in index_rules(rules).items() for r in own]
-        held = df.sparkSession.createDataFrame(rows, "token string, regex string, n int, h int, rule string, verdict string")
-        probe = base.select(F.col(row_id).alias("_row"), place.alias("_place"), F.explode(F.array_union(_tokens(place), F.array(F.lit("")))).alias("token"))
-        fits = probe.join(held, "token").where(F.expr("rlike(_place, regex)"))
-        top = fits.groupBy("_row").agg(F.max(F.struct("n", "h", "rule", "verdict")).alias("_best"))
-        base = base.join(top, base[row_id] == top["_row"], "left").drop("_row")
-        best = F.col("_best")
-    return base.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best")
+    fits = F.filter(_candidates(_tokens(place), rules), lambda r: F.rlike(place, r["regex"]))
+    longest = F.array_max(F.transform(fits, lambda r: F.struct(r["n"].alias("n"), r["h"].alias("h"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
+    return base.withColumn(best, longest).withColumns({"rule": F.col(f"{best}.rule"), "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(default))}).drop(best)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

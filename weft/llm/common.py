@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 LONG_MIN = -(2**63)
 M64 = (1 << 64) - 1
 #: Bytes of one Arrow batch that Spark hands to a worker, where the session leaves Spark's default.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

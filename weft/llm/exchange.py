@@ -24,7 +24,7 @@ from weft.llm.common import cut, in_arrow, partitions
 from weft.llm.hashing import U, spread
 
 #: Text bytes of a block; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 _BLOCKS = "block bigint, bytes bigint, data binary"
 _ADAPTIVE = "spark.sql.adaptive.enabled"
 _ROWS = "bucket bigint, block bigint, blob binary"
@@ -220,7 +220,7 @@ def from_bits(blob: bytes) -> np.ndarray:
 # ---- runs of bytes and covered ranges
 
 
-def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
     """Whether text[a:a + size] equals text[b:b + size], byte by byte, for each row."""
     out = np.ones(len(a), bool)
     far = np.cumsum(size)

@@ -26,7 +26,7 @@ HIDDEN, STEPS, STEP_RUNS = 12, 700, 256
 #: Longer runs are read in pieces of so many bytes.
 LONGEST = 32
 #: Text bytes labelled together, and distinct runs a task remembers.
-BATCH, REMEMBERED = 4 << 20, 1 << 19
+BATCH, REMEMBERED = 2 << 20, 1 << 18
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True

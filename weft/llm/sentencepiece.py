@@ -24,7 +24,7 @@ from weft.llm.hashing import hash_runs, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes whose units are split together.
-BATCH = 4 << 20
+BATCH = 2 << 20
 #: Longer units advance alone.
 LONG = 512
 

@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import cut, in_arrow, partitions, table
 from weft.llm.exchange import _ROWS, answers, ask, bits, blocks, each_block, freeze, from_bits, heads, joined_spans, note, same_bytes, spans_array, split_replies, thaw, with_answers
-from weft.llm.hashing import POWERS, U, byte_values, mix, prefix, span, spread
+from weft.llm.hashing import POWERS, U, byte_values, hash_runs, mix, prefix, span, spread
 from weft.llm.substring_dedup import ids_of, texts_of
 
 LENGTH, GRAM = 100, 48
 #: Period and difference cover: every difference modulo 13 is one of two members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Suffixes in a range of leading bytes, about; bytes that are sorted together; bytes of a bucket, about.
-RANGE, SORTED, BUCKET = 1 << 18, 2 << 20, 4 << 20
+RANGE, SORTED, BUCKET = 1 << 17, 1 << 20, 2 << 20
 #: An anchor with more distinct stretches is hot: its strings are dealt out one by one, by a hash of their own.
 HOT = 4096
 #: Bytes hashed at once.
@@ -315,8 +315,7 @@ def _earlier(length: int, classes: Callable):
         more, lo = more.astype(np.int64), lo.astype(np.int64)
         size = more + length
         begin = np.cumsum(size) - size
-        sums = prefix(byte_values()[text])
-        c = span(sums, begin, begin + size)
+        c = hash_runs(text, begin, begin + size)
         order = np.lexsort((lo, ths, ids, more, c, key))
         first = distinct(text, begin, size, order, heads(key[order], c[order], more[order]))
         is_first = (ids == ids[first]) & (ths == ths[first]) & (lo == lo[first])
@@ -351,7 +350,7 @@ def _earlier(length: int, classes: Callable):
     return settle
 
 
-def _cut_out(length: int, keep: int):
+def _cut_out(length: int, keep: int, wanted: tuple[str, ...]):
     def run(block, batch, replies):
         told, memo = split_replies(replies)
         spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
@@ -378,14 +377,15 @@ def _cut_out(length: int, keep: int):
             parts.append(text[at:])
             kept.append(b"".join(parts))
         size = [len(t) for t in texts_of(batch)]
-        new = [pa.array(size, pa.int64()), spans_array(spans), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), batch.column(0).is_null()]
-        yield pa.RecordBatch.from_arrays([batch.column(1), *(batch.column(3 + i) for i in range(keep)), *new], names=["id", *(f"k{i}" for i in range(keep)), "n_bytes", "spans", "kept", "kept_text", "no_text"])
+        made = {"kept": lambda: pa.array(kept, pa.binary()), "kept_text": lambda: pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())}
+        new = [pa.array(size, pa.int64()), pa.array([len(x) for x in kept], pa.int64()), spans_array(spans), *(made[w]() for w in wanted), batch.column(0).is_null()]
+        yield pa.RecordBatch.from_arrays([batch.column(1), *(batch.column(3 + i) for i in range(keep)), *new], names=["id", *(f"k{i}" for i in range(keep)), "n_bytes", "n_kept", "spans", *wanted, "no_text"])
 
     return each_block(run)
 
 
-def _found(df: DataFrame, id_col: str, text_col: str, length: int, keep: list[str], classes: Callable = window_classes, hot: int = HOT) -> DataFrame:
-    """id, k0, k1, ... (the columns `keep`), n_bytes, spans, kept, kept_text, no_text."""
+def _found(df: DataFrame, id_col: str, text_col: str, length: int, keep: list[str], wanted: tuple[str, ...], classes: Callable = window_classes, hot: int = HOT) -> DataFrame:
+    """id, k0, k1, ... (the columns `keep`), n_bytes, n_kept, spans, of kept and kept_text those `wanted`, no_text."""
     gram = min(GRAM, length)
     if length < 16:
         raise ValueError("length must be 16 or more")
@@ -401,12 +401,12 @@ def _found(df: DataFrame, id_col: str, text_col: str, length: int, keep: list[st
     status = cut(answers(in_arrow(held, _anchors(length, gram, buckets), _ROWS), _status(hot)))
     asked = in_arrow(with_answers(held, status), _entries(length, gram, buckets), _ROWS)
     found = with_answers(held, answers(asked, _earlier(length, classes)), "left")
-    schema = ", ".join(["id bigint", *(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))), "n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_text string, no_text boolean"])
-    return in_arrow(found, _cut_out(length, len(keep)), schema)
+    schema = ", ".join(["id bigint", *(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))), "n_bytes bigint, n_kept bigint, spans array<struct<start:bigint,end:bigint>>", *({"kept": "kept binary", "kept_text": "kept_text string"}[w] for w in wanted), "no_text boolean"])
+    return in_arrow(found, _cut_out(length, len(keep), wanted), schema)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: list[str] | None = None, classes: Callable = window_classes, hot: int = HOT) -> DataFrame:
-    """id, the columns `keep`, n_bytes, spans (removed byte ranges), kept (binary), kept_text (its whole characters), no_text; one row per row of df.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: list[str] | None = None, wanted: tuple[str, ...] = ("kept", "kept_text"), classes: Callable = window_classes, hot: int = HOT) -> DataFrame:
+    """id, the columns `keep`, n_bytes, spans (removed byte ranges), kept (binary), kept_text (its whole characters), no_text; one row per row of df. wanted: which of the two texts.
 
     A byte goes if a string of `length` bytes around it also starts earlier: in a
     document with a smaller id, or earlier in its own. Strings are judged on the input.
@@ -416,12 +416,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes: the kernel, see window_classes().
     """
     keep = keep or []
-    found = _found(df, id_col, text_col, length, keep, classes, hot)
-    return found.select(F.col("id").alias(id_col), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "spans", "kept", "kept_text", "no_text")
+    found = _found(df, id_col, text_col, length, keep, wanted, classes, hot)
+    return found.select(F.col("id").alias(id_col), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "spans", *wanted, "no_text")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), wanted=("kept",))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -434,7 +434,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     empty texts stay as they are; an empty table gives no rows.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = _found(docs, "doc_id", "text", LENGTH, others).where("length(kept) > 0 OR n_bytes = 0")
+    found = _found(docs, "doc_id", "text", LENGTH, others, ("kept_text",)).where("n_kept > 0 OR n_bytes = 0")
     text = F.when(~F.col("no_text"), F.col("kept_text"))
     out = {"doc_id": F.col("id").cast(docs.schema["doc_id"].dataType), "text": text} | {c: F.col(f"k{i}") for i, c in enumerate(others)}
     if "n_chars" in out:

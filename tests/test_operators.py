@@ -190,3 +190,70 @@ def test_metrics(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
     metrics.write_csv(m, str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
+
+
+def _count(key, value):
+    return [{w: 1} for w in (value or "").split()]
+
+
+def _total(key, values):
+    return {key: sum(values)}
+
+
+def test_combiner_registry_and_rounds(spark):
+    from weft.operators import mapreduce
+
+    store = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None)], "key bigint, value string")
+    want = {"a": '{"a": 2}', "b": '{"b": 2}', "c": '{"c": 1}'}
+    assert {r.k: r.out for r in mapreduce.map_reduce(store, _count, _total, combiner=lambda k, vs: [sum(vs)]).collect()} == want
+    held = mapreduce.Registry()
+    held.put("count", _count)
+    held.put("total", _total)
+    assert {r.k: r.out for r in held.run(store, "count", "total").collect()} == want
+    assert held.rem("count") is _count
+    with pytest.raises(KeyError):
+        held.get("count")
+    with pytest.raises(TypeError):
+        held.put("x", 1)
+
+
+def test_rounds(spark, tmp_path):
+    """The second round counts how many words have each count."""
+    from weft.operators import mapreduce
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    store = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "d")], "key string, value string")
+    mapper = lambda k, v: [{v: 1}] if v.isdigit() else [{w: 1} for w in v.split()]
+    got = mapreduce.iterate(store, mapper, lambda k, vs: {k: sum(vs)}, 2)
+    assert {r.k: r.out for r in got.collect()} == {"2": '{"2": 2}', "1": '{"1": 2}'}
+
+
+def test_deleting_an_absent_key_is_an_error(spark):
+    from weft.operators import kv
+
+    t = spark.createDataFrame([("g", "a", 1), ("g", "b", 2)], "gid string, key string, value int")
+    left, gone = kv.delete_key(t, "a", "g")
+    assert [r.key for r in left.collect()] == ["b"] and [r.value for r in gone.collect()] == [1]
+    with pytest.raises(KeyError):
+        kv.delete_key(t, "a", "other")
+
+
+def test_crawl_summary(spark):
+    from weft.operators import crawl
+
+    visits = spark.createDataFrame([("u1", 0, True, True), ("u2", 1, True, False), ("u3", 1, False, False)], "url string, depth int, fetched boolean, indexed boolean")
+    texts = spark.createDataFrame([("u1", "one two"), ("u2", "three")], "url string, text string")
+    terms = spark.createDataFrame([("u1", "one"), ("u1", "two"), ("u2", "three")], "url string, term string")
+    got = crawl.crawl_summary(visits, texts, texts, terms).first()
+    assert got.asDict() == {"pages_visited": 3, "pages_fetched": 2, "docs_indexed": 1, "text_chars": 7, "unique_terms": 2, "sample_docs": ["u1"]}
+
+
+def test_shard_of_a_literal(spark):
+    from pyspark.sql import functions as F
+
+    from weft.operators import index
+
+    words = ["", "a", "thing", "über", "a b c", "x" * 100]
+    for n in (1, 7, 16, 64):
+        got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "t string").select(index.shard_number(F.col("t"), n)).collect()]
+        assert got == [index.shard_of_literal(w, n) for w in words]

@@ -51,3 +51,20 @@ def test_frontier_state_is_bounded_by_time(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("frontier").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.url for r in spark.table("frontier").collect()) == ["a", "b"]
+
+
+def test_frontier_ends_at_stop(spark, tmp_path):
+    from weft.streaming import index_stream
+
+    for i, urls in enumerate([["a", "b"], ["c", "stop", "d"], ["e"]]):
+        spark.createDataFrame([(u, 10 * i + k) for k, u in enumerate(urls)], "url string, n bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = index_stream.document_stream(spark, str(tmp_path / "in"), "url string, n bigint")
+    index_stream.drain_until_stop(stream, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    got = {r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert {"a", "b", "c"} <= got and not got & {"d", "stop"}
+    periodic = index_stream.drain_until_stop(stream, str(tmp_path / "out2"), str(tmp_path / "log2"), every="1 second")
+    try:
+        periodic.processAllAvailable()
+    finally:
+        periodic.stop()
+    assert {r.url for r in spark.read.parquet(str(tmp_path / "out2")).collect()} == got

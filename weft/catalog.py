@@ -6,7 +6,6 @@ another engine, where SQL can say it. Tables are read whole.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import hashing, html_text, porter, text, urls
 from weft.operators import crawl, index, kv, mapreduce, search, stats
+from weft.plans.session import shared_folder
 from weft.sources import index_text
 from weft.streaming import index_stream
 
@@ -26,15 +26,20 @@ SINGLE, PHRASE, MULTI, PART, PATTERN = "thing", "oned there", "thing oned erer a
 NIDS = [hashing.node_id("127.0.0.1", 10000 + i) for i in range(5)]
 
 
+#: Bytes of a table that may be shuffled only to use all cores.
+SMALL = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts. A table of fewer splits than cores, one small file perhaps, is dealt out first; a large one is read as it lies."""
+    """The texts. A small table of fewer splits than cores, one file perhaps, is dealt out first; one beyond SMALL is read as it lies."""
     df = table(spark, sf_dir, "documents").select("doc_id", "text")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
+    return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df
 
 
 def query(sql: str | None = None):
@@ -192,7 +197,36 @@ scored AS (SELECT item_id, doc_id, CAST(sum(cnt) AS BIGINT) AS score FROM asked
 
 @query(_INDEX.rstrip() + f",\n{_ASKED}\nSELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rnk FROM scored) WHERE rnk <= 10")
 def search_workload(spark, d):
-    return search.search_many(documents_index(spark, d), table(spark, d, "benchmark"))
+    return search.search_many_documents(documents(spark, d), table(spark, d, "benchmark"))
+
+
+def _written(spark, d) -> str:
+    path = f"{_scratch(spark)}/index"
+    index.write_index(documents_index(spark, d), path, shards=16, config={"terms": 3})
+    return path
+
+
+@query(_INDEX + "SELECT * FROM idx")
+def index_write_read(spark, d):
+    return index.read_index(spark, _written(spark, d))
+
+
+@query(_search_sql(MULTI, 20))
+def search_written(spark, d):
+    """A search of the written index: only the shards of its terms are listed."""
+    return search.rank(index.read_index(spark, _written(spark, d), search.search_terms(MULTI)), 20)
+
+
+@query(_INDEX + "SELECT * FROM idx")
+def cached_index(spark, d):
+    """Built and written once, then found again under the same configuration."""
+    path = f"{_scratch(spark)}/cache"
+    index.cached_index(spark, path, {"corpus": d}, lambda: documents_index(spark, d))
+
+    def never():
+        raise AssertionError("the index was there")
+
+    return index.cached_index(spark, path, {"corpus": d}, never)
 
 
 @query(_INDEX + f"SELECT * FROM idx WHERE contains(term, '{PART}')")
@@ -271,6 +305,22 @@ def bfs_levels(spark, d):
     return crawl.traverse(own, [first], max_depth=3, max_pages=None).select("url", "depth", "fetched")
 
 
+@query(
+    f"""WITH {_SITE}, seed AS (SELECT url, links FROM site ORDER BY url LIMIT 1),
+l1 AS (SELECT url, min(pos) AS ord FROM (SELECT unnest(links) AS url, generate_subscripts(links, 1) AS pos FROM seed) WHERE url NOT IN (SELECT url FROM seed) GROUP BY url),
+lv AS (SELECT url, 0 AS depth, 0 AS ord FROM seed UNION ALL SELECT url, 1, ord FROM l1),
+f AS (SELECT lv.*, s.url IS NOT NULL AS page, count(s.url) OVER (ORDER BY depth, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM lv LEFT JOIN site s USING (url))
+SELECT url, CAST(depth AS INT) AS depth, page AND before < 2 AS fetched, page AND before < 2 AS indexed FROM f"""
+)
+def bfs_budget(spark, d):
+    """Traversal of depth 1 that stops at two pages indexed."""
+    own = site(spark, d)
+    first = own.agg(F.min("url")).first()[0]
+    if first is None:
+        return spark.createDataFrame([], "url string, depth int, fetched boolean, indexed boolean")
+    return crawl.traverse(own, [first], max_depth=1, max_pages=2)
+
+
 @query(f"WITH {_SITE} SELECT DISTINCT href FROM (SELECT unnest(links) AS href FROM h) WHERE href NOT IN (SELECT url FROM site)")
 def frontier_anti(spark, d):
     found = table(spark, d, "pages").select(F.explode(urls.hrefs(F.col("html"))).alias("href")).distinct()
@@ -392,6 +442,14 @@ def kv_append(spark, d):
     return kv.append(own).select("gid", "key", F.array_join("values", ",").alias("ids"))
 
 
+@query(f"SELECT 'local' AS gid, CAST(conv_id AS VARCHAR) AS key, string_agg(array_to_string({_WORDS}, ','), ',' ORDER BY turn) FILTER (len({_WORDS}) > 0) AS words FROM conversations GROUP BY 2")
+def kv_append_flatten(spark, d):
+    """Array values are appended one level flat."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    own = table(spark, d, "conversations").select(F.lit("local").alias("gid"), F.col("conv_id").cast("string").alias("key"), words.alias("value"), F.col("turn").alias("seq"))
+    return kv.append(own, flatten=True).select("gid", "key", F.when(F.size("values") > 0, F.array_join("values", ",")).alias("words"))
+
+
 @query(f"SELECT * FROM ({_LAST}) WHERE NOT (gid = 'error' AND CAST(key AS BIGINT) % 3 = 0)")
 def kv_delete(spark, d):
     held = kv.last_writes(_writes(spark, d))
@@ -470,10 +528,7 @@ def throughput_bottleneck(spark, d):
 
 def _scratch(spark: SparkSession) -> str:
     """A folder of this run in the shared checkpoint folder."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/weft-checkpoint")
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(_INDEX + "SELECT * FROM idx")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.plans.session import shared_folder
+
 
 def traverse(pages: DataFrame, seeds: list[str], max_depth: int = 1, max_pages: int | None = 200, indexable: Column | None = None) -> DataFrame:
     """(url, depth, fetched, indexed) of every address that was visited.
@@ -19,9 +21,9 @@ def traverse(pages: DataFrame, seeds: list[str], max_depth: int = 1, max_pages:
     if not isinstance(seeds, (list, tuple)) or not seeds:
         raise ValueError("seeds must be a non-empty list")
     spark = pages.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/weft-checkpoint")
-    pages = pages.withColumn("indexed", indexable if indexable is not None else F.lit(True))
+    shared_folder(spark)
+    # parsed and dealt out by address once, not at every level
+    pages = pages.withColumn("indexed", indexable if indexable is not None else F.lit(True)).repartition("url").checkpoint()
     frontier = spark.createDataFrame([(u, 0, i) for i, u in enumerate(dict.fromkeys(seeds))], "url string, depth int, ord bigint")
     docs_left = max_pages
     fetch_left = None if max_pages is None else max(20 * max_pages, 4000)
@@ -62,6 +64,20 @@ def traverse(pages: DataFrame, seeds: list[str], max_depth: int = 1, max_pages:
     return out
 
 
+def crawl_summary(visits: DataFrame, pages: DataFrame, texts: DataFrame, terms: DataFrame, samples: int = 5, url: str = "url") -> DataFrame:
+    """One row: pages_visited, pages_fetched, docs_indexed, text_chars, unique_terms, sample_docs (the first addresses indexed).
+
+    visits: traverse(); pages: (url, ...); texts: (url, text); terms: (url, term, ...) of all pages.
+    """
+    done = visits.where("indexed").select("url")
+    own = texts.select(F.col(url).alias("url"), "text").join(done, "url", "left_semi")
+    seen = visits.agg(F.count(F.lit(1)).alias("pages_visited"), F.count_if("fetched").alias("pages_fetched"), F.count_if("indexed").alias("docs_indexed"))
+    chars = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("text_chars"))
+    words = terms.select(F.col(url).alias("url"), "term").join(done, "url", "left_semi").agg(F.count_distinct("term").alias("unique_terms"))
+    some = done.orderBy("url").limit(samples).agg(F.array_sort(F.collect_list("url")).alias("sample_docs"))
+    return seen.crossJoin(chars).crossJoin(words).crossJoin(some)  # one row each
+
+
 def reverse_links(links: DataFrame) -> DataFrame:
     """(href, n_pages) of (page_id, href): how many pages link to it."""
     return links.distinct().groupBy("href").agg(F.count(F.lit(1)).alias("n_pages"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,12 @@ def shard_number(term: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
 
 
+def shard_of_literal(term: str, shards: int) -> int:
+    """shard_number() on the driver: no job for a search's few terms."""
+    h = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % shards
+
+
 def write_index(index: DataFrame, path: str, shards: int = 64, config: dict | None = None) -> None:
     """A directory for each shard, terms in order inside, so that a search opens few row groups; a manifest beside it."""
     spark = index.sparkSession
@@ -70,8 +77,7 @@ def read_index(spark: SparkSession, path: str, terms_: Sequence[str] | None = No
     if terms_ is None:
         return rows.drop("shard")
     shards = read_manifest(spark, path)["shards"]
-    keys = spark.createDataFrame([(t,) for t in terms_], "term string").select(shard_number(F.col("term"), shards).alias("s")).distinct().collect()
-    return rows.where(F.col("shard").isin([r.s for r in keys]) & F.col("term").isin(list(terms_))).drop("shard")
+    return rows.where(F.col("shard").isin(sorted({shard_of_literal(t, shards) for t in terms_})) & F.col("term").isin(list(terms_))).drop("shard")
 
 
 def cached_index(spark: SparkSession, path: str, config: dict, build) -> DataFrame:

@@ -52,6 +52,12 @@ def delete(table: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table.join(gone, KEY, "left_anti"), table.join(gone, KEY, "left_semi")
 
 
+def delete_key(table: DataFrame, key: str, gid: str = "local") -> tuple[DataFrame, DataFrame]:
+    """delete() of one key, with its absence an error."""
+    gone = get(table, key, gid)
+    return table.where(~((F.col("gid") == gid) & (F.col("key") == key))), gone
+
+
 def append(writes: DataFrame, seq: str = "seq", flatten: bool = False) -> DataFrame:
     """(gid, key, values): all values of a key in order of seq. With flatten, array values are concatenated one level."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("value").alias("v"))))

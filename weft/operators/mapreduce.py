@@ -8,21 +8,23 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def map_reduce(store: DataFrame, mapper: Callable, reducer: Callable, keys: DataFrame | None = None) -> DataFrame:
+def map_reduce(store: DataFrame, mapper: Callable, reducer: Callable, keys: DataFrame | None = None, combiner: Callable | None = None) -> DataFrame:
     """(k string, out string): one reducer output for each key, as JSON ("null" for None).
 
     store: (key, value). Keys without a row are skipped. mapper(key, value) gives None, a
     dict or dicts; of each the first item counts. A list value emits each of its members,
     and members that are lists are taken apart once more. reducer(k, values) is called
     once a key, in no order of values. No output of any mapper gives no rows. All values
-    of a key meet in one task, as the reducer's signature demands; aggregate in columns
-    instead if a key may be hot.
+    of a key meet in one task, as the reducer's signature demands, and only those of one
+    key at a time are held; a combiner (k, values) -> values folds them before the shuffle,
+    so that a hot key sends few. Aggregate in columns instead where that can say it.
     """
     rows = store.join(keys.select("key").distinct(), "key", "left_semi") if keys is not None else store
 
@@ -34,13 +36,65 @@ def map_reduce(store: DataFrame, mapper: Callable, reducer: Callable, keys: Data
                 for item in [found] if isinstance(found, dict) else found:
                     for k, v in list(item.items())[:1]:
                         for one in v if isinstance(v, list) else [v]:
-                            out.extend((str(k), json.dumps(x)) for x in (one if isinstance(one, list) else [one]))
-            yield pd.DataFrame(out, columns=["k", "v"])
+                            out.extend((str(k), x) for x in (one if isinstance(one, list) else [one]))
+            if combiner is not None:
+                by: dict[str, list] = {}
+                for k, v in out:
+                    by.setdefault(k, []).append(v)
+                out = [(k, x) for k, vs in by.items() for x in combiner(k, vs)]
+            yield pd.DataFrame([(k, json.dumps(v)) for k, v in out], columns=["k", "v"])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = (p for pdf in batches for p in zip(pdf["k"], pdf["v"], strict=True))
+        out = []
+        for k, own in groupby(pairs, lambda p: p[0]):  # the rows come in the order of keys
+            out.append((k, json.dumps(reducer(k, [json.loads(v) for _, v in own]))))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=["k", "out"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["k", "out"])
+
+    sent = rows.select("key", "value").mapInPandas(emit, "k string, v string")
+    return sent.repartition("k").sortWithinPartitions("k").mapInPandas(fold, "k string, out string")
+
+
+def iterate(store: DataFrame, mapper: Callable, reducer: Callable, rounds: int, combiner: Callable | None = None) -> DataFrame:
+    """`rounds` runs of map_reduce, each over the (key, value) rows that the one before gave; a round's output, a dict, is a row for each item.
+
+    Values are JSON texts between rounds; a round is cut off by checkpoint().
+    """
+    out = map_reduce(store, mapper, reducer, combiner=combiner)
+    for _ in range(rounds - 1):
+        pairs = out.select(F.explode(F.from_json("out", "map<string,string>")).alias("key", "value"))
+        out = map_reduce(pairs.checkpoint(), mapper, reducer, combiner=combiner)
+    return out
+
+
+class Registry:
+    """Named functions: put, get (an absent name is an error) and remove; a job may name its mapper and reducer."""
+
+    def __init__(self):
+        self._held: dict[str, Callable] = {}
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [key[0]], "out": [json.dumps(reducer(key[0], [json.loads(v) for v in pdf["v"]]))]})
+    def put(self, name: str, f: Callable) -> str:
+        if not callable(f):
+            raise TypeError(f"{name} is not a function")
+        self._held[name] = f
+        return name
 
-    return rows.select("key", "value").mapInPandas(emit, "k string, v string").groupBy("k").applyInPandas(fold, "k string, out string")
+    def get(self, name: str) -> Callable:
+        if name not in self._held:
+            raise KeyError(f"function {name} not found")
+        return self._held[name]
+
+    def rem(self, name: str) -> Callable:
+        f = self.get(name)
+        del self._held[name]
+        return f
+
+    def run(self, store: DataFrame, mapper: str, reducer: str, keys: DataFrame | None = None) -> DataFrame:
+        return map_reduce(store, self.get(mapper), self.get(reducer), keys)
 
 
 def max_by_key(rows: DataFrame, k: Column, v: Column) -> DataFrame:
@@ -105,7 +159,3 @@ def gather(rows: DataFrame, k: Column, v: Column, order: Column) -> DataFrame:
 def flattened(rows: DataFrame, k: Column, v: Column) -> DataFrame:
     """(k, v): array values taken apart, as the shuffle does."""
     return rows.select(k.alias("k"), F.explode(v).alias("v"))
-
-
-def numbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("rnk", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

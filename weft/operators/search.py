@@ -69,6 +69,15 @@ def search_many(index: DataFrame, queries: DataFrame, k: int = 10, query_id: str
     return scored.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
 
 
+def search_many_documents(docs: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "item_id", text: str = "text", doc: str = "doc_id", stop_words: Sequence[str] = STOP_WORDS, pushed: int = 20_000) -> DataFrame:
+    """search_many() without an index. Up to `pushed` distinct asked terms are filtered for before anything is shuffled; beyond, the index is built."""
+    own = terms(F.col(text), stop_words)
+    asked = queries.select(F.explode(F.concat(F.array(F.array_join(own, " ")), own)).alias("term")).where("term <> ''").distinct()
+    some = [r.term for r in asked.limit(pushed + 1).collect()]
+    index = build_index(docs, doc, stop_words=stop_words, only=some if len(some) <= pushed else None)
+    return search_many(index, queries, k, query_id, text, doc, stop_words)
+
+
 def substring_search(index: DataFrame, query: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Rows whose term contains the processed query, letters inside words included."""
     return index.where(F.col("term").contains(" ".join(terms_of(query, stop_words))))

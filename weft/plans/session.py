@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Adaptive execution sizes partitions at run time; skewed joins are split.
@@ -14,6 +17,22 @@ CLUSTER = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share, set from spark.checkpoint.dir.
+
+    Only a local session that names none gets a temporary folder; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            path = os.path.join(tempfile.gettempdir(), "weft-checkpoint")
+        sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", name: str = "weft") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name).config(map=CLUSTER)
     return (

@@ -10,8 +10,12 @@ from weft.operators.index import build_index
 
 
 def document_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """Files of a table, a few a micro-batch. path may be a single file: a pattern serves for both."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path.rstrip('/')}*")
+    """Files of a table, a few a micro-batch. path may be a folder or a single file, which a pattern of one name picks out of its folder."""
+    path = path.rstrip("/")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    single = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile()
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/[{name[0]}]{name[1:]}" if single else path)
 
 
 def maintain_index(docs: DataFrame, path: str, checkpoint: str, doc: str = "doc_id") -> StreamingQuery:
@@ -48,6 +52,27 @@ def until_stop(urls: DataFrame) -> DataFrame:
     return urls.crossJoin(F.broadcast(end)).where(F.col("end").isNull() | (F.col("n") < F.col("end"))).drop("end")
 
 
+def drain_until_stop(urls: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Appends the stream's (url, n) before the first `stop` to the table at path; batches after it add nothing.
+
+    every: a trigger period such as "5 seconds" for a query that goes on; else what is there is read and the query ends.
+    """
+    flag = f"{path}_stopped"
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{flag}/batch")
+        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(hadoop) and spark.read.text(f"{flag}/batch").first().value != str(number):
+            return
+        until_stop(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if not batch.where(F.col("url") == "stop").isEmpty():
+            spark.createDataFrame([(str(number),)], "value string").coalesce(1).write.mode("overwrite").text(f"{flag}/batch")
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return urls.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def counts(events: DataFrame, key: str) -> DataFrame:
     """Running count by key."""
     return events.groupBy(key).agg(F.count(F.lit(1)).alias("cnt"))

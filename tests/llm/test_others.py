@@ -271,9 +271,52 @@ def test_language_of_awkward_rows(spark, awkward, none):
     assert not language.has_letter("²³ 12_") and language.has_letter("² x")
 
 
+def sigmoid(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def plain_label(n, text):
+    """Language and score by the definition: one byte after another, chunk by chunk, in double precision."""
+    buf, h = text.lower().encode(), n.h
+    p = {k: w.astype(np.float64) for k, w in n.p.items()}
+
+    def states(d, at):
+        s, out = np.zeros(h), {}
+        for i in at:
+            a, b = p[d + "in"][buf[i]], s @ p[d + "rec"]
+            z, r = np.split(sigmoid(a[: 2 * h] + b[: 2 * h]), 2)
+            s = (1 - z) * np.tanh(a[2 * h :] + r * b[2 * h :]) + z * s
+            out[i] = s
+        return out
+
+    total = np.zeros(len(n.labels))
+    for start in range(0, len(buf), language.CHUNK):
+        end = min(start + language.CHUNK, len(buf))
+        forward = states("f", range(max(0, start - language.CONTEXT), end))
+        back = states("b", range(min(len(buf), end + language.CONTEXT) - 1, start - 1, -1))
+        for i in range(start, end):
+            e = np.exp(np.concatenate((forward[i], back[i])) @ p["out"] + p["bias"])
+            total += e / e.sum()
+    return total / len(buf)
+
+
+def test_labels_are_those_of_a_plain_pass(spark):
+    """Every row of the query over whole texts, against the network run byte by byte."""
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    network = language.fit(docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in QUERIES["op2_language_id"](spark, small).collect():
+        if not language.has_letter(texts[r.doc_id]):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        prob = plain_label(network, texts[r.doc_id])
+        assert abs(prob.max() - r.score) < 1e-4 and prob[network.labels.index(r.lang_pred)] > prob.max() - 1e-4
+
+
 def test_labels_do_not_depend_on_batches():
     network = language.Network(["a", "b"])
-    texts = ["straße und haus", "x" * 100, "one two"]
+    texts = ["straße und haus", "x" * 1000, "", "one two", "日本" * 200, "a"]
     together = language.Labeller(network)(texts)
     apart = [language.Labeller(network)([t]) for t in texts]
     assert together[0] == [a[0][0] for a in apart] and np.allclose(together[1], [a[1][0] for a in apart])

@@ -1,10 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads runs of letters as UTF-8 bytes in lower case, forwards and backwards,
-and labels every byte; a document's probabilities are the mean over all its letter
-bytes. It is trained in numpy by backpropagation through time on a bounded sample of
-labelled rows. The label of a byte depends only on its run, so each distinct run is
-computed once a batch, and runs seen before are looked up.
+The network reads whole texts as UTF-8 bytes in lower case, forwards and backwards, and
+labels every byte, spaces, digits and punctuation too; a document's probabilities are the
+mean over all its bytes. It is trained in numpy by backpropagation through time on a
+bounded sample of labelled rows.
+
+A text is labelled in chunks of CHUNK bytes, read in step as lanes. Before its chunk a lane
+reads the CONTEXT bytes next to it in its direction, so the state carries over the chunks'
+edges. Chunks begin at multiples of CHUNK of the text: a label depends on the text alone, up
+to rounding in the last places, as products are formed over lanes of several texts.
 """
 
 from __future__ import annotations
@@ -17,19 +21,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import in_arrow, table
-from weft.llm.hashing import words
-
-#: Bound of the training sample: labelled documents, and runs of letters of each, drawn from the whole text.
-SAMPLE_DOCS, SAMPLE_RUNS = 3000, 96
-#: Units in each direction, training steps and runs in a step.
-HIDDEN, STEPS, STEP_RUNS = 12, 700, 256
-#: Longer runs are read in pieces of so many bytes.
-LONGEST = 32
-#: Text bytes labelled together, and distinct runs a task remembers.
-BATCH, REMEMBERED = 2 << 20, 1 << 18
-_LETTER = np.zeros(256, bool)
-_LETTER[97:123] = True
-_LETTER[128:] = True
+from weft.llm.hashing import spread
+
+#: Bound of the training sample: labelled documents, and stretches of each, drawn from the whole text.
+SAMPLE_DOCS, SAMPLE_STRETCHES = 3000, 16
+#: Units in each direction, training steps, stretches in a step and bytes of a stretch.
+HIDDEN, STEPS, STEP_STRETCHES, STRETCH = 12, 500, 64, 48
+#: Bytes that a lane labels, bytes that it reads before, and lanes in step.
+CHUNK, CONTEXT, LANES = 224, 32, 1024
+#: Text bytes labelled together.
+BATCH = 2 << 20
+#: The byte beyond a text's ends: it leaves the state as it is.
+_BEYOND = 256
 _MAYBE = re.compile(r"[^\W\d_]")
 
 
@@ -70,25 +73,69 @@ class Network:
     def _back(self, d: str, x: np.ndarray, kept: list, grad: np.ndarray, into: dict) -> None:
         """Through time: gradients of the byte and state weights from those of the states."""
         h, u = self.h, self.p[d + "rec"]
-        win, wrec, carry = np.zeros_like(self.p[d + "in"]), np.zeros_like(u), np.zeros((len(x), h), np.float32)
+        wrec, carry, gates = np.zeros_like(u), np.zeros((len(x), h), u.dtype), np.empty((x.shape[1], len(x), 3 * h), u.dtype)
         for t in range(x.shape[1] - 1, -1, -1):
             s, z, r, n, b = kept[t]
             g = grad[t] + carry
             dn = g * (1 - z) * (1 - n * n)
             dz = g * (s - n) * z * (1 - z)
             dr = dn * b * r * (1 - r)
-            gates, rec = np.concatenate((dz, dr, dn), 1), np.concatenate((dz, dr, dn * r), 1)
-            np.add.at(win, x[:, t], gates)
+            gates[t] = np.concatenate((dz, dr, dn), 1)
+            rec = np.concatenate((dz, dr, dn * r), 1)
             wrec += s.T @ rec
             carry = g * z + rec @ u.T
+        column = x.T.ravel()
+        order = np.argsort(column, kind="stable")
+        seen, begin = np.unique(column[order], return_index=True)
+        win = np.zeros_like(self.p[d + "in"])
+        win[seen] = np.add.reduceat(gates.reshape(-1, 3 * h)[order], begin, 0)
         into[d + "in"], into[d + "rec"] = win, wrec
 
-    def label(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities (steps, runs, labels) of every byte."""
-        states = np.concatenate((self._run("f", x), self._run("b", x[:, ::-1])[::-1]), 2)
-        e = states @ self.p["out"] + self.p["bias"]
-        e = np.exp(e - e.max(2, keepdims=True))
-        return e / e.sum(2, keepdims=True)
+    def _states(self, d: str, x: np.ndarray, first: int) -> np.ndarray:
+        """States after each of the columns of x from `first` on, as _run has them, without new arrays a step.
+
+        Gates are kept apart, so that every operation goes over one stretch of memory.
+        """
+        h, lanes = self.h, len(x)
+        w = np.concatenate((self.p[d + "in"], np.zeros((1, 3 * h), np.float32)))
+        w[_BEYOND, :h] = 80
+        w, u = (np.ascontiguousarray(k.reshape(-1, 3, h).transpose(1, 0, 2)) for k in (w, self.p[d + "rec"]))
+        w[:2] *= -1
+        u[:2] *= -1
+        s, out = np.zeros((lanes, h), np.float32), np.empty((x.shape[1] - first, lanes, h), np.float32)
+        a, b = np.empty((3, lanes, h), np.float32), np.empty((3, lanes, h), np.float32)
+        (z, r, n), gates, gates_b, n_b = a, a[:2], b[:2], b[2]
+        for t, column in enumerate(np.ascontiguousarray(x.T)):
+            for k in range(3):
+                np.take(w[k], column, 0, a[k], "clip")
+                np.matmul(s, u[k], b[k])
+            gates += gates_b
+            np.exp(gates, gates)
+            gates += 1
+            np.reciprocal(gates, gates)
+            n_b *= r
+            n += n_b
+            np.tanh(n, n)
+            s -= n
+            s *= z
+            s += n
+            if t >= first:
+                out[t - first] = s
+        return out
+
+    def pooled(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Sums (lanes, labels) of the probabilities of the `size` bytes of each lane of x, which stand between CONTEXT columns."""
+        forward = self._states("f", x[:, : x.shape[1] - CONTEXT], CONTEXT)
+        back = self._states("b", x[:, : CONTEXT - 1 : -1], CONTEXT)[::-1]
+        of, ob = np.ascontiguousarray(self.p["out"][: self.h].T), np.ascontiguousarray(self.p["out"][self.h :].T)
+        e = of @ forward.transpose(0, 2, 1)
+        e += ob @ back.transpose(0, 2, 1)
+        e += self.p["bias"][:, None]
+        e -= e.max(1, keepdims=True)
+        np.exp(e, e)
+        e /= e.sum(1, keepdims=True)
+        e *= (np.arange(len(e))[:, None] < size)[:, None, :]
+        return e.sum(0, dtype=np.float64).T
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean cross-entropy of all positions and its gradients."""
@@ -109,14 +156,14 @@ class Network:
         self._back("b", x[:, ::-1], kb, ds[::-1, :, self.h :], g)
         return loss, g
 
-    def train(self, runs: list[bytes], y: np.ndarray, steps: int = STEPS, seed: int = 11) -> None:
-        """Adam; a step draws runs of one length, each language as often."""
+    def train(self, stretches: list[bytes], y: np.ndarray, steps: int = STEPS, seed: int = 11) -> None:
+        """Adam; a step draws stretches of one length, each language as often."""
         r = np.random.default_rng(seed)
-        size = np.array([min(len(b), LONGEST) for b in runs])
+        size = np.array([len(b) for b in stretches])
         by: dict[int, tuple] = {}
         for d in np.unique(size):
             at = np.flatnonzero(size == d)
-            x = np.frombuffer(b"".join(runs[i][:d] for i in at), np.uint8).reshape(-1, d)
+            x = np.frombuffer(b"".join(stretches[i] for i in at), np.uint8).reshape(-1, d)
             n = np.bincount(y[at], minlength=len(self.labels))
             by[int(d)] = (x, y[at], (1.0 / n[y[at]]) / (n > 0).sum(), len(at) * d)
         lengths = list(by)
@@ -124,7 +171,7 @@ class Network:
         m, v = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}
         for step in range(1, steps + 1):
             x, own, weight, _ = by[lengths[r.choice(len(lengths), p=share / share.sum())]]
-            at = r.choice(len(own), STEP_RUNS, p=weight)
+            at = r.choice(len(own), STEP_STRETCHES, p=weight)
             _, g = self.gradients(x[at], own[at])
             rate = 0.02 * min(1.0, 2.0 * (1 - (step - 1) / steps))
             for k, w in self.p.items():
@@ -132,84 +179,57 @@ class Network:
                 v[k] += 0.01 * (g[k] ** 2 - v[k])
                 w -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
 
-    def pooled(self, runs: np.ndarray) -> np.ndarray:
-        """Sum of the probabilities of all bytes of each run (runs of one length)."""
-        return self.label(runs).sum(0, dtype=np.float64)
-
 
 class Labeller:
-    """Pools documents; distinct runs are computed once and remembered by hash."""
+    """Pools the labels of all bytes of texts."""
 
     def __init__(self, network: Network):
         self.network = network
-        self.forget()
 
-    def forget(self) -> None:
-        self.known, self.sums = np.empty(0, np.uint64), np.empty((0, len(self.network.labels)))
-
-    def _compute(self, arr: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        out = np.empty((len(start), len(self.network.labels)))
-        for d in np.unique(size):
-            rows = np.flatnonzero(size == d)
-            for at in range(0, len(rows), 8192):
-                part = rows[at : at + 8192]
-                out[part] = self.network.pooled(arr[start[part][:, None] + np.arange(d)])
-        return out
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        """Mean probabilities (texts, labels) over all bytes of each text; an empty one has none."""
+        bufs = [_bytes(t) for t in texts]
+        size = np.array([len(b) for b in bufs], np.int64)
+        end = np.cumsum(size)
+        arr = np.frombuffer(b"".join(bufs), np.uint8).astype(np.int16)
+        n = -(-size // CHUNK)
+        doc = np.repeat(np.arange(len(texts)), n)
+        start = np.repeat(end - size, n) + CHUNK * spread(np.zeros(len(n), np.int64), n)
+        own = np.minimum(CHUNK, end[doc] - start)
+        total = np.zeros((len(texts), len(self.network.labels)))
+        order = np.argsort(-own, kind="stable")
+        for at in range(0, len(order), LANES):
+            lane = order[at : at + LANES]
+            of = doc[lane]
+            where = start[lane][:, None] + np.arange(-CONTEXT, own[lane[0]] + CONTEXT)
+            inside = (where >= (end - size)[of][:, None]) & (where < end[of][:, None])
+            x = np.where(inside, arr[np.clip(where, 0, len(arr) - 1)], _BEYOND)
+            np.add.at(total, of, self.network.pooled(x, own[lane]))
+        return total / np.maximum(size, 1)[:, None]
 
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        bufs = [t.lower().encode("utf-8", "replace") for t in texts]
-        first = np.concatenate(([0], np.cumsum([len(b) + 1 for b in bufs])))
-        buf = b"\n".join(bufs)
-        hashes, s, e = _pieces(buf)
-        arr = np.frombuffer(buf, np.uint8)
-        unique, pick, which = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, unique)
-        new = np.ones(len(unique), bool)
-        inside = at < len(self.known)
-        new[inside] = self.known[at[inside]] != unique[inside]
-        sums = np.empty((len(unique), len(self.network.labels)))
-        sums[~new] = self.sums[at[~new]]
-        fresh = pick[new]
-        sums[new] = self._compute(arr, s[fresh], (e - s)[fresh])
-        if len(self.known) + new.sum() > REMEMBERED:
-            self.forget()
-        known, keep = np.concatenate((self.known, unique[new])), np.concatenate((self.sums, sums[new]))
-        order = np.argsort(known)
-        self.known, self.sums = known[order], keep[order]
-        doc = np.searchsorted(first, s, "right") - 1
-        total = np.zeros((len(texts), len(self.network.labels)))
-        for k in range(total.shape[1]):
-            total[:, k] = np.bincount(doc, weights=sums[which, k], minlength=len(texts))
-        bytes_ = np.bincount(doc, weights=(e - s), minlength=len(texts))
-        prob = total / np.maximum(bytes_, 1)[:, None]
+        prob = self.probabilities(texts)
         best = prob.argmax(1)
         return [self.network.labels[i] for i in best], np.clip(prob[np.arange(len(texts)), best], 0, 1).tolist()
 
 
-def _pieces(buf: bytes):
-    """Runs of letter bytes, long ones cut every LONGEST bytes."""
-    from weft.llm.hashing import hash_runs, spread
+def _bytes(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
 
-    hashes, s, e = words(buf, _LETTER)
-    size = e - s
-    if not (size > LONGEST).any():
-        return hashes, s, e
-    n = -(-size // LONGEST)
-    begin = np.repeat(s, n) + LONGEST * spread(np.zeros(len(n), np.int64), n)
-    end = np.minimum(begin + LONGEST, np.repeat(e, n))
-    return hash_runs(np.frombuffer(buf, np.uint8), begin, end), begin, end
 
+def _sample(stretches: int):
+    """Stretches of STRETCH bytes from anywhere in the text, or the whole of a shorter one; of no letter none."""
 
-def _sample(runs: int):
     def run(batches):
         for b in batches:
             out = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                buf = text.lower().encode("utf-8", "replace")
-                _, s, e = _pieces(buf)
-                at = np.random.default_rng(key & 0xFFFFFFFF).choice(len(s), min(runs, len(s)), replace=False) if len(s) else []
-                out.append([buf[s[i] : e[i]] for i in at])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.binary()))], names=["key", "lang", "runs"])
+                buf = _bytes(text) if has_letter(text) else b""
+                last = max(len(buf) - STRETCH, 0)
+                n = min(stretches, -(-len(buf) // STRETCH))
+                at = np.random.default_rng(key & 0xFFFFFFFF).integers(0, last + 1, n)
+                out.append([buf[i : i + STRETCH] for i in at])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.binary()))], names=["key", "lang", "stretches"])
 
     return run
 
@@ -218,8 +238,8 @@ def _remainder(id_col: str):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(0)) % 5
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, runs: int = SAMPLE_RUNS) -> Network | None:
-    """A network trained on at most `docs` labelled rows, chosen by a hash of their id, and `runs` runs of letters of each; None if no row is labelled."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, stretches: int = SAMPLE_STRETCHES) -> Network | None:
+    """A network trained on at most `docs` labelled rows, chosen by a hash of their id, and `stretches` stretches of each text; None if no row is labelled."""
     rows = df.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
         F.xxhash64(F.lit("language"), F.col(f"`{id_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
     )
@@ -228,11 +248,11 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         return None
     share = min(1_000_000, int(1_300_000 * docs / labelled) + 1)
     some = rows.where(F.pmod("key", F.lit(1_000_000)) < share)
-    got = in_arrow(some, _sample(runs), "key bigint, lang string, runs array<binary>").orderBy("key", "lang").limit(docs).collect()
-    labels = sorted({r.lang for r in got if r.runs})
+    got = in_arrow(some, _sample(stretches), "key bigint, lang string, stretches array<binary>").orderBy("key", "lang").limit(docs).collect()
+    labels = sorted({r.lang for r in got if r.stretches})
     if not labels:
         return None
-    pairs = [(bytes(b), labels.index(r.lang)) for r in got for b in r.runs]
+    pairs = [(bytes(b), labels.index(r.lang)) for r in got for b in r.stretches]
     network = Network(labels)
     network.train([b for b, _ in pairs], np.array([y for _, y in pairs]))
     return network

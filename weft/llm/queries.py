@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_substring_dedup": substring_dedup.SQL,
+    "op3_suffix_array_dedup": suffix_dedup.SQL,
     "op4_decontamination": decontaminate.SQL,
     "op5_chat_formatting": chat.SQL,
     "op6_exact_top_k": topk.SQL,

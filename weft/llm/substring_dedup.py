@@ -194,3 +194,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string is compared in full; nothing is hashed before the digest of what is kept.
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
+hits AS (SELECT doc_id, i, 1 AS hit FROM windows JOIN firsts USING (k) WHERE first < doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+marked AS (
+  SELECT doc_id, i, word, max(coalesce(hit, 0)) OVER (PARTITION BY doc_id ORDER BY i ROWS 49 PRECEDING) AS gone FROM each LEFT JOIN hits USING (doc_id, i)),
+sums AS (SELECT doc_id, sum(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)"""

@@ -440,3 +440,20 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     if "n_chars" in out:
         out["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return found.select(*[out[c].alias(c) for c in docs.columns])
+
+
+#: Every string is compared in full; nothing is hashed before the digest of what is kept.
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT doc_id, c, substr(h, 200 * c + 1, 400) AS p FROM (SELECT doc_id, h, unnest(range(0, (length(h) + 199) // 200)) AS c FROM d)),
+each AS (
+  SELECT doc_id, 100 * c + j AS i, substr(p, 2 * j + 1, 2) AS byte, substr(p, 2 * j + 1, 200) AS k
+  FROM (SELECT *, unnest(range(0, least(length(p) // 2, 100))) AS j FROM parts)),
+firsts AS (SELECT k, min({'doc': doc_id, 'at': i}) AS first FROM each WHERE length(k) = 200 GROUP BY k HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, 1 AS hit FROM each JOIN firsts USING (k) WHERE first <> {'doc': doc_id, 'at': i}),
+marked AS (
+  SELECT doc_id, i, byte, max(coalesce(hit, 0)) OVER (PARTITION BY doc_id ORDER BY i ROWS 99 PRECEDING) AS gone FROM each LEFT JOIN hits USING (doc_id, i)),
+runs AS (SELECT *, gone > lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS opens FROM marked),
+sums AS (SELECT doc_id, sum(gone) AS n, count(*) FILTER (opens) AS spans, string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS kept FROM runs GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)"""

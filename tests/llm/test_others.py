@@ -329,11 +329,12 @@ def best_split(text, v):
     """The split with the highest score by plain dynamic programming over characters."""
     ids = {p: i for i, p in enumerate(v.pieces) if p}
     unknown = min(s for p, s in zip(v.pieces, v.scores) if p is not None) - 10
+    longest = max(len(p.decode()) for p in ids)
     text = " " + text
     n = len(text)
     best, back = [0.0] + [None] * n, [None] * (n + 1)
     for end in range(1, n + 1):
-        for start in range(max(0, end - 50), end):
+        for start in range(max(0, end - longest), end):
             p = ids.get(text[start:end].encode())
             if p is None and end - start > 1:
                 continue
@@ -365,6 +366,17 @@ def test_encoding_is_the_best_split(db, sf):
         assert sentencepiece.decode_ids(own, v.decoded) == t
 
 
+def test_encoding_query_gives_the_best_splits(spark):
+    """Every row of the query, over whole texts."""
+    small = "/root/testdata/sf0.001"
+    v, texts = sentencepiece.load(), {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    got = QUERIES["op7_sentencepiece"](spark, small).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.doc_id]
+        assert r.ids == (None if t is None else best_split(t, v) if t else []) and r.n_tokens == len(r.ids or []) and r.round_trip == (None if t is None else True)
+
+
 def test_round_trip_of_awkward_rows(spark, awkward, none, db, sf):
     got = sentencepiece.decode(sentencepiece.encode(awkward)).collect()
     assert len(got) == awkward.count() and all(r.text == r.decoded for r in got)

@@ -69,6 +69,18 @@ def test_links(spark):
     assert rows[1][1] == ["https://h.org/a", "https://h.org/a#top"]
 
 
+def test_links_of_the_parsed_document(spark):
+    html = """<!-- <a href="no"> --><a href=bare>x</a><A class="c" HREF='q?a=1&amp;b=2'>y</A><script>'<a href="no">'</script><a name="n">z</a><a href="bare" href="no">"""
+    assert html_text.anchors(html) == ["bare", "q?a=1&b=2", "bare"] and html_text.anchors(None) == [] == html_text.anchors("")
+    base = "https://h.org/a/"
+    assert one(spark, urls.local_links(F.col("u"), F.col("h")), u=base + "index.html", h=html) == [base + "bare", base + "q?a=1&b=2", base + "bare"]
+
+
+def test_lists_of_a_document():
+    html = "<p>before</p><ul><li>one<li>two <b>bold</b><br>more<ol><li>x</li><li><p>y</p><p>z</p></li></ol></li></ul><p>after</p><li>stray</li>"
+    assert html_text.document_text(html) == "before\n\n * one\n * two bold\n   more\n    1. x\n    2. y\n\n       z\n\nafter\n\nstray"
+
+
 def test_normal_url():
     assert urls.normal_url("HTTP://Ex.ORG:80", "http://b/") == "http://ex.org/"
     assert urls.normal_url("/für x?q=é#f", "https://b.org/a") == "https://b.org/f%C3%BCr%20x?q=%C3%A9#f"

@@ -1,4 +1,4 @@
-"""Document text of HTML: headings in capitals, links with their target in brackets, paragraphs apart. An Arrow UDF."""
+"""Document text of HTML: headings in capitals, links with their target in brackets, list items marked, paragraphs apart; and the links of a document. Arrow UDFs over a parser."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BLOCKS = _HEADINGS | {"p", "div", "ul", "ol", "table", "pre", "blockquote", "section", "article", "header", "footer", "main", "nav", "li", "tr", "form"}
 _APART = _HEADINGS | {"p", "ul", "ol", "table", "pre", "blockquote"}
+_LISTS = {"ul", "ol"}
 _SKIPPED = {"script", "style", "head", "title", "noscript", "template"}
 _VOID = {"br", "img", "hr", "meta", "link", "input"}
 
@@ -20,21 +21,33 @@ class _Text(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[bool, str]] = []  # (stands apart, text)
         self.words, self.skip, self.upper, self.links, self.apart = "", 0, 0, [], False
+        self.lists: list[list] = []  # of each open list: ordered, items so far, what goes before the item's first block, and before its other lines
 
     def _close(self, apart: bool) -> None:
         text = "\n".join(" ".join(line.split()) for line in self.words.split("\0")).strip()
         if text:
-            self.blocks.append((self.apart, text))
+            mark, indent = "".join(k[2] for k in self.lists), "".join(k[3] for k in self.lists)
+            self.blocks.append((self.apart, mark + text.replace("\n", "\n" + indent)))
+            for k in self.lists:
+                k[2] = k[3]
             self.apart = False
         self.words = ""
-        self.apart |= apart
+        if not (self.lists and self.lists[-1][2] != self.lists[-1][3]):  # an item's first block stands by its mark
+            self.apart |= apart
 
     def handle_starttag(self, tag, attrs):
         if tag in _SKIPPED:
             self.skip += 1
         elif tag in _BLOCKS:
-            self._close(tag in _APART)
+            self._close(tag in _APART and not (tag in _LISTS and self.lists))
             self.upper += tag in _HEADINGS
+            if tag in _LISTS:
+                self.lists.append([tag == "ol", 0, "", ""])
+            elif tag == "li" and self.lists:
+                own = self.lists[-1]
+                own[1] += 1
+                own[2] = f" {own[1]}. " if own[0] else " * "
+                own[3] = " " * len(own[2])
         elif tag == "br":
             self.words += "\0"
         elif tag == "a":
@@ -44,7 +57,11 @@ class _Text(HTMLParser):
         if tag in _SKIPPED:
             self.skip = max(0, self.skip - 1)
         elif tag in _BLOCKS:
-            self._close(tag in _APART)
+            self._close(tag in _APART and not (tag in _LISTS and len(self.lists) > 1))
+            if tag in _LISTS and self.lists:
+                self.lists.pop()
+            elif tag == "li" and self.lists:
+                self.lists[-1][2:] = "", ""
             self.upper = max(0, self.upper - (tag in _HEADINGS))
         elif tag == "a" and self.links:
             href = self.links.pop()
@@ -75,3 +92,26 @@ def document_text(html: str | None) -> str | None:
 @F.pandas_udf(StringType())
 def html_document_text(html: pd.Series) -> pd.Series:
     return html.map(document_text)
+
+
+class _Anchors(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hrefs: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.hrefs += [v or "" for k, v in attrs if k == "href"][:1]
+
+
+def anchors(html: str | None) -> list[str]:
+    """The href of every anchor element in document order, repeats kept, quoted or not, entities resolved. Comments and scripts hold none; null gives none."""
+    parser = _Anchors()
+    parser.feed(html or "")
+    parser.close()
+    return parser.hrefs
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def document_hrefs(html: pd.Series) -> pd.Series:
+    return html.map(anchors)

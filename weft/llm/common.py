@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LONG_MIN = -(2**63)
 M64 = (1 << 64) - 1
@@ -48,6 +49,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever is in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def fresh(prefix: str, taken: list[str]) -> str:
     """A column name that the table does not use."""
     name = prefix

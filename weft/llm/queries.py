@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import chat, decontaminate, fill_middle, language, sentencepiece, sharding, simhash, substring_dedup, suffix_dedup, topk, url_filter, whitening
+from weft.llm import chat, class_lm, decontaminate, fill_middle, language, sentencepiece, sharding, simhash, substring_dedup, suffix_dedup, topk, url_filter, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_simhash": simhash.op10_simhash,
     "op11_whitening": whitening.op11_whitening,
+    "op12_class_lm": class_lm.op12_class_lm,
     "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
 }
 

@@ -473,45 +473,33 @@ def _asked(sent):
 
 
 def _classified(sent, counts: np.ndarray, of: np.ndarray, model: tuple[int, int, int, np.ndarray], names: list[str]):
-    """Texts as classes, with base score and emissions. Rows: a block, then the words of it that were found."""
+    """The texts of a block as classes, with base score and emissions: (the block's row, its words that were found) -> its texts."""
     classes, n_train, distinct, of_class = model
-    unknown = classes + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: i for i, w in enumerate(sent.value)}
-        now = None  # ids, Block, count and class of each of its words
-
-        def done() -> pa.RecordBatch:
-            ids, block, c, cls = now
-            doc = np.repeat(np.arange(len(block.n)), block.n)
-            each = lambda v: np.bincount(doc, v[block.codes], len(block.n)) if len(block.codes) else np.zeros(len(block.n))
-            ends = of_class[classes]
-            base = np.log10((c + 1) / (n_train + distinct + 1))
-            emitted = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(np.append(of_class, 1)[cls], 1)), 0.0)
-            byte = (cls | np.where(c == 1, ONCE, 0)).astype(np.uint8)
-            seq = byte[block.codes] if len(block.codes) else np.zeros(0, np.uint8)
-            off = np.concatenate(([0], np.cumsum(block.n))).astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [
-                    ids, pa.array(block.learns), pa.array(block.n + 1), pa.array(each((c > 0).astype(float)).astype(np.int64) + (ends > 0)), pa.array(each(base) + np.log10((ends + 1) / (n_train + distinct + 1))), pa.array(each(emitted)),
-                    pa.Array.from_buffers(pa.binary(), len(block.n), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(seq.tobytes())]),
-                ], names=names
-            )
-
-        for batch in batches:
-            first = np.flatnonzero(np.asarray(batch.column(1)) == 0).tolist()
-            pos, cnt, found = (pc.fill_null(batch.column(k), 0).to_numpy(zero_copy_only=False) for k in (6, 7, 8))
-            for a, b in zip([-1, *first], [*first, batch.num_rows], strict=True):
-                if a >= 0:
-                    if now is not None:
-                        yield done()
-                    block = Block.read(*(batch.column(k)[a] for k in (3, 4, 5)))
-                    number = block.numbers(known, len(known))
-                    now = batch.column(2)[a].values, block, np.append(counts, 0)[number], np.append(of, unknown)[number]
-                if b > a + 1:
-                    now[2][pos[a + 1 : b]], now[3][pos[a + 1 : b]] = cnt[a + 1 : b], found[a + 1 : b]
-        if now is not None:
-            yield done()
+    unknown, held = classes + 1, []
+
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        if not held:
+            held.append({w: i for i, w in enumerate(sent.value)})
+        known, row = held[0], block.combine_chunks().to_batches()[0]
+        own = Block.read(*(row.column(k)[0] for k in ("n", "learns", "blob")))
+        number = own.numbers(known, len(known))
+        c, cls = np.append(counts, 0)[number], np.append(of, unknown)[number]
+        pos = found.column("pos").to_numpy()
+        c[pos], cls[pos] = found.column("cnt").to_numpy(), found.column("class").to_numpy()
+        doc = np.repeat(np.arange(len(own.n)), own.n)
+        each = lambda v: np.bincount(doc, v[own.codes], len(own.n)) if len(own.codes) else np.zeros(len(own.n))
+        ends, smooth = of_class[classes], n_train + distinct + 1
+        base = np.log10((c + 1) / smooth)
+        emitted = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(np.append(of_class, 1)[cls], 1)), 0.0)
+        byte = (cls | np.where(c == 1, ONCE, 0)).astype(np.uint8)
+        seq = byte[own.codes] if len(own.codes) else np.zeros(0, np.uint8)
+        off = np.concatenate(([0], np.cumsum(own.n))).astype(np.int32)
+        return pa.Table.from_arrays(
+            [
+                row.column("ids")[0].values, pa.array(own.learns), pa.array(own.n + 1), pa.array(each((c > 0).astype(float)).astype(np.int64) + (ends > 0)), pa.array(each(base) + np.log10((ends + 1) / smooth)), pa.array(each(emitted)),
+                pa.Array.from_buffers(pa.binary(), len(own.n), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(seq.tobytes())]),
+            ], names=names
+        )
 
     return run
 
@@ -592,12 +580,11 @@ def score_texts(df: DataFrame, learns: Column, id_col: str = "doc_id", text_col:
     model = fit(held, classes, share, rounds)
     sent = spark.sparkContext.broadcast(model.frequent)
     asked = in_arrow(held.select("block", "n", "learns", "blob"), _asked(sent), StructType([StructField("block", LongType()), StructField("pos", IntegerType()), StructField("word", StringType())]))
-    found = asked.join(model.others.hint("merge"), "word").select("block", F.lit(1).alias("kind"), "pos", "cnt", "class")
-    both = held.select("block", F.lit(0).alias("kind"), "ids", "n", "learns", "blob").unionByName(found, allowMissingColumns=True)
-    both = both.select("block", "kind", "ids", "n", "learns", "blob", "pos", "cnt", "class").repartition(partitions(spark), "block").sortWithinPartitions("block", "kind")
+    found = asked.join(model.others.hint("merge"), "word").select("block", "pos", "cnt", "class")
     fields = [StructField("id", kind), StructField("learns", BooleanType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base_score", DoubleType()), StructField("emitted", DoubleType()), StructField("seq", BinaryType())]
     spec = (classes, model.n, model.distinct, model.class_counts)
-    texts = cut(in_arrow(both, _classified(sent, model.counts, model.of, spec, [f.name for f in fields]), StructType(fields)))
+    met = held.select("block", "ids", "n", "learns", "blob").groupBy("block").cogroup(found.groupBy("block"))  # a group is one block
+    texts = cut(met.applyInArrow(_classified(sent, model.counts, model.of, spec, [f.name for f in fields]), StructType(fields)))
     width = classes + 2
     cnt, once = np.zeros((width, width)), np.zeros((width, width))
     pairs = in_arrow(texts.where("learns").select("seq"), _transitions(classes), "a bigint, b bigint, cnt bigint, once bigint").groupBy("a", "b").agg(F.sum("cnt").alias("cnt"), F.sum("once").alias("once"))

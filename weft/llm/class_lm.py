@@ -1,7 +1,7 @@
 """Class-based n-gram scoring: exchange clustering of words, class transitions, word emissions.
 
 Texts are read once and kept as blocks of word numbers with each block's own dictionary,
-so that what is shuffled afterwards are a block's distinct words, never its tokens.
+so that what is shuffled afterwards are a block's distinct words, each once, never its tokens.
 
 Clustering is in two steps. The frequent words - those with at least SHARE of the training
 tokens, so no more than 1 / SHARE of them whatever the corpus - are moved between classes
@@ -37,14 +37,16 @@ ROUNDS = 9
 #: Weight of the class frequencies in a transition.
 MU = 8.0
 #: Text bytes of a block; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
 #: Word pairs that a task holds before it sends them on.
 PAIRS = 4_000_000
 #: Partitions of the frequent words' neighbours, a table of bounded size.
 PARTS = 16
 ONCE = 0x80
-_CONTEXTS = "word string, ctx array<int>, cnt array<bigint>"
-_LISTS = "w int, side int, others array<int>, counts array<bigint>"
+_CONTEXTS = "word string, block bigint, pos int, ctx binary"
+_ANSWERS = "block bigint, pos int, cnt bigint, class int"
+_WORDS = "word string, cnt bigint, class int"
+_LISTS = "w int, side int, others array<int>, counts array<int>"
 _PROFILE = "w int, right array<int>, right_n array<bigint>, left array<int>, left_n array<bigint>"
 
 
@@ -157,7 +159,7 @@ def _lists(w: np.ndarray, side: int, others: np.ndarray, counts: np.ndarray) ->
         own = cuts[at : at + 513]
         part, off = slice(own[0], own[-1]), pa.array((own - own[0]).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(w[own[:-1]].astype(np.int32)), pa.array(np.full(len(own) - 1, side, np.int32)), pa.ListArray.from_arrays(off, pa.array(others[part].astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(counts[part].astype(np.int64)))], names=["w", "side", "others", "counts"]
+            [pa.array(w[own[:-1]].astype(np.int32)), pa.array(np.full(len(own) - 1, side, np.int32)), pa.ListArray.from_arrays(off, pa.array(others[part].astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(counts[part].astype(np.int32)))], names=["w", "side", "others", "counts"]
         )
 
 
@@ -343,73 +345,102 @@ def exchange(profiles: DataFrame, m: int, classes: int, rounds: int = ROUNDS) ->
 # ---- the other words
 
 
+def _blobs(entries: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """A binary of `rows[i]` entries for each i."""
+    off = np.concatenate(([0], np.cumsum(rows))) * entries.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(entries.tobytes())])
+
+
 def _contexts(sent, of: np.ndarray, m: int):
-    """(word, contexts, counts) of each block's other words: context side * width + class of the neighbour, right is 0."""
+    """(word, block, pos, ctx) of each block's other words. ctx: for each class beside the word a byte, side * width + class (right is side 0), and a count of 16 bits."""
     end, rest, width = m, m + 1, int(of.max()) + 1
 
-    def run():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: i for i, w in enumerate(sent.value)}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block = Block.read(*(batch.column(c)[k] for c in (1, 2, 3)))
+                number = block.numbers(known, rest)
+                ids, n = block.learned()
+                seq, code = chained(number[ids], n, end), chained(ids, n, -1)[1:-1]
+                here = np.flatnonzero(seq[1:-1] == rest)
+                code, right, left = code[here].astype(np.int64), of[seq[here + 2]], of[seq[here]]
+                key, cnt = np.unique(np.concatenate((code * 2 * width + right, code * 2 * width + width + left)), return_counts=True)
+                times = -(-cnt // 0xFFFF)  # a higher count takes several entries
+                if times.max(initial=1) > 1:
+                    last = np.cumsum(times) - 1
+                    key, more = np.repeat(key, times), np.full(int(times.sum()), 0xFFFF)
+                    more[last] = cnt - (times - 1) * 0xFFFF
+                    cnt = more
+                entries = np.stack((key % (2 * width), cnt & 0xFF, cnt >> 8), 1).astype(np.uint8)
+                per = np.bincount(key // (2 * width), minlength=len(number))
+                asked = np.flatnonzero(number == rest)
+                words, far = pa.array(block.words, pa.string()), np.concatenate(([0], np.cumsum(per)))
+                for at in range(0, len(asked), 20_000):
+                    own = asked[at : at + 20_000]  # words between them have no entries
+                    yield pa.RecordBatch.from_arrays(
+                        [words.take(pa.array(own)), pa.array([batch.column(0)[k].as_py()] * len(own), pa.int64()), pa.array(own.astype(np.int32)), _blobs(entries[far[own[0]] : far[own[-1] + 1]], per[own])], names=["word", "block", "pos", "ctx"]
+                    )
 
-        def one(block: Block | None) -> Iterator[pa.RecordBatch]:
-            if block is None or not len(block.words):
-                return
-            number = block.numbers(known, rest)
-            ids, n = block.learned()
-            seq = chained(number[ids], n, end)
-            code = chained(ids, n, -1)[1:-1]
-            here = np.flatnonzero(seq[1:-1] == rest)
-            code, right, left = code[here].astype(np.int64), of[seq[here + 2]], of[seq[here]]
-            key, c = np.unique(np.concatenate((code * 2 * width + right, code * 2 * width + width + left)), return_counts=True)
-            if not len(key):
-                return
-            word = key // (2 * width)
-            cuts = np.append(np.flatnonzero(heads(word)), len(word))
-            names = pa.array(block.words, pa.string()).take(pa.array(word[cuts[:-1]]))
-            for at in range(0, len(names), 10_000):
-                off = cuts[at : at + 10_001]
-                part, ends = slice(off[0], off[-1]), pa.array((off - off[0]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([names.slice(at, 10_000), pa.ListArray.from_arrays(ends, pa.array((key[part] % (2 * width)).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(c[part]))], names=["word", "ctx", "cnt"])
-
-        return one
-
-    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _each(run())(batches)
+    return run
 
-    return call
 
+def _placed(matrix: np.ndarray, classes: int, words: bool):
+    """Rows of a word come together -> (block, pos, cnt, class) for each block that has it; with `words` (word, cnt, class) once.
 
-def _placed(matrix: np.ndarray, classes: int):
-    """(word, cnt, class): rows of a word come together. The class is the one that raises the likelihood most for each neighbour, as its first derivative says."""
+    The class is the one that raises the likelihood most for each neighbour, as its first
+    derivative says. A word that isn't learned from gives nothing. What is held of one
+    word are 12 bytes a block.
+    """
     width = classes + 2
     share = lambda c: np.log((c + 0.5) / (c.sum(1, keepdims=True) + 0.5 * width))
     weight = np.concatenate((share(matrix[:classes].astype(float)).T, share(matrix.T[:classes].astype(float)).T))  # context by class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, held = None, np.zeros((1, 2 * width))  # of the last word so far
+        word, dense, askers = None, np.zeros((1, 2 * width)), []  # of the last word so far
 
-        def out(words: pa.Array, dense: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([words, pa.array(dense[:, :width].sum(1).astype(np.int64)), pa.array(np.argmax(dense @ weight, 1).astype(np.int32))], names=["word", "cnt", "class"])
+        def out(names: pa.Array, dense: np.ndarray, run_of: np.ndarray, block: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cnt, best = dense[:, :width].sum(1).astype(np.int64), np.argmax(dense @ weight, 1).astype(np.int32)
+            if words:
+                yield pa.RecordBatch.from_arrays([names, pa.array(cnt), pa.array(best)], names=["word", "cnt", "class"]).filter(pa.array(cnt > 0))
+                return
+            some = np.flatnonzero(cnt[run_of] > 0)
+            for at in range(0, len(some), 100_000):
+                own = some[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(block[own]), pa.array(pos[own]), pa.array(cnt[run_of[own]]), pa.array(best[run_of[own]])], names=["block", "pos", "cnt", "class"])
+
+        def last() -> Iterator[pa.RecordBatch]:
+            block, pos = np.concatenate([a[0] for a in askers]), np.concatenate([a[1] for a in askers])
+            yield from out(pa.array([word], pa.string()), dense, np.zeros(len(block), np.int64), block, pos)
 
         for batch in batches:
-            words, off = batch.column(0), np.asarray(batch.column(1).offsets)
-            if not len(words):
+            names, block, pos = batch.column(0), np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            if not len(names):
                 continue
-            new = np.append(True, np.asarray(pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False), bool))
+            new = np.append(True, np.asarray(pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False), bool))
             run_of = np.cumsum(new) - 1
-            ctx, cnt = np.asarray(batch.column(1).values)[off[0] : off[-1]], np.asarray(batch.column(2).values)[off[0] : off[-1]]
-            flat = np.repeat(run_of, np.diff(off)) * (2 * width) + ctx
-            dense = np.bincount(flat, cnt, (run_of[-1] + 1) * 2 * width).reshape(-1, 2 * width)
-            names = words.filter(pa.array(new))
-            if word is not None:
-                if names[0].as_py() == word:
-                    dense[0] += held[0]
-                else:
-                    yield out(pa.array([word], pa.string()), held)
-            word, held = names[-1].as_py(), dense[-1:].copy()
-            if len(names) > 1:
-                yield out(names.slice(0, len(names) - 1), dense[:-1])
+            data, size = _sequences(batch, 3)
+            entries = data.reshape(-1, 3).astype(np.int64)
+            flat = np.repeat(run_of, size // 3) * (2 * width) + entries[:, 0]
+            found = np.bincount(flat, entries[:, 1] + (entries[:, 2] << 8), (run_of[-1] + 1) * 2 * width).reshape(-1, 2 * width)
+            firsts = names.filter(pa.array(new))
+            first = int(np.searchsorted(run_of, 1))  # rows of the first run
+            if word is not None and firsts[0].as_py() == word:
+                dense += found[:1]
+                askers.append((block[:first].copy(), pos[:first].copy()))
+            else:
+                if word is not None:
+                    yield from last()
+                word, dense, askers = firsts[0].as_py(), found[:1].copy(), [(block[:first].copy(), pos[:first].copy())]
+            if len(firsts) == 1:
+                continue
+            yield from last()
+            end = int(np.searchsorted(run_of, len(firsts) - 1))  # where the last run begins
+            if end > first:
+                yield from out(firsts.slice(1, len(firsts) - 2), found[1:-1], run_of[first:end] - 1, block[first:end], pos[first:end])
+            word, dense, askers = firsts[-1].as_py(), found[-1:].copy(), [(block[end:].copy(), pos[end:].copy())]
         if word is not None:
-            yield out(pa.array([word], pa.string()), held)
+            yield from last()
 
     return run
 
@@ -419,16 +450,24 @@ def _placed(matrix: np.ndarray, classes: int):
 
 @dataclass
 class Model:
-    """frequent: words by falling count, with counts and classes; others: a table (word, cnt, class); class_counts end with the end mark's."""
+    """frequent: words by falling count, with counts and classes; matrix: class bigrams before the other words are placed; n, docs, distinct: training tokens, texts, words."""
 
     classes: int
     frequent: list[str]
     counts: np.ndarray
     of: np.ndarray
-    others: DataFrame
+    matrix: np.ndarray
     n: int
+    docs: int
     distinct: int
-    class_counts: np.ndarray
+
+
+def _held(df: DataFrame, learns: Column, id_col: str, text_col: str) -> DataFrame:
+    """The texts as blocks, written once."""
+    rows = df.select(named(id_col).alias("id"), named(text_col).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
+    kind = rows.schema["id"].dataType
+    schema = StructType([StructField("block", LongType()), StructField("ids", ArrayType(kind)), StructField("n", ArrayType(LongType())), StructField("learns", ArrayType(BooleanType())), StructField("words", LongType()), StructField("docs", LongType()), StructField("blob", BinaryType())])
+    return cut(in_arrow(rows, _write_blocks(schema.names), schema))
 
 
 def fit(held: DataFrame, classes: int = CLASSES, share: float = SHARE, rounds: int = ROUNDS) -> Model:
@@ -436,46 +475,39 @@ def fit(held: DataFrame, classes: int = CLASSES, share: float = SHARE, rounds: i
     rows = held.select("n", "learns", "blob")
     total = held.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
     n = int(total[0] + total[1])
-    often = in_arrow(rows, _each(_counts), "word string, cnt bigint").groupBy("word").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= share * n)
-    frequent = sorted(((r.word, r.cnt) for r in often.collect()), key=lambda r: (-r[1], r[0]))
+    counted = in_arrow(rows, _each(_counts), "word string, cnt bigint").groupBy("word").agg(F.sum("cnt").alias("cnt"))
+    often = counted.agg(F.count(F.lit(1)).alias("words"), F.collect_list(F.when(F.col("cnt") >= share * n, F.struct("word", "cnt"))).alias("often")).first()  # at most 1 / share words
+    frequent = sorted(((r.word, r.cnt) for r in often.often), key=lambda r: (-r[1], r[0]))
     m = len(frequent)
     sent = spark.sparkContext.broadcast([w for w, _ in frequent])
     near = in_arrow(rows, _pairs(sent, m), _LISTS).repartition(partitions(spark), "w").sortWithinPartitions("w")
     profiles = cut(in_arrow(near, _profiles(m), _PROFILE)).coalesce(PARTS)
     of, matrix = exchange(profiles, m, classes, rounds)
-    met = in_arrow(rows, _contexts(sent, of, m), _CONTEXTS).repartition(partitions(spark), "word").sortWithinPartitions("word")
-    others = cut(in_arrow(met, _placed(matrix, classes), "word string, cnt bigint, class int"))
-    counts = np.array([c for _, c in frequent], np.int64)
-    of_class = np.bincount(of[:m], counts, classes + 1).astype(np.int64)
-    distinct = m + (total[1] > 0)
-    for r in others.groupBy("class").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("words")).collect():
-        of_class[r["class"]] += r.cnt
-        distinct += r.words
-    of_class[classes] = total[1]
-    return Model(classes, sent.value, counts, of[:m], others, n, int(distinct), of_class)
+    return Model(classes, sent.value, np.array([c for _, c in frequent], np.int64), of, matrix, n, int(total[1]), int(often.words + (total[1] > 0)))
 
 
-# ---- scoring
+def _place(held: DataFrame, model: Model, words: bool) -> DataFrame:
+    spark, m = held.sparkSession, len(model.frequent)
+    sent = spark.sparkContext.broadcast(model.frequent)
+    asked = in_arrow(held.select("block", "n", "learns", "blob"), _contexts(sent, model.of, m), _CONTEXTS)
+    met = asked.repartition(partitions(spark), "word").sortWithinPartitions("word")
+    return in_arrow(met, _placed(model.matrix, model.classes, words), _WORDS if words else _ANSWERS)
 
 
-def _asked(sent):
-    """(block, pos, word) of each block's words that are not frequent."""
+def cluster_words(df: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """(word, cnt, class) of every word that is learned from; the end mark is no word. See score_texts()."""
+    held = _held(df, learns, id_col, text_col)
+    model = fit(held, classes, share, rounds)
+    frequent = df.sparkSession.createDataFrame([(w, int(c), int(k)) for w, c, k in zip(model.frequent, model.counts, model.of, strict=False)], _WORDS)
+    return frequent.unionByName(_place(held, model, True))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(sent.value)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words = Block.read(*(batch.column(k)[i] for k in (1, 2, 3))).words
-                at = np.flatnonzero(np.fromiter((w not in known for w in words), bool, len(words)))
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(words, pa.string()).take(pa.array(at))], names=["block", "pos", "word"])
 
-    return run
+# ---- scoring
 
 
-def _classified(sent, counts: np.ndarray, of: np.ndarray, model: tuple[int, int, int, np.ndarray], names: list[str]):
-    """The texts of a block as classes, with base score and emissions: (the block's row, its words that were found) -> its texts."""
-    classes, n_train, distinct, of_class = model
-    unknown, held = classes + 1, []
+def _classified(sent, model: Model, names: list[str]):
+    """The texts of a block as classes, with the sums of log10 of counts + 1 and of counts over their words: (the block's row, its words that were found) -> its texts."""
+    counts, of, unknown, held = model.counts, model.of[: len(model.counts)], model.classes + 1, []
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
         if not held:
@@ -488,18 +520,11 @@ def _classified(sent, counts: np.ndarray, of: np.ndarray, model: tuple[int, int,
         c[pos], cls[pos] = found.column("cnt").to_numpy(), found.column("class").to_numpy()
         doc = np.repeat(np.arange(len(own.n)), own.n)
         each = lambda v: np.bincount(doc, v[own.codes], len(own.n)) if len(own.codes) else np.zeros(len(own.n))
-        ends, smooth = of_class[classes], n_train + distinct + 1
-        base = np.log10((c + 1) / smooth)
-        emitted = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(np.append(of_class, 1)[cls], 1)), 0.0)
         byte = (cls | np.where(c == 1, ONCE, 0)).astype(np.uint8)
         seq = byte[own.codes] if len(own.codes) else np.zeros(0, np.uint8)
-        off = np.concatenate(([0], np.cumsum(own.n))).astype(np.int32)
         return pa.Table.from_arrays(
-            [
-                row.column("ids")[0].values, pa.array(own.learns), pa.array(own.n + 1), pa.array(each((c > 0).astype(float)).astype(np.int64) + (ends > 0)), pa.array(each(base) + np.log10((ends + 1) / smooth)), pa.array(each(emitted)),
-                pa.Array.from_buffers(pa.binary(), len(own.n), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(seq.tobytes())]),
-            ], names=names
-        )
+            [row.column("ids")[0].values, pa.array(own.learns), pa.array(own.n + 1), pa.array(each((c > 0).astype(float)).astype(np.int64)), pa.array(each(np.log10(c + 1))), pa.array(each(np.log10(np.maximum(c, 1)))), _blobs(seq[:, None], own.n)], names=names
+        )
 
     return run
 
@@ -532,7 +557,7 @@ def _transitions(classes: int):
 
 
 def log_transitions(cnt: np.ndarray, once: np.ndarray, of_class: np.ndarray, mu: float = MU) -> np.ndarray:
-    """log10 of (1 - e) * P(class | class before), and in the last column of e, the unknown word's share."""
+    """log10 of (1 - e) * P(class | class before), and in the last column of e, the unknown word's share. of_class: training tokens of each class."""
     known = np.append(of_class, 0).astype(float)
     n, full = known.sum(), known > 0
     prior = np.where(full, (known + 1) / max(n + full.sum(), 1.0), 0.0)
@@ -545,14 +570,19 @@ def log_transitions(cnt: np.ndarray, once: np.ndarray, of_class: np.ndarray, mu:
         return np.log10(p)
 
 
-def _scored(logs: np.ndarray, classes: int, names: list[str]):
+def _scored(logs: np.ndarray, of_class: np.ndarray, model: Model, names: list[str]):
+    classes, ends = model.classes, model.docs
+    size = np.log10(np.maximum(np.append(of_class[:classes], [1, 1]), 1))  # the end mark and the unknown word are alone in their class
+    smooth = np.log10(model.n + model.distinct + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, n = _sequences(batch, 6)
-            seq = chained(data, n, classes if np.isfinite(logs[classes, classes]) else classes + 1) & (ONCE - 1)
+            seq = chained(data, n, classes if ends else classes + 1) & (ONCE - 1)
             doc = np.repeat(np.arange(len(n)), n + 1)
-            score = np.bincount(doc, logs[seq[:-1], seq[1:]], len(n)) + np.asarray(batch.column(5))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(score)], names=names)
+            base = np.asarray(batch.column(4)) + np.log10(ends + 1) - (n + 1) * smooth
+            score = np.bincount(doc, logs[seq[:-1], seq[1:]] - size[seq[1:]], len(n)) + np.asarray(batch.column(5))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pc.add(batch.column(3), int(ends > 0)), pa.array(base), pa.array(score)], names=names)
 
     return run
 
@@ -572,27 +602,21 @@ def score_texts(df: DataFrame, learns: Column, id_col: str = "doc_id", text_col:
     """
     if not 1 <= classes <= 120:
         raise ValueError("classes must be 1 to 120")
-    spark = df.sparkSession
-    rows = df.select(named(id_col).alias("id"), named(text_col).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
-    kind = rows.schema["id"].dataType
-    schema = StructType([StructField("block", LongType()), StructField("ids", ArrayType(kind)), StructField("n", ArrayType(LongType())), StructField("learns", ArrayType(BooleanType())), StructField("words", LongType()), StructField("docs", LongType()), StructField("blob", BinaryType())])
-    held = cut(in_arrow(rows, _write_blocks(schema.names), schema))
+    held = _held(df, learns, id_col, text_col)
     model = fit(held, classes, share, rounds)
-    sent = spark.sparkContext.broadcast(model.frequent)
-    asked = in_arrow(held.select("block", "n", "learns", "blob"), _asked(sent), StructType([StructField("block", LongType()), StructField("pos", IntegerType()), StructField("word", StringType())]))
-    found = asked.join(model.others.hint("merge"), "word").select("block", "pos", "cnt", "class")
-    fields = [StructField("id", kind), StructField("learns", BooleanType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base_score", DoubleType()), StructField("emitted", DoubleType()), StructField("seq", BinaryType())]
-    spec = (classes, model.n, model.distinct, model.class_counts)
-    met = held.select("block", "ids", "n", "learns", "blob").groupBy("block").cogroup(found.groupBy("block"))  # a group is one block
-    texts = cut(met.applyInArrow(_classified(sent, model.counts, model.of, spec, [f.name for f in fields]), StructType(fields)))
+    sent = df.sparkSession.sparkContext.broadcast(model.frequent)
+    kind = held.schema["ids"].dataType.elementType
+    fields = [StructField("id", kind), StructField("learns", BooleanType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("more", DoubleType()), StructField("counts", DoubleType()), StructField("seq", BinaryType())]
+    met = held.select("block", "ids", "n", "learns", "blob").groupBy("block").cogroup(_place(held, model, False).groupBy("block"))  # a group is one block
+    texts = cut(met.applyInArrow(_classified(sent, model, [f.name for f in fields]), StructType(fields)))
     width = classes + 2
     cnt, once = np.zeros((width, width)), np.zeros((width, width))
     pairs = in_arrow(texts.where("learns").select("seq"), _transitions(classes), "a bigint, b bigint, cnt bigint, once bigint").groupBy("a", "b").agg(F.sum("cnt").alias("cnt"), F.sum("once").alias("once"))
     for r in pairs.collect():
         cnt[r.a, r.b], once[r.a, r.b] = r.cnt, r.once
-    logs = log_transitions(cnt, once, model.class_counts)
-    out = StructType([*fields[:5], StructField("score", DoubleType())])
-    scored = in_arrow(texts, _scored(logs, classes, out.names), out)
+    of_class = cnt[:-1].sum(0)[:-1]
+    out = StructType([*fields[:4], StructField("base_score", DoubleType()), StructField("score", DoubleType())])
+    scored = in_arrow(texts, _scored(log_transitions(cnt, once, of_class), of_class, model, out.names), out)
     score = F.col("score")
     return scored.select(
         F.col("id").alias(id_col), (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", score, F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity")

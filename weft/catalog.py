@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import hashing, html_text, porter, text, urls
-from weft.operators import crawl, index, kv, mapreduce, search, stats
+from weft.operators import crawl, index, kv, mapreduce, pieces, search, served, stats, stored
 from weft.plans.session import shared_folder
 from weft.sources import index_text
 from weft.streaming import index_stream
@@ -22,24 +22,18 @@ ORACLE: dict[str, str] = {}
 
 #: Search texts of the queries: terms, phrases and letters that the corpus has.
 SINGLE, PHRASE, MULTI, PART, PATTERN = "thing", "oned there", "thing oned erer ande", "tion", "(?:ing){2}|[aeiou]{5}"
+#: The end of a word and the beginning of the next.
+ACROSS = "edble ane"
 #: Five nodes; the smaller group lacks the last.
 NIDS = [hashing.node_id("127.0.0.1", 10000 + i) for i in range(5)]
 
 
-#: Bytes of a table that may be shuffled only to use all cores.
-SMALL = 256 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts. A small table of fewer splits than cores, one file perhaps, is dealt out first; one beyond SMALL is read as it lies."""
-    df = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
-    return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def query(sql: str | None = None):
@@ -115,6 +109,17 @@ def inverted_index(spark, d):
     return index.ranked_postings(documents_index(spark, d))
 
 
+#: The order in which documents came in, other than that of their ids.
+_CAME = "doc_id % 7 * 1000000000 + doc_id"
+
+
+@query(_INDEX + f"SELECT *, CAST(row_number() OVER (PARTITION BY term ORDER BY cnt DESC, {_CAME}) AS INT) AS rnk FROM idx")
+def inverted_index_stable(spark, d):
+    """Postings of equal count keep the order in which their documents came in."""
+    rows = documents_index(spark, d).withColumn("came", F.expr(_CAME))
+    return index.ranked_postings(rows, order=["came"]).drop("came")
+
+
 @query(_INDEX + "SELECT * FROM idx")
 def index_merge(spark, d):
     docs = documents(spark, d)
@@ -132,6 +137,39 @@ def index_text_read(spark, d):
     return index_text.parse_global(lines.select(F.col("line").alias("value")))
 
 
+_CHUNK = 50
+
+
+@query(
+    _INDEX
+    + f"""SELECT term, CAST((rnk - 1) // {_CHUNK} AS INT) AS part, term || ' | ' || string_agg(doc_id || ' ' || cnt, ' ' ORDER BY rnk) AS line
+FROM (SELECT term, cnt, CAST(doc_id AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY term ORDER BY cnt DESC, CAST(doc_id AS VARCHAR)) AS rnk FROM idx) GROUP BY 1, 2"""
+)
+def index_text_chunks(spark, d):
+    return index_text.line_chunks(documents_index(spark, d), "doc_id", _CHUNK)
+
+
+@query(_INDEX + "SELECT term, doc_id, cnt FROM idx")
+def index_text_chunks_read(spark, d):
+    """The written text of the index, lists over several lines, read back."""
+    path = f"{_scratch(spark)}/text"
+    index_text.write_global(documents_index(spark, d), path, "doc_id", _CHUNK)
+    return index_text.read_global(spark, path).select("term", F.col("url").cast("bigint").alias("doc_id"), "cnt")
+
+
+@query(_INDEX + "SELECT term || ' | ' || cnt || ' | ' || doc_id AS line FROM idx")
+def local_index_lines(spark, d):
+    """The line-oriented index: term, count and document of each."""
+    return index_text.local_lines(documents_index(spark, d), "doc_id")
+
+
+@query(_INDEX + "SELECT doc_id, replace(term, ' ', chr(9)) AS ngram, cnt FROM idx")
+def ngrams_tab(spark, d):
+    """Bags of 1- to 3-grams whose words are joined by tabs."""
+    bag = text.ngram_bag(text.terms(F.col("text")), sep="\t")
+    return documents(spark, d).repartition("doc_id").select("doc_id", F.explode(bag).alias("ngram")).groupBy("doc_id", "ngram").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 _MOD = "list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(range(0, 8), lambda i: CAST('0x' || substr({h}, i * 8 + 1, 8) AS HUGEINT))), lambda a, x: (a * 4294967296 + x) % {n})"
 _SORTED = "[" + ", ".join(f"'{n}'" for n in sorted(NIDS)) + "]"
 
@@ -160,6 +198,19 @@ def crawl_stats(spark, d):
     return index.index_stats(table(spark, d, "documents"), documents_index(spark, d))
 
 
+@query(
+    _INDEX
+    + """, top AS (SELECT doc_id, term, cnt, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, term) AS r FROM idx),
+sums AS (SELECT doc_id, count(*) AS unique_terms, string_agg(term || ':' || cnt, ',' ORDER BY r) FILTER (r <= 5) AS top_terms FROM top GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS text_chars, CAST(coalesce(unique_terms, 0) AS BIGINT) AS unique_terms, coalesce(top_terms, '') AS top_terms
+FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 3) d LEFT JOIN sums USING (doc_id)"""
+)
+def crawl_sample_docs(spark, d):
+    """The first three documents with their characters, unique terms and most frequent terms."""
+    own = index.sample_docs(documents(spark, d), 3)
+    return own.withColumn("top_terms", F.array_join(F.transform("top_terms", lambda t: F.concat_ws(":", t["term"], t["cnt"].cast("string"))), ","))
+
+
 # ---- search
 
 
@@ -217,6 +268,42 @@ def search_written(spark, d):
     return search.rank(index.read_index(spark, _written(spark, d), search.search_terms(MULTI)), 20)
 
 
+def _served(spark, d) -> served.Served:
+    path = f"{_scratch(spark)}/served"
+    served.write_served(documents(spark, d), path, shards=16)
+    return served.open_served(spark, path)
+
+
+@query(_search_sql(MULTI, 20))
+def search_served(spark, d):
+    """A search of posting blocks: those that can't reach the twentieth score are not read."""
+    return served.find(_served(spark, d), MULTI, limit=20).rows
+
+
+@query(_search_sql(SINGLE, 10))
+def search_served_single(spark, d):
+    return served.find(_served(spark, d), SINGLE, limit=10).rows
+
+
+@query(_INDEX + "SELECT * FROM idx")
+def served_index_read(spark, d):
+    return served.read_served(_served(spark, d))
+
+
+@query(_INDEX + "SELECT * FROM idx")
+def cached_index_corpus(spark, d):
+    """An index of fewer documents under the same configuration is found stale and built anew; then it is found."""
+    path, docs = f"{_scratch(spark)}/cache", documents(spark, d)
+    fewer = docs.where("doc_id % 2 = 0")
+    index.cached_index(spark, path, {}, lambda: index.build_index(fewer), corpus=fewer)
+    index.cached_index(spark, path, {}, lambda: index.build_index(docs), corpus=docs)
+
+    def never():
+        raise AssertionError("the index was there")
+
+    return index.cached_index(spark, path, {}, never, corpus=docs.repartition(3))
+
+
 @query(_INDEX + "SELECT * FROM idx")
 def cached_index(spark, d):
     """Built and written once, then found again under the same configuration."""
@@ -234,6 +321,24 @@ def substring_search(spark, d):
     return search.substring_search(documents_index(spark, d), PART)
 
 
+def _with_pieces(spark, d) -> str:
+    path = f"{_scratch(spark)}/pieces"
+    pieces.write_substring_index(documents_index(spark, d), path)
+    return path
+
+
+@query(_INDEX + f"SELECT * FROM idx WHERE contains(term, '{PART}')")
+def substring_search_index(spark, d):
+    """The substring search over an index of the words' pieces."""
+    return pieces.substring_search(spark, _with_pieces(spark, d), PART)
+
+
+@query(_INDEX + f"SELECT * FROM idx WHERE contains(term, '{ACROSS}')")
+def substring_search_across(spark, d):
+    """A substring that begins in one word and ends in the next."""
+    return pieces.substring_search(spark, _with_pieces(spark, d), ACROSS)
+
+
 # ---- links and traversal
 
 _HREFS = "regexp_extract_all(coalesce(html, ''), '" + urls.HREF.replace("'", "''") + "', 1)"
@@ -462,9 +567,53 @@ def kv_keys(spark, d):
     return kv.keys(kv.last_writes(_writes(spark, d)), "click")
 
 
+def _stored(spark, nids: list[str], schema: str) -> stored.Table:
+    return stored.Table.create(spark, f"{_scratch(spark)}/table", schema, nids, buckets=4)
+
+
+@query(_LAST)
+def store_put(spark, d):
+    """Two batches of writes put into a stored table, opened again and read."""
+    held, own = _stored(spark, NIDS, "value double, seq bigint"), _writes(spark, d)
+    half = own.agg(F.max("seq")).first()[0] or 0
+    held.put(own.where(F.col("seq") <= half // 2))
+    held.put(own.where(F.col("seq") > half // 2))
+    return stored.Table.open(spark, held.path).rows()
+
+
+@query(f"SELECT * FROM ({_LAST}) WHERE NOT (gid = 'error' AND CAST(key AS BIGINT) % 3 = 0) AND gid <> 'view'")
+def store_delete(spark, d):
+    """A whole group goes, and some keys of another."""
+    held = _stored(spark, NIDS, "value double, seq bigint")
+    held.put(_writes(spark, d))
+    held.delete(held.rows().where("gid = 'view' OR (gid = 'error' AND CAST(key AS BIGINT) % 3 = 0)"))
+    return held.rows()
+
+
+@query("SELECT event_type AS gid, CAST(user_id AS VARCHAR) AS key, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id % 3, event_id) AS ids FROM events GROUP BY ALL")
+def store_append(spark, d):
+    """Three batches appended one after another."""
+    held, own = _stored(spark, NIDS, "values array<string>"), _writes(spark, d)
+    for k in (0, 1, 2):
+        held.append(own.where(F.col("seq") % 3 == k).withColumn("values", F.array(F.col("seq").cast("string"))))
+    return held.rows().select("gid", "key", F.array_join("values", ",").alias("ids"))
+
+
 _KID = _id_sql("CAST(c_custkey AS VARCHAR)")
 
 
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS key, c_acctbal AS value, {_naive_sql(_KID)} AS nid FROM customer")
+def store_reconf(spark, d):
+    """Customers stored over four nodes, then over five: each lies on its new node."""
+    held = _stored(spark, NIDS[:4], "value double")
+    own = table(spark, d, "customer").select(F.lit("c").alias("gid"), F.col("c_custkey").cast("string").alias("key"), F.col("c_acctbal").alias("value"))
+    held.put(own.withColumn("seq", F.lit(1)))
+    new, _ = held.reconf(NIDS)
+    return new.placed_rows().select("key", "value", "nid")
+
+
+
+
 @query(f"SELECT CAST(c_custkey AS VARCHAR) AS k, {_naive_sql(_KID)} AS nid FROM customer")
 def hash_naive(spark, d):
     k = F.col("c_custkey").cast("string")

@@ -8,18 +8,26 @@ from collections.abc import Sequence
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weft.functions.hashing import HASHERS, content_id, content_id_of
 from weft.functions.text import STOP_WORDS, ngram_bag, terms
 
 
 def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_words: Sequence[str] = STOP_WORDS, only: Sequence[str] | None = None) -> DataFrame:
-    """(term, doc, cnt) of all n-grams; with `only`, of those terms: no other sizes are formed and no other terms shuffled."""
-    sizes = (1, 2, 3) if only is None else sorted({n for n in (len(t.split(" ")) for t in only) if n <= 3})
-    found = ngram_bag(terms(F.col(text), stop_words), sizes) if sizes else F.array().cast("array<string>")
-    if only is not None:
-        found = F.filter(found, lambda t: t.isin(*only))
-    return docs.select(doc, F.explode(found).alias("term")).groupBy("term", doc).agg(F.count(F.lit(1)).alias("cnt"))
+    """(term, doc, cnt) of all n-grams; with `only`, of those terms: no other sizes are formed and no other terms shuffled.
+
+    Texts are shuffled by document before they are taken apart, so their n-grams, many
+    times as large, need no shuffle: they are counted where they are formed. Rows that
+    share an id are one document.
+    """
+    if only is None:
+        found = docs.select(doc, text).repartition(doc).select(doc, F.explode(ngram_bag(terms(F.col(text), stop_words))).alias("term"))
+        return found.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("cnt")).select("term", doc, "cnt")
+    sizes = sorted({n for n in (len(t.split(" ")) for t in only) if n <= 3})
+    bag = ngram_bag(terms(F.col(text), stop_words), sizes) if sizes else F.array().cast("array<string>")
+    found = docs.select(doc, F.explode(F.filter(bag, lambda t: t.isin(*only))).alias("term"))
+    return found.groupBy("term", doc).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def merge_index(*parts: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -30,10 +38,45 @@ def merge_index(*parts: DataFrame, doc: str = "doc_id") -> DataFrame:
     return out.groupBy("term", doc).agg(F.sum("cnt").alias("cnt"))
 
 
-def ranked_postings(index: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """index with rnk: the place in the term's posting list, by count downwards, then document."""
-    order = Window.partitionBy("term").orderBy(F.col("cnt").desc(), F.col(doc))
-    return index.withColumn("rnk", F.row_number().over(order))
+#: Slices of the documents in which a term's postings are ranked, and the documents that are looked at to cut them.
+SLICES, SEEN = 64, 4096
+
+
+def _slice_of(doc: Column, bounds: list) -> Column:
+    """How many of the ascending bounds are not above doc: a search by halves, in one expression. A null stands first."""
+    if not bounds:
+        return F.lit(0)
+
+    def place(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(doc < F.lit(bounds[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    return F.when(doc.isNull(), F.lit(0)).otherwise(place(0, len(bounds)))
+
+
+def ranked_postings(index: DataFrame, doc: str = "doc_id", order: Sequence[str] | None = None, slices: int = SLICES) -> DataFrame:
+    """index with rnk: the place in the term's posting list, by count downwards, then by `order` (the document, if not given).
+
+    In two levels, so that no task ranks a whole list: rows are ranked among those with
+    the same term, count and slice of the first order column, and the sizes of these groups give what stands
+    before each. Rows move once; only group sizes move again. Slices are cut at
+    quantiles of at most SEEN rows; how even they are bears on speed alone.
+    """
+    order = list(order or [doc])
+    kind = index.schema[order[0]].dataType.simpleString()
+    bounds: list = []
+    if slices > 1 and kind in ("tinyint", "smallint", "int", "bigint", "string", "date", "timestamp"):
+        seen = sorted(r[0] for r in index.select(order[0]).where(F.col(order[0]).isNotNull()).limit(SEEN).collect())
+        bounds = sorted({seen[len(seen) * i // slices] for i in range(1, slices)}) if seen else []
+    dealt = index.withColumn("_s", _slice_of(F.col(order[0]), bounds)).repartition("term", "cnt", "_s")
+    group = ["term", "cnt", "_s"]
+    ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    sizes = dealt.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("term").orderBy(F.col("cnt").desc(), "_s").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    return ranked.join(ahead, group).select(*index.columns, (F.col("_r") + F.col("_b")).cast("int").alias("rnk"))
 
 
 def posting_lists(index: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -57,13 +100,17 @@ def shard_of_literal(term: str, shards: int) -> int:
     return (h - (1 << 64) if h >> 63 else h) % shards
 
 
-def write_index(index: DataFrame, path: str, shards: int = 64, config: dict | None = None) -> None:
-    """A directory for each shard, terms in order inside, so that a search opens few row groups; a manifest beside it."""
+def write_index(index: DataFrame, path: str, shards: int = 64, config: dict | None = None, files: int = 1) -> None:
+    """A directory for each shard, terms in order inside, so that a search opens few row groups; a manifest beside it.
+
+    A shard is written by `files` tasks, each with its share of the shard's terms. They
+    are dealt by a hash, as ranges would have to be found by computing the index twice.
+    """
     spark = index.sparkSession
-    rows = index.withColumn("shard", shard_number(F.col("term"), shards))
-    # by the term as well: a shard is written by many tasks, each with a range of it
-    rows.repartitionByRange("shard", "term").sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
-    manifest = {"shards": shards, "config": content_id_of(config or {})}
+    part = F.pmod(F.xxhash64(F.lit(1), "term"), F.lit(files))
+    rows = index.withColumn("shard", shard_number(F.col("term"), shards)).repartition(F.col("shard"), part)
+    rows.sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+    manifest = {"shards": shards, "config": content_id_of(config or {}), "schema": rows.schema.jsonValue()}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
@@ -73,15 +120,24 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
 
 def read_index(spark: SparkSession, path: str, terms_: Sequence[str] | None = None) -> DataFrame:
     """The index, or its rows for some terms: only their shards are listed and the terms are pushed to the scan."""
-    rows = spark.read.parquet(f"{path}/postings")
+    held = read_manifest(spark, path)
+    rows = spark.read.schema(StructType.fromJson(held["schema"])).parquet(f"{path}/postings")
     if terms_ is None:
         return rows.drop("shard")
-    shards = read_manifest(spark, path)["shards"]
-    return rows.where(F.col("shard").isin(sorted({shard_of_literal(t, shards) for t in terms_})) & F.col("term").isin(list(terms_))).drop("shard")
+    return rows.where(F.col("shard").isin(sorted({shard_of_literal(t, held["shards"]) for t in terms_})) & F.col("term").isin(list(terms_))).drop("shard")
+
 
+def corpus_fingerprint(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> str:
+    """Of all (id, text) pairs, whatever their order and partitions: their number and two sums of independent 64-bit hashes. One pass, no shuffle of rows."""
+    both = [F.xxhash64(F.lit(seed), doc, F.length(text), text).cast("decimal(38,0)") for seed in (1, 2)]
+    n, a, b = docs.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(h), F.lit(0)) for h in both]).first()
+    return f"{n}-{int(a)}-{int(b)}"
 
-def cached_index(spark: SparkSession, path: str, config: dict, build) -> DataFrame:
-    """The index at path if it was built under the same configuration, else build() written there."""
+
+def cached_index(spark: SparkSession, path: str, config: dict, build, corpus: DataFrame | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index at path if it was built under the same configuration and, where the corpus is given, of the same documents; else build() written there."""
+    if corpus is not None:
+        config = {**config, "corpus_fingerprint": corpus_fingerprint(corpus, doc, text)}
     try:
         fits = read_manifest(spark, path)["config"] == content_id_of(config)
     except Exception as e:  # noqa: BLE001  an absent path is reported in several ways
@@ -99,6 +155,16 @@ def top_terms(index: DataFrame, k: int = 5, doc: str = "doc_id") -> DataFrame:
     return index.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
 
 
+def sample_docs(docs: DataFrame, samples: int = 3, doc: str = "doc_id", text: str = "text", k: int = 5, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """(doc, text_chars, unique_terms, top_terms): the first documents by id, and the k most frequent n-grams of each as (term, cnt), ties by term. Only their texts are taken apart."""
+    some = docs.select(doc, text).orderBy(doc).limit(samples)
+    counts = some.select(doc, F.explode(ngram_bag(terms(F.col(text), stop_words))).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("cnt"))
+    listed = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("neg"), "term"))), 1, k)
+    sums = counts.groupBy(doc).agg(F.count(F.lit(1)).alias("unique_terms"), F.transform(listed, lambda t: F.struct(t["term"].alias("term"), (-t["neg"]).alias("cnt"))).alias("top_terms"))
+    none = F.array().cast("array<struct<term:string,cnt:bigint>>")
+    return some.select(doc, F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("text_chars")).join(sums, doc, "left").select(doc, "text_chars", F.coalesce("unique_terms", F.lit(0)).cast("bigint").alias("unique_terms"), F.coalesce("top_terms", none).alias("top_terms"))
+
+
 def index_stats(docs: DataFrame, index: DataFrame, doc: str = "doc_id") -> DataFrame:
     """One row: docs, docs_with_terms, terms."""
     return docs.agg(F.count(F.lit(1)).alias("docs")).crossJoin(index.agg(F.count_distinct(doc).alias("docs_with_terms"), F.count_distinct("term").alias("terms")))

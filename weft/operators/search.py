@@ -36,12 +36,17 @@ def checked_limit(limit) -> int:
     return limit
 
 
-def rank(postings: DataFrame, limit, doc: str = "doc_id", collation: str | None = None) -> DataFrame:
-    """(rnk, doc, score): counts summed by document, best first, ties by document. A null document is skipped, a null count is 0."""
-    k = checked_limit(limit)
+def top_scores(postings: DataFrame, k: int, doc: str = "doc_id", collation: str | None = None) -> DataFrame:
+    """(doc, score) of the k best documents, best first: counts summed by document, ties by document. A null document is skipped, a null count is 0."""
     by = F.collate(F.col(doc), collation) if collation else F.col(doc)
     scored = postings.where(F.col(doc).isNotNull()).groupBy(doc).agg(F.sum(F.coalesce("cnt", F.lit(0))).alias("score"))
-    top = scored.orderBy(F.col("score").desc(), by).limit(k)
+    return scored.orderBy(F.col("score").desc(), by).limit(k)
+
+
+def rank(postings: DataFrame, limit, doc: str = "doc_id", collation: str | None = None) -> DataFrame:
+    """(rnk, doc, score): top_scores() with places."""
+    by = F.collate(F.col(doc), collation) if collation else F.col(doc)
+    top = top_scores(postings, checked_limit(limit), doc, collation)
     # at most k rows are numbered
     return top.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), by)).alias("rnk"), doc, "score")
 

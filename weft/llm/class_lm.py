@@ -53,13 +53,12 @@ _PROFILE = "w int, right array<int>, right_n array<bigint>, left array<int>, lef
 # ---- blocks of word numbers
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(word number of each token, tokens of each text, the words)."""
+def tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(the words of all texts, tokens of each text)."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
     full = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty piece
-    own = flat.filter(full).dictionary_encode()
-    return np.asarray(own.indices, dtype=np.int32), np.bincount(np.asarray(parent.filter(full)), minlength=len(texts)), own.dictionary
+    return flat.filter(full).dictionary_encode(), np.bincount(np.asarray(parent.filter(full)), minlength=len(texts))
 
 
 def _write_blocks(names: list[str]):
@@ -70,9 +69,10 @@ def _write_blocks(names: list[str]):
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            codes, n, words = tokens(rows.column("text").chunk(0) if rows.num_rows else pa.array([], pa.string()))
-            learns = np.asarray(rows.column("learns"))
+            rows = pa.Table.from_batches([b for b, _, _ in held])
+            words = pa.chunked_array([t for _, t, _ in held]).unify_dictionaries()
+            codes, n = np.concatenate([np.asarray(c.indices, dtype=np.int32) for c in words.chunks]), np.concatenate([x for _, _, x in held])
+            words, learns = words.chunk(0).dictionary, np.asarray(rows.column("learns"))
             blob = freeze(codes=codes, words=np.frombuffer("\n".join(words.to_pylist()).encode(), np.uint8))
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
             ids = rows.column("id").combine_chunks()
@@ -85,7 +85,8 @@ def _write_blocks(names: list[str]):
             while at < batch.num_rows:
                 done = int(far[at - 1]) if at else 0
                 to = max(at + 1, int(np.searchsorted(far, done + BLOCK - size, "right")))
-                held.append(batch.slice(at, to - at))
+                own = batch.slice(at, to - at)
+                held.append((own.drop_columns(["text"]), *tokens(own.column("text"))))  # word numbers are made a batch at a time
                 size += int(far[to - 1]) - done
                 if size >= BLOCK or to < batch.num_rows:
                     yield flush()
@@ -196,12 +197,14 @@ def _pairs(sent, m: int):
             ids, n = block.learned()
             if not len(n):
                 return
-            seq = chained(block.numbers(known, rest)[ids] if len(ids) else ids, n, end).astype(np.int64)
-            more.append(np.unique(seq[:-1] * width + seq[1:], return_counts=True))
-            if sum(len(x[0]) for x in more) > PAIRS // 2:
-                fold()
-                if len(keys) > PAIRS:
-                    yield from flush()
+            seq = chained(block.numbers(known, rest)[ids], n, end)
+            for at in range(0, len(seq) - 1, PAIRS // 4):
+                own = seq[at : at + PAIRS // 4 + 1].astype(np.int64)
+                more.append(np.unique(own[:-1] * width + own[1:], return_counts=True))
+                if sum(len(x[0]) for x in more) > PAIRS // 2:
+                    fold()
+                    if len(keys) > PAIRS:
+                        yield from flush()
 
         return one
 

@@ -119,10 +119,13 @@ def test_decontamination(spark, monkeypatch):
     docs = ["x A, b. C d e f g h i j, k l m", "only three\nwords only three words", None, "", "--", "Ü ü", "a b c d e f g h i", "same id under another text again the same id under another text", "z " * 3000 + "only three words"]
     df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(docs)], "doc_id bigint, text string, spans int")
     bench = spark.createDataFrame([*items, (None, "z z z")], "item_id bigint, text string")
+    named = bench.where("item_id IS NOT NULL")
     for block in (decontaminate.ITEMS_BLOCK, 20):
         monkeypatch.setattr(decontaminate, "ITEMS_BLOCK", block)
-        got = {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), r.item_ids) for r in decontaminate.find_contamination(df, bench).collect()}
-        assert got == {i: hits(t, items) for i, t in enumerate(docs)}
+        found = lambda b, **o: {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), r.item_ids) for r in decontaminate.find_contamination(df, b, **o).collect()}
+        assert found(named) == found(bench, nameless=False) == {i: hits(t, items) for i, t in enumerate(docs)}
+        all_ = {i: hits(t, [*items, (None, "z z z")]) for i, t in enumerate(docs)}  # an item without an id is found, but not named
+        assert found(bench) == {i: (n, m, [x for x in ids if x != "None"]) for i, (n, m, ids) in all_.items()} and all_ != found(named)
     assert decontaminate.find_contamination(df, bench.limit(0)).where("size(spans) > 0").count() == 0
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
 

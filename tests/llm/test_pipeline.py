@@ -47,6 +47,8 @@ def test_stages_keep_the_columns(spark, awkward, none, sf, name):
 
     stage = dict(corpus_pipeline.STAGES)[name]
     docs = awkward.withColumnRenamed("h", "n_chars").withColumns({"row.no": F.monotonically_increasing_id(), **{c: F.concat(F.lit(c + " "), F.col("doc_id").cast("string")) for c in CLASHING}})
+    nested = F.struct(F.col("doc_id").alias("a-b"), F.array(F.struct(F.col("lang").alias("x y"))).alias("`c"))
+    docs = docs.withColumns({"nested": nested, "tick`ed": F.create_map(F.lit("k"), nested)})
     df = spark.createDataFrame(docs.collect(), docs.schema)
     got = stage(spark, df, sf)
     new = ["tokens_ids", "tokens_n_tokens"] if name == "sentencepiece" else []

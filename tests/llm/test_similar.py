@@ -105,3 +105,19 @@ def test_pipeline_keeps_no_similar_texts(spark, db, sf):
     items = db.execute("SELECT item_id, text FROM benchmark").fetchall()
     docs = {d: t for d, t in docs.items() if not hits(t, items)[1]}
     assert {r.doc_id: r.text for r in corpus_pipeline.run(spark, sf).collect()} == docs
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark):
+    """Names from a hash that is the text's length: every clash is resolved by the second one."""
+    from pyspark.sql import functions as F
+
+    from weft.llm import similar as module
+
+    rows = [(i, t) for i, t in enumerate(["ab", "cd", "ab", "ef", "x", "", None, " \n", "y", "abc"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for first in (F.length(F.coalesce("text", F.lit(""))).cast("bigint"), F.lit(7).cast("bigint")):
+        named = module.with_names(df, "text", "node", lambda t, f=first: (F.when(F.trim(F.coalesce(F.regexp_replace(t, "\n", ""), F.lit(""))) == "", F.lit(0).cast("bigint")).otherwise(f), module._hashes(t)[1]))
+        by = {}
+        for r in named.collect():
+            by.setdefault(r.node, set()).add(r.text if r.text and r.text.strip() else "")
+        assert named.columns == ["doc_id", "text", "node"] and sorted(map(sorted, by.values())) == [[""], ["ab"], ["abc"], ["cd"], ["ef"], ["x"], ["y"]]

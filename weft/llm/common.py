@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 LONG_MIN = -(2**63)
 M64 = (1 << 64) - 1
@@ -54,6 +55,11 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def extended(fields: list[StructField], ddl: str) -> StructType:
+    """A schema of these fields, whatever their types hold, and those of a DDL text."""
+    return StructType([*fields, *StructType.fromDDL(ddl).fields])
+
+
 def fresh(prefix: str, taken: list[str]) -> str:
     """A column name that the table does not use."""
     name = prefix

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import in_arrow, table
+from weft.llm.common import extended, in_arrow, named, table
 from weft.llm.exchange import spans_array
 from weft.llm.hashing import WORD, U, mix, spread, words
 
@@ -197,13 +197,13 @@ def _search(sent, window: int, names: list[str], more: bool):
 def _contamination(df: DataFrame, items: DataFrame, cols: list[str], item_id: str, item_text: str, window: int, nameless: bool) -> DataFrame:
     """c0, c1, ... (the columns `cols` of df, of which the second is the text), n_words, spans, item_ids."""
     spark = df.sparkSession
-    named = F.lit(True) if nameless else F.col(f"`{item_id}`").isNotNull()
-    used = items.where(named & F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text"))
+    some = F.lit(True) if nameless else named(item_id).isNotNull()
+    used = items.where(some & named(item_text).isNotNull()).select(named(item_id).cast("string").alias("item"), named(item_text).alias("text"))
     size = used.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // ITEMS_BLOCK))
     names = [f"c{i}" for i in range(len(cols))]
-    out = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(cols, names, strict=True)])
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields), _OUT])
+    out = df.select(*[named(c).alias(k) for c, k in zip(cols, names, strict=True)])
+    schema = extended(out.schema.fields, _OUT)
     for k in range(n):
         own = used.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else used
         rows = [(r.item, r.text.encode("utf-8", "surrogatepass")) for r in own.collect()]
@@ -211,14 +211,14 @@ def _contamination(df: DataFrame, items: DataFrame, cols: list[str], item_id: st
     return out
 
 
-def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, nameless: bool = False) -> DataFrame:
+def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, nameless: bool = True) -> DataFrame:
     """One row per row of df: id, n_words, spans (hit word ranges), item_ids (strings, sorted).
 
     Words are lower-cased (A-Z) runs of digits, letters and anything beyond ASCII. A
     pattern is `window` consecutive words of an item; a shorter item is one pattern as a
     whole. Null, empty and wordless texts have no words and are clean; null or wordless
-    items match nothing. An item with a null id takes no part, as in SQL; if `nameless`, it
-    gives spans but no name. Repeated items and rows are harmless. Other columns are
+    items match nothing. An item with a null id gives spans but no name; without `nameless`
+    it takes no part. Repeated items and rows are harmless; texts are searched whole, however long. Other columns are
     ignored; an empty table gives no rows.
 
     The items are broadcast in blocks of ITEMS_BLOCK bytes, one narrow pass over the documents each.
@@ -250,13 +250,13 @@ _CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LIST = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_CLASS}')"
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LIST} AS w FROM documents),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_LIST} AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_LIST} AS w FROM benchmark),
 p AS (SELECT item, least(len(w), {WINDOW}) AS m, w, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS s FROM i WHERE len(w) > 0),
 pats AS (SELECT DISTINCT item, m, array_to_string(w[s:s + m - 1], ' ') AS t FROM p),
 dw AS (SELECT r, m, w, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM pats) WHERE len(w) >= m),
 occ AS (SELECT r, s, pats.m, item FROM (SELECT r, m, s, array_to_string(w[s:s + m - 1], ' ') AS t FROM dw) x JOIN pats USING (m, t)),
 hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + m)) AS k FROM occ) GROUP BY r),
-its AS (SELECT r, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM occ GROUP BY r)
+its AS (SELECT r, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item) FILTER (item IS NOT NULL)), ',') AS ids FROM occ GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import in_arrow, table
+from weft.llm.common import extended, in_arrow, named, table
 from weft.llm.hashing import spread
 
 #: Bound of the training sample: labelled documents, and stretches of each, drawn from the whole text.
@@ -235,13 +235,13 @@ def _sample(stretches: int):
 
 
 def _remainder(id_col: str):
-    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(0)) % 5
+    return F.coalesce(F.crc32(named(id_col).cast("string").cast("binary")), F.lit(0)) % 5
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, stretches: int = SAMPLE_STRETCHES) -> Network | None:
     """A network trained on at most `docs` labelled rows, chosen by a hash of their id, and `stretches` stretches of each text; None if no row is labelled."""
-    rows = df.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
-        F.xxhash64(F.lit("language"), F.col(f"`{id_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
+    rows = df.where(named(lang_col).isNotNull() & named(text_col).isNotNull()).select(
+        F.xxhash64(F.lit("language"), named(id_col)).alias("key"), named(text_col).alias("text"), named(lang_col).cast("string").alias("lang")
     )
     labelled = rows.select("key").count()
     if not labelled:
@@ -286,8 +286,8 @@ def _predict(sent):
 
 def _identified(df: DataFrame, network: Network | None, text_col: str, keep: list[str]) -> DataFrame:
     """c0, c1, ... (the columns `keep`), lang_pred, score."""
-    rows = df.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "lang_pred string, score double"])
+    rows = df.select(named(text_col).alias("text"), *[named(c).alias(f"c{i}") for i, c in enumerate(keep)])
+    schema = extended(rows.schema.fields[1:], "lang_pred string, score double")
     return in_arrow(rows, _predict(df.sparkSession.sparkContext.broadcast(network)), schema)
 
 

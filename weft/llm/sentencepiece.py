@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import fresh, in_arrow, table
+from weft.llm.common import extended, fresh, in_arrow, named, table
 from weft.llm.exchange import same_bytes
 from weft.llm.hashing import hash_runs, spread
 
@@ -295,15 +295,11 @@ def _decode(sent, ids_col: str):
     return run
 
 
-def _schema(df: DataFrame, extra: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), extra])
-
-
 def _encoded(df: DataFrame, cols: list[str], text_col: str, model: str, back: bool) -> DataFrame:
     """c0, c1, ... (the columns `cols`), ids and, with `back`, decoded."""
     sent = df.sparkSession.sparkContext.broadcast(load(model))
-    rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
-    return in_arrow(rows, _encode(sent, cols.index(text_col), back), _schema(rows, "ids array<int>" + ", decoded string" * back))
+    rows = df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    return in_arrow(rows, _encode(sent, cols.index(text_col), back), extended(rows.schema.fields, "ids array<int>" + ", decoded string" * back))
 
 
 def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, back: bool = False) -> DataFrame:
@@ -326,7 +322,7 @@ def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame
     """df with decoded string. Null ids give null; ids that no text has may give bytes that are no UTF-8, which become U+FFFD. A column named decoded is replaced."""
     sent = df.sparkSession.sparkContext.broadcast(load(model))
     df = df.drop("decoded")
-    return in_arrow(df, _decode(sent, ids_col), _schema(df, "decoded string"))
+    return in_arrow(df, _decode(sent, ids_col), extended(df.schema.fields, "decoded string"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from weft.llm.common import cut, in_arrow, partitions, table
+from weft.llm.common import cut, extended, in_arrow, named, partitions, table
 from weft.llm.exchange import _ROWS, answers, ask, bits, blocks, each_block, freeze, from_bits, heads, joined_spans, note, same_bytes, spans_array, split_replies, thaw, with_answers
 from weft.llm.hashing import POWERS, U, byte_values, hash_runs, mix, prefix, span, spread
 from weft.llm.substring_dedup import ids_of, texts_of
@@ -393,7 +394,7 @@ def _found(df: DataFrame, id_col: str, text_col: str, length: int, keep: list[st
         raise ValueError("length must be 302 or less")
     n = partitions(df.sparkSession)
     rows = df.select(
-        F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(f"`{text_col}`").alias("th"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+        named(text_col).alias("text"), named(id_col).cast("bigint").alias("id"), F.xxhash64(named(text_col)).alias("th"), *[named(c).alias(f"k{i}") for i, c in enumerate(keep)]
     )
     held = blocks(rows)
     size = held.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
@@ -401,7 +402,8 @@ def _found(df: DataFrame, id_col: str, text_col: str, length: int, keep: list[st
     status = cut(answers(in_arrow(held, _anchors(length, gram, buckets), _ROWS), _status(hot)))
     asked = in_arrow(with_answers(held, status), _entries(length, gram, buckets), _ROWS)
     found = with_answers(held, answers(asked, _earlier(length, classes)), "left")
-    schema = ", ".join(["id bigint", *(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))), "n_bytes bigint, n_kept bigint, spans array<struct<start:bigint,end:bigint>>", *({"kept": "kept binary", "kept_text": "kept_text string"}[w] for w in wanted), "no_text boolean"])
+    held_ = [StructField("id", LongType()), *(rows.schema[f"k{i}"] for i in range(len(keep)))]
+    schema = extended(held_, ", ".join(["n_bytes bigint, n_kept bigint, spans array<struct<start:bigint,end:bigint>>", *({"kept": "kept binary", "kept_text": "kept_text string"}[w] for w in wanted), "no_text boolean"]))
     return in_arrow(found, _cut_out(length, len(keep), wanted), schema)
 
 

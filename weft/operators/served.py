@@ -112,7 +112,7 @@ def find(index: Served, query=None, terms_: Sequence[str] | None = None, limit:
     found = near.orderBy(F.col("most").desc(), "segment").limit(bounds + 1).collect()
 
     def scored(segments: list[int]) -> DataFrame:
-        return _scores(own.where(F.col("segment").isin(segments)), doc)
+        return _scores(own.where(f"segment IN ({', '.join(map(str, segments))})"), doc)
 
     # some document of each segment has its highest count, so k documents reach the k-th of these
     lows = sorted((r.least for r in found), reverse=True)

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions import hashing, html_text, porter, text, urls
+from weft.functions import hashing, html_text, porter, text, urls, values
 from weft.operators import crawl, index, kv, mapreduce, pieces, search, served, stats, stored
 from weft.plans.session import shared_folder
 from weft.sources import index_text
@@ -712,3 +712,100 @@ def stream_frontier(spark, d):
     path = f"{d}/pages.parquet"
     found = index_stream.document_stream(spark, path, spark.read.parquet(path).schema).select(F.explode(urls.hrefs(F.col("html"))).alias("url"))
     return _drain(spark, index_stream.frontier(found), "append")
+
+
+# ---- values without a schema
+
+
+@query(
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'object' WHEN 1 THEN 'number' ELSE 'date' END AS kind, CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') END AS k,
+  CASE WHEN event_id % 3 = 1 THEN value END AS number, CASE WHEN event_id % 3 = 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events"""
+)
+def values_decoded(spark, d):
+    """Objects, numbers and dates in one column of texts, encoded and taken apart again."""
+    own = table(spark, d, "events")
+    kind = F.pmod("event_id", F.lit(3))
+    text = F.when(kind == 0, F.col("props")).when(kind == 1, values.encoded(F.col("value"), "number")).otherwise(values.encoded(F.col("ts").cast("timestamp"), "date"))
+    held = own.select("event_id", values.decoded(text).alias("v"))
+    v = F.col("v")
+    return held.select("event_id", values.kind_of(v).alias("kind"), values.member(v, "$.k", "bigint").cast("string").alias("k"), values.as_number(v).alias("number"), F.date_format(values.as_date(v), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+# ---- a dictionary of stop words as a table
+
+_ALL_TOKENS = "list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g')), ' '), lambda w: w <> '')"
+_STOPS = "(SELECT DISTINCT t AS word FROM (SELECT unnest({}) AS t, doc_id FROM documents) WHERE doc_id % 10 = 0)".format(_ALL_TOKENS)
+
+
+@query(
+    f"""WITH stops AS {_STOPS},
+w AS (SELECT doc_id, unnest(t) AS a, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, {_ALL_TOKENS} AS t FROM documents)),
+s AS (SELECT doc_id, {text.stem_sql('a')} AS a, i FROM w ANTI JOIN stops ON w.a = stops.word),
+l AS (SELECT doc_id, a, lead(a, 1) OVER (PARTITION BY doc_id ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM s),
+g AS (SELECT doc_id, a AS term FROM l UNION ALL SELECT doc_id, a || ' ' || b FROM l WHERE b IS NOT NULL UNION ALL SELECT doc_id, a || ' ' || b || ' ' || c FROM l WHERE c IS NOT NULL)
+SELECT term, doc_id, count(*) AS cnt FROM g GROUP BY ALL"""
+)
+def index_large_dictionary(spark, d):
+    """The index without the words of a dictionary of thousands, those of every tenth document."""
+    docs = documents(spark, d)
+    stops = docs.where("doc_id % 10 = 0").select(F.explode(text.tokens(F.col("text"), ())).alias("word")).distinct()
+    return index.build_index(docs, stop_words=stops)
+
+
+# ---- jobs over the corpus
+
+
+def _folded(key, counts):
+    return [sum(counts)]
+
+
+@query(f"""SELECT word AS k, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY 1""")
+def corpus_word_count(spark, d):
+    """Word count of all documents through Python functions; counts are folded before the shuffle."""
+    store = documents(spark, d).select(F.col("doc_id").alias("key"), F.col("text").alias("value"))
+    done = mapreduce.map_reduce(store, _mapper, _reducer, combiner=_folded)
+    return done.select("k", F.expr("element_at(map_values(from_json(out, 'map<string,bigint>')), 1)").alias("n"))
+
+
+@query("SELECT ch, count(*) AS cnt FROM (SELECT unnest(string_split(regexp_replace(text, '\\s+', '', 'g'), '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1")
+def corpus_char_freq(spark, d):
+    return mapreduce.char_frequency(documents(spark, d))
+
+
+@query("SELECT 'shared' AS k, CAST(sum(length(text)) AS BIGINT) AS v FROM documents")
+def corpus_shared_sum(spark, d):
+    return mapreduce.sum_by_key(documents(spark, d), F.lit("shared"), F.length("text").cast("bigint"))
+
+
+@query(f"""SELECT word AS k, '{{"' || word || '": ' || count(*) || '}}' AS out FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM conversations) GROUP BY 1""")
+def mr_tables(spark, d):
+    """Word count by table functions: the mapper beside each row, the reducer over partitions by key."""
+    letters = F.array_join(F.regexp_extract_all("text", F.lit("([a-z]+)")), " ")
+    store = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), letters.alias("value"))
+    return mapreduce.map_reduce_tables(store, _mapper, _reducer)
+
+
+@query("SELECT event_type AS k, CAST(count(*) AS VARCHAR) || ':' || CAST(max(value) AS VARCHAR) AS v FROM events GROUP BY 1")
+def mr_aggregate(spark, d):
+    """A mergeable aggregate in Python: number and maximum by key, folded in every task before the shuffle."""
+    own = table(spark, d, "events")
+    done = mapreduce.aggregate_by_key(own, F.col("event_type"), F.col("value"), lambda: [0, None], lambda s, v: [s[0] + 1, v if s[1] is None else max(s[1], v)], lambda a, b: [a[0] + b[0], max(a[1], b[1])], lambda s: f"{s[0]}:{s[1]}")
+    return done.select("k", F.from_json(F.concat(F.lit('{"v":'), "out", F.lit("}")), "v string")["v"].alias("v"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS url, CAST(1 AS INT) AS visit, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%g') AS due FROM events GROUP BY 1")
+def stream_first_visits(spark, d):
+    """Addresses (the users of events) when a stream first shows them, by state that a timer lets go."""
+    path = f"{d}/events.parquet"
+    found = index_stream.document_stream(spark, path, spark.read.parquet(path).schema).select(F.col("user_id").cast("string").alias("url"), F.col("ts").cast("timestamp").alias("ts"))
+    first = index_stream.due_visits(found, "3650 days", visits=1)
+    return _drain(spark, first, "append").select("url", "visit", F.date_format("due", "yyyy-MM-dd HH:mm:ss.SSS").alias("due"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS cnt FROM events GROUP BY ALL")
+def stream_windows(spark, d):
+    """Counts by hour and type of a stream, read whole."""
+    path = f"{d}/events.parquet"
+    own = index_stream.document_stream(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    done = _drain(spark, index_stream.windowed_counts(own, "event_type"), "complete")
+    return done.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "cnt")

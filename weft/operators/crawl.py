@@ -30,14 +30,15 @@ def traverse(pages: DataFrame, seeds: list[str], max_depth: int = 1, max_pages:
     visit_left = None if max_pages is None else 10 * max_pages + 1 - len(seeds)
     visited, levels = frontier.select("url"), []
     for depth in range(max_depth + 1):
-        level = frontier.join(pages, "url", "left").select("url", "depth", "ord", "links", F.col("indexed").isNotNull().alias("fetched"), F.coalesce("indexed", F.lit(False)).alias("indexed"))
+        # the frontier's pages are picked by a join that may broadcast the frontier, so that pages stay where they are
+        met = pages.join(frontier.select("url"), "url").select("url", "links", "indexed")
+        level = frontier.join(met, "url", "left").select("url", "depth", "ord", "links", F.col("indexed").isNotNull().alias("fetched"), F.coalesce("indexed", F.lit(False)).alias("indexed"))
         if max_pages is not None:  # at most fetch_left rows are numbered
             before = Window.partitionBy(F.lit(0)).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
             some = level.orderBy("ord").limit(10 * max_pages + 1 + len(seeds))
             some = some.withColumn("_d", F.coalesce(F.sum(F.col("indexed").cast("int")).over(before), F.lit(0))).withColumn("_f", F.coalesce(F.sum(F.col("fetched").cast("int")).over(before), F.lit(0)))
             go = (F.col("_d") < docs_left) & (F.col("_f") < fetch_left)
-            level = some.withColumns({"fetched": F.col("fetched") & go, "indexed": F.col("indexed") & go}).drop("_d", "_f")
-        level = level.checkpoint()
+            level = some.withColumns({"fetched": F.col("fetched") & go, "indexed": F.col("indexed") & go}).drop("_d", "_f").checkpoint()
         levels.append(level.select("url", "depth", "fetched", "indexed"))
         if depth == max_depth:
             break
@@ -52,11 +53,10 @@ def traverse(pages: DataFrame, seeds: list[str], max_depth: int = 1, max_pages:
         else:
             new = new.withColumn("ord", F.monotonically_increasing_id())
         frontier = new.select("url", F.lit(depth + 1).alias("depth"), "ord").checkpoint()
-        count = frontier.count()
-        if not count:
+        if frontier.isEmpty():
             break
         if visit_left is not None:
-            visit_left -= count
+            visit_left -= frontier.count()
         visited = visited.unionByName(frontier.select("url"))
     out = levels[0]
     for level in levels[1:]:

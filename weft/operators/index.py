@@ -11,16 +11,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weft.functions.hashing import HASHERS, content_id, content_id_of
-from weft.functions.text import STOP_WORDS, ngram_bag, terms
+from weft.functions.text import STOP_WORDS, ngram_bag, stem, terms, tokens
 
 
-def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_words: Sequence[str] = STOP_WORDS, only: Sequence[str] | None = None) -> DataFrame:
+def without_words(docs: DataFrame, words: DataFrame, doc: str = "doc_id", text: str = "text", word: str = "word") -> DataFrame:
+    """(doc, terms): the stemmed tokens of each row in order, those in the table `words` left out.
+
+    For dictionaries that are too large to be part of a plan: Spark broadcasts the table if its size
+    allows that, else joins by word, where a frequent word's rows are split by their place. A row without tokens has no terms.
+    """
+    rows = docs.select(doc, text).withColumn("_row", F.monotonically_increasing_id())
+    found = rows.select("_row", doc, F.posexplode(tokens(F.col(text), ())).alias("_pos", "_word"))
+    stops = words.select(F.col(word).alias("_word")).where("_word IS NOT NULL").distinct()
+    left = found.join(stops, "_word", "left_anti")
+    listed = F.array_sort(F.collect_list(F.struct("_pos", "_word")))
+    own = left.groupBy("_row", doc).agg(F.transform(listed, lambda t: stem(t["_word"])).alias("terms"))
+    return own.select(doc, "terms")
+
+
+def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_words: Sequence[str] | DataFrame = STOP_WORDS, only: Sequence[str] | None = None) -> DataFrame:
     """(term, doc, cnt) of all n-grams; with `only`, of those terms: no other sizes are formed and no other terms shuffled.
 
     Texts are shuffled by document before they are taken apart, so their n-grams, many
     times as large, need no shuffle: they are counted where they are formed. Rows that
-    share an id are one document.
+    share an id are one document. stop_words may be a table (word), of any size.
     """
+    if isinstance(stop_words, DataFrame):
+        bag = ngram_bag(F.col("terms"))
+        if only is not None:
+            bag = F.filter(bag, lambda t: t.isin(*only))
+        found = without_words(docs, stop_words, doc, text).repartition(doc).select(doc, F.explode(bag).alias("term"))
+        return found.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("cnt")).select("term", doc, "cnt")
     if only is None:
         found = docs.select(doc, text).repartition(doc).select(doc, F.explode(ngram_bag(terms(F.col(text), stop_words))).alias("term"))
         return found.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("cnt")).select("term", doc, "cnt")

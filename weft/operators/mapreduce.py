@@ -9,12 +9,23 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from itertools import groupby
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
+def emitted(mapper: Callable, key, value) -> Iterator[tuple[str, Any]]:
+    """The pairs that a mapper's output stands for, see map_reduce()."""
+    found = mapper(key, value) or []
+    for item in [found] if isinstance(found, dict) else found:
+        for k, v in list(item.items())[:1]:
+            for one in v if isinstance(v, list) else [v]:
+                for x in one if isinstance(one, list) else [one]:
+                    yield str(k), x
+
+
 def map_reduce(store: DataFrame, mapper: Callable, reducer: Callable, keys: DataFrame | None = None, combiner: Callable | None = None) -> DataFrame:
     """(k string, out string): one reducer output for each key, as JSON ("null" for None).
 
@@ -30,13 +41,7 @@ def map_reduce(store: DataFrame, mapper: Callable, reducer: Callable, keys: Data
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for key, value in zip(pdf["key"], pdf["value"], strict=True):
-                found = mapper(key, value) or []
-                for item in [found] if isinstance(found, dict) else found:
-                    for k, v in list(item.items())[:1]:
-                        for one in v if isinstance(v, list) else [v]:
-                            out.extend((str(k), x) for x in (one if isinstance(one, list) else [one]))
+            out = [p for key, value in zip(pdf["key"], pdf["value"], strict=True) for p in emitted(mapper, key, value)]
             if combiner is not None:
                 by: dict[str, list] = {}
                 for k, v in out:
@@ -59,6 +64,78 @@ def map_reduce(store: DataFrame, mapper: Callable, reducer: Callable, keys: Data
     return sent.repartition("k").sortWithinPartitions("k").mapInPandas(fold, "k string, out string")
 
 
+def mapper_table(mapper: Callable):
+    """A mapper as a table function (key, value) -> (k, v as JSON), for lateral joins and, once registered, for SQL."""
+
+    @F.udtf(returnType="k string, v string")
+    class Emit:
+        def eval(self, key, value):
+            for k, v in emitted(mapper, key, value):
+                yield k, json.dumps(v)
+
+    return Emit
+
+
+def reducer_table(reducer: Callable):
+    """A reducer as a table function over a table (k, v as JSON) partitioned by k -> (k, out as JSON). All values of a key meet, as its signature demands."""
+
+    @F.udtf(returnType="k string, out string")
+    class Reduce:
+        def __init__(self):
+            self._k, self._values = None, []
+
+        def eval(self, row: Row):
+            self._k = row["k"]
+            self._values.append(json.loads(row["v"]))
+
+        def terminate(self):
+            if self._values:
+                yield self._k, json.dumps(reducer(self._k, self._values))
+
+    return Reduce
+
+
+def map_reduce_tables(store: DataFrame, mapper: Callable, reducer: Callable) -> DataFrame:
+    """map_reduce() as two table functions: the mapper beside each row, the reducer over partitions by key."""
+    sent = store.select("key", "value").lateralJoin(mapper_table(mapper)(F.col("key").outer(), F.col("value").outer())).select("k", "v")
+    return reducer_table(reducer)(sent.asTable().partitionBy("k"))
+
+
+def aggregate_by_key(rows: DataFrame, k: Column, v: Column, zero: Callable[[], Any], add: Callable, merge: Callable, finish: Callable = lambda s: s, held: int = 100_000) -> DataFrame:
+    """(k string, out string): a mergeable aggregate in Python. finish(state) of each key, as JSON.
+
+    add(state, value) folds a task's values where they lie, at most `held` keys at a time; only states, as JSON, are
+    shuffled and merge(a, b) joins them, so a key with a third of all rows is folded by
+    all tasks and sends one state each. zero() starts a state. Order of values is undefined.
+    """
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict[str, Any] = {}
+        for pdf in batches:
+            for key, value in zip(pdf["k"], pdf["v"], strict=True):
+                states[key] = add(states[key] if key in states else zero(), value)
+                if len(states) >= held:
+                    yield pd.DataFrame([(x, json.dumps(s)) for x, s in states.items()], columns=["k", "s"])
+                    states = {}
+        yield pd.DataFrame([(x, json.dumps(s)) for x, s in states.items()], columns=["k", "s"])
+
+    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = (p for pdf in batches for p in zip(pdf["k"], pdf["s"], strict=True))
+        out = []
+        for key, own in groupby(pairs, lambda p: p[0]):
+            state = None
+            for _, s in own:
+                state = json.loads(s) if state is None else merge(state, json.loads(s))
+            out.append((key, json.dumps(finish(state))))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=["k", "out"])
+                out = []
+        yield pd.DataFrame(out, columns=["k", "out"])
+
+    sent = rows.select(k.cast("string").alias("k"), v.alias("v")).mapInPandas(partial, "k string, s string")
+    return sent.repartition("k").sortWithinPartitions("k").mapInPandas(final, "k string, out string")
+
+
 def iterate(store: DataFrame, mapper: Callable, reducer: Callable, rounds: int, combiner: Callable | None = None) -> DataFrame:
     """`rounds` runs of map_reduce, each over the (key, value) rows that the one before gave; a round's output, a dict, is a row for each item.
 
@@ -128,8 +205,9 @@ def word_count(docs: DataFrame, text: str = "text") -> DataFrame:
 def tf_idf(docs: DataFrame, doc: str = "doc_id", text: str = "text", n_docs: int | None = None) -> DataFrame:
     """(word, doc, tfidf): count / length * log10(documents / documents with the word), to two places, halves up. n_docs: as given, else counted."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
-    split = docs.select(doc, words.alias("words"))
-    tf = split.select(doc, F.size("words").alias("len"), F.explode("words").alias("word")).groupBy("word", doc, "len").agg(F.count(F.lit(1)).alias("c"))
+    # texts are shuffled by document, so that their words are counted where they are cut
+    split = docs.select(doc, text).repartition(doc).select(doc, words.alias("words"))
+    tf = split.select(doc, F.size("words").alias("len"), F.explode("words").alias("word")).groupBy(doc, "len", "word").agg(F.count(F.lit(1)).alias("c"))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     if n_docs is None:
         n_docs = docs.count()

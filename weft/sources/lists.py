@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_words(spark: SparkSession, path: str, most: int = 100_000) -> list[str]:
@@ -15,6 +16,11 @@ def read_words(spark: SparkSession, path: str, most: int = 100_000) -> list[str]
     return list(dict.fromkeys(w for w in (r.value.strip() for r in rows) if w))
 
 
+def word_table(spark: SparkSession, path: str) -> DataFrame:
+    """(word) of a dictionary file of any size, for weft.operators.index.build_index: trimmed, without blanks and repeats."""
+    return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
+
+
 def parse_nodes(text: str) -> list[dict]:
     """`ip:port,ip:port` -> nodes; an entry without an ip or with a port that is none is an error."""
     out = []

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from weft.operators.index import build_index
 
@@ -46,6 +50,43 @@ def frontier(links: DataFrame, watermark: str | None = None, at: str = "ts") ->
     return links.withWatermark(at, watermark).dropDuplicatesWithinWatermark(["url"]) if watermark else links.dropDuplicates(["url"])
 
 
+def due_visits(links: DataFrame, every: str, visits: int = 2, late: str = "0 seconds", at: str = "ts") -> DataFrame:
+    """(url, visit, due) of a stream (url, `at`): each url when it is first seen, and again each `every` of event time, `visits` times in all.
+
+    The state of a url is its number of visits and the time of the next, and goes with its last visit; a link to a
+    known url adds nothing. Timers fire as the watermark passes them, `late` behind the stream's newest time.
+    """
+    step = int(pd.Timedelta(every).total_seconds() * 1000)
+    if step <= 0 or visits < 1:
+        raise ValueError("every must be positive and visits at least 1")
+
+    def visit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            done, next_ = state.get
+            watermark = state.getCurrentWatermarkMs()
+            while done < visits and next_ <= watermark:  # one event may pass several visits
+                done += 1
+                out.append((key[0], done, pd.Timestamp(next_, unit="ms")))
+                next_ += step
+        else:
+            seen = min(int(f["ms"].min()) for f in frames)
+            if state.exists:
+                done, next_ = state.get
+            else:
+                done, next_ = 1, seen + step
+                out.append((key[0], 1, pd.Timestamp(seen, unit="ms")))
+        if done >= visits and state.hasTimedOut:
+            state.remove()
+        else:
+            state.update((done, next_))
+            state.setTimeoutTimestamp(max(next_, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["url", "visit", "due"]).astype({"visit": "int32", "due": "datetime64[ns]"})
+
+    rows = links.withWatermark(at, late).select("url", at, F.unix_millis(F.col(at).cast("timestamp")).alias("ms"))
+    return rows.groupBy("url").applyInPandasWithState(visit, "url string, visit int, due timestamp", "done int, next bigint", "append", "EventTimeTimeout")
+
+
 def until_stop(urls: DataFrame) -> DataFrame:
     """The rows of a batch (url, n) before the literal `stop`."""
     end = urls.where(F.col("url") == "stop").agg(F.min("n").alias("end"))

@@ -81,6 +81,16 @@ def test_lists_of_a_document():
     assert html_text.document_text(html) == "before\n\n * one\n * two bold\n   more\n    1. x\n    2. y\n\n       z\n\nafter\n\nstray"
 
 
+def test_lines_tables_rules_and_images():
+    text = html_text.document_text
+    assert text("<p>" + "word " * 40 + "</p>") == "\n".join([" ".join(["word"] * 16)] * 2 + [" ".join(["word"] * 8)])
+    assert text("<ul><li>" + "abc " * 30 + "</li></ul>").split("\n") == [" * " + " ".join(["abc"] * 19), "   " + " ".join(["abc"] * 11)]
+    assert text("a " + "x" * 100 + " b") == "a\n" + "x" * 100 + "\nb" and text("a " * 60, None) == ("a " * 60).strip()
+    assert text("one<table><tr><td>a</td> <td>b</td></tr>\n<tr><td>c</td><td>d</td></tr></table>two") == "one\n\na b cd\n\ntwo"
+    assert text("a<hr>b", 5) == "a\n\n-----\n\nb" and text('<img alt="A cat" src="c.png"> <img src="d.png"><img alt="e">') == "A cat [c.png] [d.png]e"
+    assert text("<pre>x  y\n  z</pre>w") == "x  y\n  z\n\nw"
+
+
 def test_normal_url():
     assert urls.normal_url("HTTP://Ex.ORG:80", "http://b/") == "http://ex.org/"
     assert urls.normal_url("/für x?q=é#f", "https://b.org/a") == "https://b.org/f%C3%BCr%20x?q=%C3%A9#f"

@@ -1,4 +1,7 @@
-"""Document text of HTML: headings in capitals, links with their target in brackets, list items marked, paragraphs apart; and the links of a document. Arrow UDFs over a parser."""
+"""Document text of HTML: headings in capitals, links and images with their target in brackets, list items marked, paragraphs apart, lines wrapped; and the links of a document. Arrow UDFs over a parser.
+
+A table is a block of its own whose cells follow each other as words do; a rule is a line of dashes.
+"""
 
 from __future__ import annotations
 
@@ -9,24 +12,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_BLOCKS = _HEADINGS | {"p", "div", "ul", "ol", "table", "pre", "blockquote", "section", "article", "header", "footer", "main", "nav", "li", "tr", "form"}
+_BLOCKS = _HEADINGS | {"p", "div", "ul", "ol", "table", "pre", "blockquote", "section", "article", "header", "footer", "main", "nav", "aside", "li", "form"}
 _APART = _HEADINGS | {"p", "ul", "ol", "table", "pre", "blockquote"}
 _LISTS = {"ul", "ol"}
 _SKIPPED = {"script", "style", "head", "title", "noscript", "template"}
 _VOID = {"br", "img", "hr", "meta", "link", "input"}
 
 
+#: Characters of a line. A longer word stands alone.
+WIDTH = 80
+
+
+def wrapped(line: str, width: int | None) -> str:
+    """A line of single-spaced words, broken where the next word would pass the width."""
+    out, used = [], 0
+    for word in line.split(" "):
+        if out and width and used + 1 + len(word) > width:
+            out.append("\n" + word)
+            used = len(word)
+        else:
+            out.append(" " + word if out else word)
+            used += len(out[-1])
+    return "".join(out)
+
+
 class _Text(HTMLParser):
-    def __init__(self):
+    def __init__(self, width: int | None = WIDTH):
         super().__init__(convert_charrefs=True)
+        self.width, self.pre = width, 0
         self.blocks: list[tuple[bool, str]] = []  # (stands apart, text)
         self.words, self.skip, self.upper, self.links, self.apart = "", 0, 0, [], False
         self.lists: list[list] = []  # of each open list: ordered, items so far, what goes before the item's first block, and before its other lines
 
     def _close(self, apart: bool) -> None:
-        text = "\n".join(" ".join(line.split()) for line in self.words.split("\0")).strip()
+        mark, indent = "".join(k[2] for k in self.lists), "".join(k[3] for k in self.lists)
+        if self.pre:
+            text = self.words.replace("\0", "\n").strip("\n")
+        else:
+            width = self.width and max(1, self.width - len(indent))
+            text = "\n".join(wrapped(" ".join(line.split()), width) for line in self.words.split("\0")).strip()
         if text:
-            mark, indent = "".join(k[2] for k in self.lists), "".join(k[3] for k in self.lists)
             self.blocks.append((self.apart, mark + text.replace("\n", "\n" + indent)))
             for k in self.lists:
                 k[2] = k[3]
@@ -41,6 +66,7 @@ class _Text(HTMLParser):
         elif tag in _BLOCKS:
             self._close(tag in _APART and not (tag in _LISTS and self.lists))
             self.upper += tag in _HEADINGS
+            self.pre += tag == "pre"
             if tag in _LISTS:
                 self.lists.append([tag == "ol", 0, "", ""])
             elif tag == "li" and self.lists:
@@ -50,6 +76,14 @@ class _Text(HTMLParser):
                 own[3] = " " * len(own[2])
         elif tag == "br":
             self.words += "\0"
+        elif tag == "hr":
+            self._close(True)
+            self.words = "-" * (self.width or 40)
+            self._close(True)
+        elif tag == "img" and not self.skip:
+            own = dict(attrs)
+            alt, src = own.get("alt") or "", own.get("src") or ""
+            self.words += f"{alt} [{src}]" if alt and src else alt or (f"[{src}]" if src else "")
         elif tag == "a":
             self.links.append(dict(attrs).get("href"))
 
@@ -63,6 +97,7 @@ class _Text(HTMLParser):
             elif tag == "li" and self.lists:
                 self.lists[-1][2:] = "", ""
             self.upper = max(0, self.upper - (tag in _HEADINGS))
+            self.pre = max(0, self.pre - (tag == "pre"))
         elif tag == "a" and self.links:
             href = self.links.pop()
             if href:
@@ -80,10 +115,11 @@ class _Text(HTMLParser):
         return out
 
 
-def document_text(html: str | None) -> str | None:
+def document_text(html: str | None, width: int | None = WIDTH) -> str | None:
+    """width: None leaves lines whole."""
     if html is None:
         return None
-    parser = _Text()
+    parser = _Text(width)
     parser.feed(html)
     parser.close()
     return parser.text()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.text import STOP_WORDS, terms, terms_of
+from weft.functions.text import STOP_WORDS, ngram_bag, terms, terms_of
 from weft.operators.index import build_index
 
 DEFAULT_LIMIT = 20
@@ -74,13 +74,20 @@ def search_many(index: DataFrame, queries: DataFrame, k: int = 10, query_id: str
     return scored.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
 
 
-def search_many_documents(docs: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "item_id", text: str = "text", doc: str = "doc_id", stop_words: Sequence[str] = STOP_WORDS, pushed: int = 20_000) -> DataFrame:
-    """search_many() without an index. Up to `pushed` distinct asked terms are filtered for before anything is shuffled; beyond, the index is built."""
+#: Bytes of a workload's distinct terms up to which they are broadcast.
+PUSHED = 32 << 20
+
+
+def search_many_documents(docs: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "item_id", text: str = "text", doc: str = "doc_id", stop_words: Sequence[str] = STOP_WORDS, pushed: int = PUSHED) -> DataFrame:
+    """search_many() without an index. The distinct asked terms are broadcast if they take no more than `pushed` bytes: then only n-grams that
+    some query asks for are shuffled. Beyond that the index is built and joined."""
     own = terms(F.col(text), stop_words)
     asked = queries.select(F.explode(F.concat(F.array(F.array_join(own, " ")), own)).alias("term")).where("term <> ''").distinct()
-    some = [r.term for r in asked.limit(pushed + 1).collect()]
-    index = build_index(docs, doc, stop_words=stop_words, only=some if len(some) <= pushed else None)
-    return search_many(index, queries, k, query_id, text, doc, stop_words)
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0))).first()[0]
+    if size > pushed:
+        return search_many(build_index(docs, doc, stop_words=stop_words), queries, k, query_id, text, doc, stop_words)
+    found = docs.select(doc, F.explode(ngram_bag(own)).alias("term")).join(F.broadcast(asked), "term", "left_semi")
+    return search_many(found.groupBy("term", doc).agg(F.count(F.lit(1)).alias("cnt")), queries, k, query_id, text, doc, stop_words)
 
 
 def substring_search(index: DataFrame, query: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:

@@ -46,7 +46,8 @@ def format_preferences(turns: DataFrame, pair: Column, chosen: Column, conv_id:
     ordered by number, then role and text (a null number first); turns are equal if role
     and text are. A null role or text counts as empty. Rows with a null pair or side
     belong to no pair. A side without turns has a null completion and no spans, and then
-    the prompt is empty; equal conversations have empty completions. Other columns are
+    the prompt is empty; equal conversations have empty completions. A repeated row is a
+    turn of its own; texts are rendered whole, however long; an empty table gives no rows. Other columns, whatever their names, are
     ignored. A row of the result holds one pair: its size is that of two conversations.
     """
     rows = turns.select(

@@ -39,7 +39,7 @@ MU = 8.0
 #: Text bytes of a block; a longer text is a block of its own.
 BLOCK = 32 << 20
 #: Word pairs that a task holds before it sends them on.
-PAIRS = 4_000_000
+PAIRS = 1_000_000
 #: Partitions of the frequent words' neighbours, a table of bounded size.
 PARTS = 16
 ONCE = 0x80

@@ -131,3 +131,17 @@ def test_a_dictionary_of_any_size(spark, tmp_path):
     assert sorted(map(key, rows(index.build_index(docs.where("doc_id IS NOT NULL"), stop_words=stops)))) == want
     assert {r.term: r.cnt for r in index.build_index(docs, stop_words=stops, only=["cat", "cat runn"]).where("doc_id = 1").collect()} == {"cat": 3, "cat runn": 1}
     assert index.build_index(docs.limit(0), stop_words=stops).count() == 0
+
+
+# ---- traversal
+
+
+def test_pages_do_not_move_at_a_level(spark):
+    from weft.operators import crawl
+    from weft.plans import inspect
+
+    pages_ = spark.range(1000).select(F.col("id").cast("string").alias("url"), F.array(F.lit("x")).alias("links"), F.lit(True).alias("indexed")).repartition("url").checkpoint()
+    frontier = spark.createDataFrame([("5", 0, 0)], "url string, depth int, ord bigint").checkpoint()
+    small, large = (crawl.pages_of(pages_, frontier, n) for n in (100, crawl.FRONTIER + 1))
+    assert inspect.shuffles(small) == 0 and "BuildRight" in inspect.physical(small) and "SortMergeJoin" in inspect.physical(large)
+    assert rows(small) == rows(large) == [("5", ["x"], True)]

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from weft.plans.session import shared_folder
 
 
+#: Bytes of a frontier's addresses up to which it is broadcast.
+FRONTIER = 64 << 20
+
+
+def pages_of(pages: DataFrame, frontier: DataFrame, size: int) -> DataFrame:
+    """The pages of a frontier whose addresses take `size` bytes. A frontier of up to FRONTIER bytes is broadcast, so that no page moves."""
+    asked = frontier.select("url")
+    return pages.join(F.broadcast(asked) if size <= FRONTIER else asked.hint("shuffle_merge"), "url").select("url", "links", "indexed")
+
+
 def traverse(pages: DataFrame, seeds: list[str], max_depth: int = 1, max_pages: int | None = 200, indexable: Column | None = None) -> DataFrame:
     """(url, depth, fetched, indexed) of every address that was visited.
 
@@ -28,11 +38,9 @@ def traverse(pages: DataFrame, seeds: list[str], max_depth: int = 1, max_pages:
     docs_left = max_pages
     fetch_left = None if max_pages is None else max(20 * max_pages, 4000)
     visit_left = None if max_pages is None else 10 * max_pages + 1 - len(seeds)
-    visited, levels = frontier.select("url"), []
+    visited, levels, size = frontier.select("url"), [], sum(len(u or "") * 4 + 32 for u in seeds)
     for depth in range(max_depth + 1):
-        # the frontier's pages are picked by a join that may broadcast the frontier, so that pages stay where they are
-        met = pages.join(frontier.select("url"), "url").select("url", "links", "indexed")
-        level = frontier.join(met, "url", "left").select("url", "depth", "ord", "links", F.col("indexed").isNotNull().alias("fetched"), F.coalesce("indexed", F.lit(False)).alias("indexed"))
+        level = frontier.join(pages_of(pages, frontier, size), "url", "left").select("url", "depth", "ord", "links", F.col("indexed").isNotNull().alias("fetched"), F.coalesce("indexed", F.lit(False)).alias("indexed"))
         if max_pages is not None:  # at most fetch_left rows are numbered
             before = Window.partitionBy(F.lit(0)).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
             some = level.orderBy("ord").limit(10 * max_pages + 1 + len(seeds))
@@ -53,10 +61,11 @@ def traverse(pages: DataFrame, seeds: list[str], max_depth: int = 1, max_pages:
         else:
             new = new.withColumn("ord", F.monotonically_increasing_id())
         frontier = new.select("url", F.lit(depth + 1).alias("depth"), "ord").checkpoint()
-        if frontier.isEmpty():
+        count, size = frontier.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("url") + 32), F.lit(0))).first()
+        if not count:
             break
         if visit_left is not None:
-            visit_left -= frontier.count()
+            visit_left -= count
         visited = visited.unionByName(frontier.select("url"))
     out = levels[0]
     for level in levels[1:]:

@@ -25,11 +25,16 @@ def opened(spark, docs, tmp_path_factory):
     return served.open_served(spark, path)
 
 
-@pytest.mark.parametrize("query", ["rare", "common", "rare common", "common common", "wordb worda rare", "nothing", "the of", "", None, "common common common common"])
-@pytest.mark.parametrize("limit", [0, 1, 10, 5000])
-def test_hits_are_those_of_the_whole_index(docs, opened, query, limit):
-    want = rows(search.search(index.build_index(docs), query, limit=limit))
-    for options in ({}, {"first": 1}, {"first": 1, "bounds": 2}):
+@pytest.fixture(scope="module")
+def whole(docs):
+    return index.build_index(docs).cache()
+
+
+@pytest.mark.parametrize("query", ["rare", "rare common", "common common", "wordb worda rare", "nothing", "the of", None, "common common common common"])
+@pytest.mark.parametrize("limit", [0, 3, 5000])
+def test_hits_are_those_of_the_whole_index(whole, opened, query, limit):
+    want = rows(search.search(whole, query, limit=limit))
+    for options in ({}, {"first": 1}, {"first": 1, "bounds": 2}) if limit == 3 else ({},):
         assert rows(served.find(opened, query, limit=limit, **options).rows) == want
 
 
@@ -64,10 +69,10 @@ def test_served_index_of_named_documents(spark, tmp_path):
 # ---- substrings
 
 
-def test_substrings_through_pieces(spark, docs, tmp_path):
-    path, held = str(tmp_path / "p"), index.build_index(docs)
+def test_substrings_through_pieces(spark, whole, tmp_path):
+    path, held = str(tmp_path / "p"), whole
     pieces.write_substring_index(held, path, shards=3)
-    for query in ("omm", "a", "ra", "are comm", "e c", "on rare word", "on rare", "common", "zzz", "worda w", "", "a b c d", "dx wordx word", "rare rar"):
+    for query in ("omm", "a", "are comm", "e c", "on rare word", "zzz", "", "a b c d", "rare rar"):
         assert sorted(map(str, rows(pieces.substring_search(spark, path, query)))) == sorted(map(str, rows(search.substring_search(held, query)))), query
     met = pieces.candidate_words(spark, path, "wordq", front=True, back=True)
     assert rows(met) == [("wordq",)] and any("piece" in p for p in inspect.pushed_filters(met)) and any("shard" in p for p in inspect.partition_filters(met))

@@ -130,7 +130,7 @@ def write_index(index: DataFrame, path: str, shards: int = 64, config: dict | No
     spark = index.sparkSession
     part = F.pmod(F.xxhash64(F.lit(1), "term"), F.lit(files))
     rows = index.withColumn("shard", shard_number(F.col("term"), shards)).repartition(F.col("shard"), part)
-    rows.sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+    rows.sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
     manifest = {"shards": shards, "config": content_id_of(config or {}), "schema": rows.schema.jsonValue()}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 

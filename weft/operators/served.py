@@ -52,7 +52,7 @@ def write_served(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "t
     dealt = placed.repartition("shard", "part")
     blocks = dealt.groupBy("shard", "part", "term", "segment").agg(F.max("cnt").alias("top"), F.collect_list(F.struct("doc", "cnt")).alias("postings"))
     ordered = blocks.drop("part").sortWithinPartitions("shard", "term", "segment")
-    ordered.write.mode("overwrite").partitionBy("shard").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/blocks")
+    ordered.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/blocks")
     manifest = {"shards": shards, "spread": spread, "doc": doc, "schema": ordered.schema.jsonValue()}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 

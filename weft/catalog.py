@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weft.functions import hashing, html_text, porter, text, urls, values
 from weft.operators import crawl, index, kv, mapreduce, pieces, search, served, stats, stored
 from weft.plans.session import shared_folder
-from weft.sources import index_text
+from weft.sources import index_text, metrics
 from weft.streaming import index_stream
 
 QUERIES: dict = {}
@@ -809,3 +809,80 @@ def stream_windows(spark, d):
     own = index_stream.document_stream(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
     done = _drain(spark, index_stream.windowed_counts(own, "event_type"), "complete")
     return done.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "cnt")
+
+
+# ---- sources, sinks and jobs that stand beside the others
+
+
+@query("SELECT 'click' AS gid, '8' AS key, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events WHERE event_type = 'click' AND user_id = 8 HAVING count(*) > 0")
+def store_get(spark, d):
+    """One key of a stored table, read from its bucket."""
+    held = _stored(spark, NIDS, "value double, seq bigint")
+    held.put(_writes(spark, d))
+    return held.get("8", "click")
+
+
+@query(_INDEX + "SELECT term, CAST(doc_id AS VARCHAR) AS url, cnt FROM idx")
+def local_index_read(spark, d):
+    """The line-oriented index written as text and read back."""
+    path = f"{_scratch(spark)}/local"
+    index_text.local_lines(documents_index(spark, d), "doc_id").write.text(path)
+    return index_text.read_local(spark, path)
+
+
+@query(f"""SELECT CAST(n AS VARCHAR) AS k, '{{"' || n || '": ' || count(*) || '}}' AS out FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM conversations) GROUP BY 1) GROUP BY n""")
+def mr_iterate(spark, d):
+    """Two rounds: words are counted, then the words of each count."""
+    letters = F.array_join(F.regexp_extract_all("text", F.lit("([a-z]+)")), " ")
+    store = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), letters.alias("value"))
+
+    def mapper(key, value):  # the second round's keys are words, their values counts
+        return [{value: 1}] if value and value.isdigit() else [{w: 1} for w in (value or "").split()]
+
+    return mapreduce.iterate(store, mapper, _reducer, 2, _folded)
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS k, CAST(max(CAST(floor(value) AS INT)) AS INT) AS v FROM events GROUP BY 1")
+def mr_max_temperature(spark, d):
+    """Lines `station day time reading quality`, parsed and reduced to the highest reading of each day."""
+    reading = F.format_string("%+05d", F.floor("value").cast("int"))
+    lines = table(spark, d, "events").select(F.concat_ws(" ", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"), F.lit("0"), reading, F.lit("1")).alias("value"))
+    return mapreduce.max_temperature(lines)
+
+
+@query(
+    """SELECT event_type AS component, CASE WHEN count(*) > 0 THEN round(sum(value), 2) / count(*) ELSE 0 END AS latency_ms, CASE WHEN sum(value) > 0 THEN count(*) * 1000 / round(sum(value), 2) ELSE 0 END AS throughput_per_sec,
+  CAST(count(*) AS INT) AS samples, 'events/s' AS unit FROM events GROUP BY 1"""
+)
+def metrics_csv(spark, d):
+    """Metric rows of each type of event, written as CSV and read back."""
+    path = f"{_scratch(spark)}/metrics"
+    sums = table(spark, d, "events").groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("ms"), F.count(F.lit(1)).alias("n")).collect()
+    metrics.write_csv(metrics.metrics(spark, [(r.event_type, r.ms, r.n, "events/s") for r in sums]), path)
+    return spark.read.schema(metrics.SCHEMA).csv(path, header=True)
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS item, event_type AS stage FROM events WHERE event_type <> 'view' OR user_id % 2 = 1 GROUP BY ALL")
+def stage_checkpoint(spark, d):
+    """Finished items by stage: a stage that is written again is replaced, the others stay."""
+    path, own = f"{_scratch(spark)}/stages", table(spark, d, "events").select(F.col("user_id"), "event_type").distinct()
+    for (stage,) in own.select("event_type").distinct().collect():
+        metrics.checkpoint_stage(own.where(F.col("event_type") == stage).select(F.col("user_id").cast("string").alias("item")), path, stage)
+    again = own.where("event_type = 'view' AND user_id % 2 = 1").select(F.col("user_id").cast("string").alias("item"))
+    if not again.isEmpty():
+        metrics.checkpoint_stage(again, path, "view")
+    return spark.read.schema("item string, stage string").parquet(path)
+
+
+@query("SELECT CAST(sum(n_nationkey) AS BIGINT) AS heap_total, string_agg(n_name, ',' ORDER BY n_name) AS nids, string_agg(left(n_name, 5), ',' ORDER BY left(n_name, 5)) AS sids FROM nation")
+def node_status(spark, d):
+    """Heap summed over the nodes of a group (the nations), their ids listed."""
+    own = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("heap_total"), F.col("n_name").alias("nid"), F.substring("n_name", 1, 5).alias("sid"))
+    return stats.node_status(own).select("heap_total", F.array_join("nids", ",").alias("nids"), F.array_join("sids", ",").alias("sids"))
+
+
+@query("SELECT o_orderkey AS run, o_totalprice AS ms FROM orders WHERE o_orderstatus = 'F'")
+def runs_successful(spark, d):
+    """Runs (orders) that ended well."""
+    runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_totalprice").alias("ms"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("failure").alias("status"))
+    return stats.successful(runs).drop("status")

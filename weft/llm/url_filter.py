@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import fresh, table
+from weft.llm.common import cut, fresh, named, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -117,14 +117,52 @@ def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str
     rows. Columns of df named host, path, rule or verdict are replaced.
     """
     taken = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    best, own = fresh("_best", df.columns), F.col(f"`{url}`")
-    base = df.select(*[F.col(f"`{c}`") for c in taken], host_of(own).alias("host"), path_of(own).alias("path"))
+    best, own = fresh("_best", df.columns), named(url)
+    base = df.select(*[named(c) for c in taken], host_of(own).alias("host"), path_of(own).alias("path"))
     place = F.concat("host", "path")
     fits = F.filter(_candidates(_tokens(place), rules), lambda r: F.rlike(place, r["regex"]))
     longest = F.array_max(F.transform(fits, lambda r: F.struct(r["n"].alias("n"), r["h"].alias("h"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
     return base.withColumn(best, longest).withColumns({"rule": F.col(f"{best}.rule"), "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(default))}).drop(best)
 
 
+#: Bytes of filed rules up to which they are broadcast.
+FILED = 64 << 20
+_ALWAYS = ""
+
+
+def file_rules(rules: DataFrame) -> DataFrame:
+    """(token, rule, verdict, regex, n, h) of a table of rules (verdict, host, path): each once, under the guaranteed token that the fewest rules share, or under "" if it has none."""
+    r = rules.select("verdict", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
+    own = F.array_distinct(F.concat(F.regexp_extract_all("host", F.lit("([A-Za-z0-9]+)"), 1), F.regexp_extract_all("path", F.lit("([A-Za-z0-9]+)(?=[^A-Za-z0-9])"), 1)))
+    each = r.select("host", "path", "verdict", F.explode_outer(own).alias("token"))
+    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("shared"))
+    least = F.min(F.when(F.col("token").isNotNull(), F.struct("shared", (-F.length("token")).alias("short"), "token")))
+    filed = each.join(shared, each["token"].eqNullSafe(shared["token"])).drop(shared["token"]).groupBy("host", "path", "verdict").agg(least["token"].alias("token"))
+    name = F.concat("host", "path")
+    regex = F.concat(F.lit(r"(?s)^(?:[^/]*\.)?\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"), F.when(F.col("path") == "", F.lit("(?:/|$)")).otherwise(F.lit("")))
+    return filed.select(F.coalesce("token", F.lit(_ALWAYS)).alias("token"), name.alias("rule"), "verdict", regex.alias("regex"), F.length(name).alias("n"), F.length("host").alias("h"))
+
+
+def filter_urls_by_table(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+    """filter_urls() with the rules as a table (verdict, host, path) of any size: the plan doesn't grow with them.
+
+    Each url's tokens are joined with the tokens under which rules are filed; rules of up to FILED bytes are broadcast,
+    more are joined by token. Only the rules met run their expression. Of rules that repeat a (host, path)
+    the smallest verdict holds; null hosts and paths are empty.
+    """
+    taken = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    row, best, own = fresh("_row", df.columns), fresh("_best", df.columns), named(url)
+    base = df.select(*[named(c) for c in taken], host_of(own).alias("host"), path_of(own).alias("path")).withColumn(row, F.monotonically_increasing_id())
+    filed = cut(file_rules(rules))
+    size = filed.agg(F.coalesce(F.sum(F.octet_length("rule") * 2 + F.octet_length("token") + 64), F.lit(0))).first()[0]
+    place = F.concat("host", "path")
+    met = base.select(row, place.alias("place"), F.explode(F.array_union(_tokens(place), F.array(F.lit(_ALWAYS)))).alias("token"))
+    met = met.join(F.broadcast(filed) if size <= FILED else filed.hint("merge"), "token").where(F.rlike("place", F.col("regex")))
+    found = met.groupBy(row).agg(F.max(F.struct("n", "h", "rule", "verdict")).alias(best))
+    out = base.join(found, row, "left").drop(row)
+    return out.withColumns({"rule": F.col(f"{best}.rule"), "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(default))}).drop(best)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,12 +29,24 @@ def without_words(docs: DataFrame, words: DataFrame, doc: str = "doc_id", text:
     return own.select(doc, "terms")
 
 
-def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_words: Sequence[str] | DataFrame = STOP_WORDS, only: Sequence[str] | None = None) -> DataFrame:
+#: Documents of a task that sorts its n-grams, and of a word beyond which its postings are ranked in slices.
+TASK_DOCS, FREQUENT = 5_000, 1_000_000
+#: The first word of a term, in an index whose rows of one first word lie in one partition.
+HEAD = "_head"
+
+
+def tasks_of(docs: DataFrame) -> int:
+    """Tasks over docs, TASK_DOCS rows each, or one a core."""
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // TASK_DOCS))
+
+
+def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_words: Sequence[str] | DataFrame = STOP_WORDS, only: Sequence[str] | None = None, tasks: int | None = None) -> DataFrame:
     """(term, doc, cnt) of all n-grams; with `only`, of those terms: no other sizes are formed and no other terms shuffled.
 
     Texts are shuffled by document before they are taken apart, so their n-grams, many
     times as large, need no shuffle: they are counted where they are formed. Rows that
     share an id are one document. stop_words may be a table (word), of any size.
+    `tasks` fixes the number of tasks, for what sorts or writes the rows where they are.
     """
     if isinstance(stop_words, DataFrame):
         bag = ngram_bag(F.col("terms"))
@@ -43,7 +55,9 @@ def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_w
         found = without_words(docs, stop_words, doc, text).repartition(doc).select(doc, F.explode(bag).alias("term"))
         return found.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("cnt")).select("term", doc, "cnt")
     if only is None:
-        found = docs.select(doc, text).repartition(doc).select(doc, F.explode(ngram_bag(terms(F.col(text), stop_words))).alias("term"))
+        own = docs.select(doc, text)
+        own = own.repartition(tasks, doc) if tasks else own.repartition(doc)
+        found = own.select(doc, F.explode(ngram_bag(terms(F.col(text), stop_words))).alias("term"))
         return found.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("cnt")).select("term", doc, "cnt")
     sizes = sorted({n for n in (len(t.split(" ")) for t in only) if n <= 3})
     bag = ngram_bag(terms(F.col(text), stop_words), sizes) if sizes else F.array().cast("array<string>")
@@ -51,6 +65,50 @@ def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_w
     return found.groupBy("term", doc).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def index_by_head(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """(HEAD, term, doc, cnt): the rows of build_index(), dealt by the first word of the term.
+
+    A word moves with the two that follow it, and its three n-grams are formed and counted where it
+    arrives: a row a word is shuffled, not three. What groups by HEAD and term moves nothing more.
+    """
+
+    def runs(own: Column) -> Column:
+        tail = lambda k: F.slice(own, F.lit(k + 1), F.greatest(F.size(own) - k, F.lit(0)))
+        follow = F.zip_with(tail(1), tail(2), lambda x, y: F.concat_ws(" ", x, y))
+        return F.zip_with(own, follow, lambda w, t: F.struct(w.alias("head"), F.coalesce(t, F.lit("")).alias("tail")))
+
+    # bound once, as in ngram_bag()
+    found = docs.select(doc, F.inline(F.transform(F.array(terms(F.col(text), stop_words)), runs)[0]))
+    head, tail = F.col(HEAD), F.col("tail")
+    dealt = found.withColumnRenamed("head", HEAD).repartition(max(tasks_of(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), HEAD)
+    two = F.when(tail != "", F.concat(head, F.lit(" "), F.substring_index(tail, " ", 1)))
+    three = F.when(F.contains(tail, F.lit(" ")), F.concat(head, F.lit(" "), tail))
+    each = dealt.select(HEAD, doc, F.explode(F.array(head, two, three)).alias("term")).where("term IS NOT NULL")
+    return each.groupBy(HEAD, "term", doc).agg(F.count(F.lit(1)).alias("cnt")).select(HEAD, "term", doc, "cnt")
+
+
+def over_terms(docs: DataFrame, made: Callable[[DataFrame], DataFrame], doc: str = "doc_id", text: str = "text", stop_words: Sequence[str] = STOP_WORDS, frequent: int = FREQUENT) -> DataFrame:
+    """made(index) for a `made` that works term by term, over the index dealt by first words.
+
+    Terms whose first word stands in over `frequent` documents come as a plain index, so that no task
+    holds all of a word that most documents have; such words are looked for only in more rows than that.
+    """
+    heavy: list = []
+    if docs.count() > frequent:
+        words = docs.select(doc, F.explode(F.array_distinct(terms(F.col(text), stop_words))).alias("w"))
+        heavy = [r.w for r in words.groupBy("w").count().where(F.col("count") > frequent).collect()]
+    own = index_by_head(docs, doc, text, stop_words)
+    if not heavy:
+        return made(own).drop(HEAD)
+    rest = build_index(docs, doc, text, stop_words).where(F.substring_index("term", " ", 1).isin(heavy))
+    return made(own.where(~F.col(HEAD).isin(heavy))).drop(HEAD).unionByName(made(rest))
+
+
+def key_of(index: DataFrame) -> list[str]:
+    """The columns that name a term and keep its rows where they are."""
+    return [HEAD, "term"] if HEAD in index.columns else ["term"]
+
+
 def merge_index(*parts: DataFrame, doc: str = "doc_id") -> DataFrame:
     """One index of several: counts are summed by term and document."""
     out = parts[0].select("term", doc, "cnt")
@@ -84,8 +142,12 @@ def ranked_postings(index: DataFrame, doc: str = "doc_id", order: Sequence[str]
     the same term, count and slice of the first order column, and the sizes of these groups give what stands
     before each. Rows move once; only group sizes move again. Slices are cut at
     quantiles of at most SEEN rows; how even they are bears on speed alone.
+    An index dealt by first words is ranked where it is; over_terms() keeps frequent ones out of it.
     """
     order = list(order or [doc])
+    if HEAD in index.columns:
+        place = F.row_number().over(Window.partitionBy(HEAD, "term").orderBy(F.col("cnt").desc(), *order))
+        return index.select(*index.columns, place.alias("rnk"))
     kind = index.schema[order[0]].dataType.simpleString()
     bounds: list = []
     if slices > 1 and kind in ("tinyint", "smallint", "int", "bigint", "string", "date", "timestamp"):
@@ -121,16 +183,18 @@ def shard_of_literal(term: str, shards: int) -> int:
     return (h - (1 << 64) if h >> 63 else h) % shards
 
 
-def write_index(index: DataFrame, path: str, shards: int = 64, config: dict | None = None, files: int = 1) -> None:
+def write_index(index: DataFrame, path: str, shards: int = 64, config: dict | None = None, files: int | None = 1) -> None:
     """A directory for each shard, terms in order inside, so that a search opens few row groups; a manifest beside it.
 
     A shard is written by `files` tasks, each with its share of the shard's terms. They
     are dealt by a hash, as ranges would have to be found by computing the index twice.
+    With files=None no row moves: each task adds a file of its own terms to every shard.
     """
     spark = index.sparkSession
-    part = F.pmod(F.xxhash64(F.lit(1), "term"), F.lit(files))
-    rows = index.withColumn("shard", shard_number(F.col("term"), shards)).repartition(F.col("shard"), part)
-    rows.sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    rows = index.withColumn("shard", shard_number(F.col("term"), shards))
+    if files is not None:
+        rows = rows.repartition(F.col("shard"), F.pmod(F.xxhash64(F.lit(1), "term"), F.lit(files)))
+    rows.sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(f"{path}/postings")
     manifest = {"shards": shards, "config": content_id_of(config or {}), "schema": rows.schema.jsonValue()}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
@@ -155,7 +219,7 @@ def corpus_fingerprint(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     return f"{n}-{int(a)}-{int(b)}"
 
 
-def cached_index(spark: SparkSession, path: str, config: dict, build, corpus: DataFrame | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def cached_index(spark: SparkSession, path: str, config: dict, build, corpus: DataFrame | None = None, doc: str = "doc_id", text: str = "text", files: int | None = 1) -> DataFrame:
     """The index at path if it was built under the same configuration and, where the corpus is given, of the same documents; else build() written there."""
     if corpus is not None:
         config = {**config, "corpus_fingerprint": corpus_fingerprint(corpus, doc, text)}
@@ -166,7 +230,7 @@ def cached_index(spark: SparkSession, path: str, config: dict, build, corpus: Da
             raise
         fits = False
     if not fits:
-        write_index(build(), path, config=config)
+        write_index(build(), path, config=config, files=files)
     return read_index(spark, path)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from weft.functions.text import STOP_WORDS, ngram_bag, terms
-from weft.operators.index import read_manifest, shard_number, shard_of_literal
+from weft.operators.index import read_manifest, shard_number, shard_of_literal, tasks_of
 from weft.operators.search import DEFAULT_LIMIT, checked_limit, rank, search_terms, top_scores
 
 #: Documents of a segment, about.
@@ -34,25 +34,27 @@ def segment_of(size: Column, doc: Column, spread: int) -> Column:
     return F.floor(F.log2(size + 1) * 2) * spread + F.pmod(F.xxhash64(doc), F.lit(spread))
 
 
-def write_served(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", shards: int = 64, files: int = 1, segment: int = SEGMENT, stop_words: Sequence[str] = STOP_WORDS) -> None:
-    """The n-gram index of docs (doc, text) as blocks: a directory a shard of `files` files, terms in order inside; a manifest beside it.
+def write_served(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", shards: int = 64, files: int | None = None, segment: int = SEGMENT, stop_words: Sequence[str] = STOP_WORDS) -> None:
+    """The n-gram index of docs (doc, text) as blocks: a directory a shard, terms in order inside each file; a manifest beside it.
 
-    Texts are shuffled once, by document, before they are taken apart: a document's
-    counts then need no shuffle of their own, and rows that share an id are one document.
-    Blocks are shuffled once, by shard and part of it. Documents without an id are left out, as no search finds them.
+    Texts are shuffled twice before they are taken apart: by document, as rows that share an id are one
+    document, and by segment. So counts and blocks are formed where a segment's texts are, and each task adds
+    its blocks to every shard; with `files` blocks are shuffled into so many a shard.
+    Documents without an id are left out, as no search finds them.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
     spread = max(1, rows.count() // (8 * segment))  # a half octave holds about an eighth of all documents
     sized = rows.withColumn("size", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy("doc")))
-    found = sized.select("doc", "size", F.explode(ngram_bag(terms(F.col("text"), stop_words))).alias("term"))
-    counts = found.groupBy("doc", "size", "term").agg(F.count(F.lit(1)).alias("cnt"))
-    part = F.pmod(F.xxhash64(F.lit(1), "term"), F.lit(files)).cast("int")
-    placed = counts.select(shard_number(F.col("term"), shards).alias("shard"), part.alias("part"), "term", segment_of(F.col("size"), F.col("doc"), spread).alias("segment"), "doc", "cnt")
-    dealt = placed.repartition("shard", "part")
-    blocks = dealt.groupBy("shard", "part", "term", "segment").agg(F.max("cnt").alias("top"), F.collect_list(F.struct("doc", "cnt")).alias("postings"))
-    ordered = blocks.drop("part").sortWithinPartitions("shard", "term", "segment")
-    ordered.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/blocks")
+    dealt = sized.select("doc", "text", segment_of(F.col("size"), F.col("doc"), spread).alias("segment")).repartition(tasks_of(rows), "segment")
+    found = dealt.select("doc", "segment", F.explode(ngram_bag(terms(F.col("text"), stop_words))).alias("term"))
+    counts = found.groupBy("segment", "term", "doc").agg(F.count(F.lit(1)).alias("cnt"))
+    blocks = counts.groupBy("term", "segment").agg(F.max("cnt").alias("top"), F.collect_list(F.struct("doc", "cnt")).alias("postings"))
+    placed = blocks.select(shard_number(F.col("term"), shards).alias("shard"), "term", "segment", "top", "postings")
+    if files is not None:
+        placed = placed.repartition(F.col("shard"), F.pmod(F.xxhash64(F.lit(1), "term"), F.lit(files)))
+    ordered = placed.sortWithinPartitions("shard", "term", "segment")
+    ordered.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(f"{path}/blocks")
     manifest = {"shards": shards, "spread": spread, "doc": doc, "schema": ordered.schema.jsonValue()}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.text import STOP_WORDS, terms_of
-from weft.operators.index import read_index, read_manifest, shard_number, shard_of_literal, write_index
+from weft.operators.index import HEAD, read_index, read_manifest, shard_number, shard_of_literal, write_index
 
 #: Marks before and behind a word; words are letters.
 FRONT, BACK = "^", "$"
@@ -31,12 +31,18 @@ def _pieces(word: Column) -> Column:
 
 
 def write_substring_index(index: DataFrame, path: str, shards: int = 16) -> None:
-    """The long index (term, doc, cnt) written with its words and pieces. Each table is dealt by its key's hash and in order inside; a word's row in `terms` is shared out over as many files as terms are."""
-    spark = index.sparkSession
-    write_index(index, f"{path}/index", shards)
-    terms = read_index(spark, f"{path}/index").select("term").distinct()
-    pairs = terms.select(F.explode(F.array_distinct(F.split("term", " "))).alias("word"), "term")
-    pairs.withColumn("shard", shard_number(F.col("word"), shards)).repartition("shard", F.pmod(F.xxhash64("term"), F.lit(4))).sortWithinPartitions("shard", "word").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/terms")
+    """The long index (term, doc, cnt) written with its words and pieces. Each table is dealt by its key's hash and in order inside; a word's row in `terms` is shared out over as many files as terms are.
+
+    Of an index dealt by first words all rows of a term are in one task, which adds its postings and its
+    terms' words to every shard, so neither is shuffled.
+    """
+    spark, dealt = index.sparkSession, HEAD in index.columns
+    write_index(index.drop(HEAD), f"{path}/index", shards, files=None if dealt else 1)
+    terms = index.groupBy(HEAD, "term").agg(F.lit(1)) if dealt else read_index(spark, f"{path}/index").select("term").distinct()
+    pairs = terms.select(F.explode(F.array_distinct(F.split("term", " "))).alias("word"), "term").withColumn("shard", shard_number(F.col("word"), shards))
+    if not dealt:
+        pairs = pairs.repartition("shard", F.pmod(F.xxhash64("term"), F.lit(4)))
+    pairs.sortWithinPartitions("shard", "word", "term").write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(f"{path}/terms")
     words = spark.read.parquet(f"{path}/terms").select("word").distinct()
     rows = words.select(F.explode(_pieces(F.col("word"))).alias("piece"), "word")
     rows.withColumn("shard", shard_number(F.col("piece"), shards)).repartition("shard").sortWithinPartitions("shard", "piece").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/pieces")

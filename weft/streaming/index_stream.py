@@ -35,8 +35,25 @@ def maintain_index(docs: DataFrame, path: str, checkpoint: str, doc: str = "doc_
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Documents of several batches that are broadcast, at most.
+TOLD = 1_000_000
+
+
 def read_maintained(spark: SparkSession, path: str, doc: str = "doc_id") -> DataFrame:
-    return spark.read.parquet(path).groupBy("term", doc).agg(F.sum("cnt").alias("cnt"))
+    """(term, doc, cnt): the sum of the parts. Only the rows of documents that came in several batches are shuffled, unless these are over TOLD."""
+    parts = spark.read.parquet(path)
+    summed = lambda rows: rows.groupBy("term", doc).agg(F.sum("cnt").alias("cnt"))
+    if "batch" not in parts.columns:
+        return summed(parts)
+    again = parts.groupBy(doc).agg((F.min("batch") < F.max("batch")).alias("again")).where("again").select(F.col(doc).alias("_again"))
+    n = again.limit(TOLD + 1).count()
+    if n > TOLD:
+        return summed(parts)
+    rows = parts.select("term", doc, "cnt")
+    if not n:
+        return rows
+    same = F.col(doc).eqNullSafe(F.col("_again"))
+    return rows.join(F.broadcast(again), same, "left_anti").unionByName(summed(rows.join(F.broadcast(again), same, "left_semi")))
 
 
 def compact(spark: SparkSession, path: str, to: str, doc: str = "doc_id") -> DataFrame:

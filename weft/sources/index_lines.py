@@ -34,7 +34,20 @@ def _strings(lengths: np.ndarray, data: bytes) -> pa.Array:
 
 def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, bytes]:
     lengths = pc.fill_null(pc.binary_length(strings), -1).to_numpy(zero_copy_only=False).astype(np.int32)
-    return lengths, b"".join(s for s in strings.cast(pa.large_binary()).to_pylist() if s)
+    whole = pc.fill_null(strings, "").cast(pa.large_string())
+    offsets = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1, 8 * whole.offset)
+    return lengths, whole.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if offsets[-1] > offsets[0] else b""
+
+
+def _among(numbers: list[np.ndarray], most: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct ones of numbers below most, ascending, and the place among these, from 1, of each; zero for -1."""
+    there = np.zeros(most + 1, bool)
+    for x in numbers:
+        there[x] = True
+    there[-1] = False
+    place = np.cumsum(there)
+    place[-1] = 0
+    return np.flatnonzero(there), [place[x] for x in numbers]
 
 
 def _numbers(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -93,17 +106,17 @@ def _dealt(tasks: int):
 
 def _held(doc: pa.Array, distinct: pa.Array, of_one, one, count, of_run, runs) -> bytes:
     """Numbers of documents and words, and the strings they stand for, as bytes."""
-    docs, d = np.unique(np.concatenate([of_one, of_run]), return_inverse=True)
-    words, w = np.unique(np.concatenate([one, *runs]), return_inverse=True)
-    if none := int(words[0] < 0):  # no third word: zero
-        words = words[1:]
-    w = w + 1 - none
+    docs, (d1, d2) = _among([of_one, of_run], len(doc))
+    words, w = _among([one, *runs], len(distinct))
     names, letters = _bytes_of(doc.take(pa.array(docs)))
     lengths, spelled = _bytes_of(distinct.take(pa.array(words)))
-    kind = np.uint16 if max(len(docs), len(words) + 1) < 1 << 16 else np.uint32
+    kind = np.uint16 if max(len(docs), len(words)) + 1 < 1 << 16 else np.uint32
     head = np.array([np.dtype(kind).itemsize, len(docs), len(words), len(one), len(of_run), len(letters), len(spelled)], np.int64)
-    parts = [head.tobytes(), names.tobytes(), lengths.tobytes(), count.astype(np.int32).tobytes(), d.astype(kind).tobytes(), w.astype(kind).tobytes(), letters, spelled]
-    return b"".join(parts)
+    # documents ascend, so steps between them take next to nothing once compressed
+    steps = [np.diff(d, prepend=1).astype(kind).tobytes() for d in (d1, d2)]
+    parts = [head.tobytes(), names.tobytes(), lengths.tobytes(), count.astype(np.int32).tobytes(), *steps, *(x.astype(kind).tobytes() for x in w), letters, spelled]
+    held = b"".join(parts)
+    return np.int64(len(held)).tobytes() + pa.compress(held, codec="zstd", asbytes=True)
 
 
 def _lines(batches):
@@ -112,6 +125,7 @@ def _lines(batches):
     docs = words = 0
     for b in batches:
         for raw in b.column(1).to_pylist():
+            raw = pa.decompress(raw[8:], int(np.frombuffer(raw, np.int64, 1)[0]), codec="zstd", asbytes=True)
             item, nd, nw, n1, n2, sd, sw = np.frombuffer(raw, np.int64, 7).tolist()
             kind, at = (np.uint16 if item == 2 else np.uint32), 56
 
@@ -124,11 +138,10 @@ def _lines(batches):
             got["names"].append(take(np.int32, nd))
             got["lengths"].append(take(np.int32, nw))
             got["count"].append(take(np.int32, n1))
-            d = take(kind, n1 + n2).astype(np.int32) + docs
+            got["d1"].append(np.cumsum(take(kind, n1), dtype=np.int32) + docs)
+            got["d2"].append(np.cumsum(take(kind, n2), dtype=np.int32) + docs)
             w = take(kind, n1 + 3 * n2).astype(np.int32)
             w[w > 0] += words
-            got["d1"].append(d[:n1])
-            got["d2"].append(d[n1:])
             got["w1"].append(w[:n1])
             got["w2"].append(w[n1:].reshape(3, n2))
             got["letters"].append(raw[at : at + sd])
